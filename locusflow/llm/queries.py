@@ -6,32 +6,48 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, line_dedup, spaced_seeds
+from . import host_rules, line_dedup, packing, spaced_seeds, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.op1_warc(spark, table(spark, sf_dir, "pages"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op4_line_dedup(spark, table(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op5_toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.op6_host_rules(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.op7_packing(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.op8_spaced_seeds(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op4_line_dedup": op4_line_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_host_rules": op6_host_rules,
+    "op7_packing": op7_packing,
     "op8_spaced_seeds": op8_spaced_seeds,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op6_host_rules": host_rules.ORACLE_SQL,
     "op8_spaced_seeds": spaced_seeds.ORACLE_SQL,
