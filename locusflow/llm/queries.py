@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, line_dedup, packing, spaced_seeds, toxicity, warc
+from . import host_rules, line_dedup, packing, pst, spaced_seeds, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op1_warc(spark, table(spark, sf_dir, "pages"))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pst.op2_suffix_tree(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op4_line_dedup(spark, table(spark, sf_dir, "documents"))
 
@@ -39,6 +43,7 @@ def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_suffix_tree": op2_suffix_tree,
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_host_rules": op6_host_rules,
