@@ -96,7 +96,7 @@ class Combiner:
         self.size += len(keys)
         if self.size > self.most:
             keys, counts = self.merged()
-            if len(keys) > self.most // 2:
+            if 3 * len(keys) > 2 * self.most:
                 yield keys, counts
                 self.held, self.size = [], 0
             else:
@@ -216,7 +216,7 @@ def learn(counts: DataFrame, *, depth: int, penalty: float, max_states: int, dis
     return Tree(depth, discount, root, *parts)
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 5, penalty: float = 3.0, max_states: int = 100_000, discount: float = 0.6) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, penalty: float = 2.0, max_states: int = 250_000, discount: float = 0.8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text, learnt from the training rows."""
     spark = shared.session(docs)
     key = F.col(f"`{id_col}`").cast("long")

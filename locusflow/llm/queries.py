@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, line_dedup, packing, pst, spaced_seeds, toxicity, warc
+from . import host_rules, line_dedup, packing, pst, spaced_seeds, toxicity, warc, window_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spaced_seeds.op8_spaced_seeds(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_index.op9_window_index(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_suffix_tree": op2_suffix_tree,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_host_rules": op6_host_rules,
     "op7_packing": op7_packing,
     "op8_spaced_seeds": op8_spaced_seeds,
+    "op9_window_index": op9_window_index,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -56,4 +61,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op6_host_rules": host_rules.ORACLE_SQL,
     "op8_spaced_seeds": spaced_seeds.ORACLE_SQL,
+    "op9_window_index": window_index.ORACLE_SQL,
 }

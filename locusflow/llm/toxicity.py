@@ -95,7 +95,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["at", "weight"])
 
-    rows = texts.mapInArrow(featurise, "id long, label int, at array<int>").coalesce(1).mapInArrow(learn, "at long, weight double").toPandas()
+    rows = texts.mapInArrow(featurise, "id long, label int, at array<int>").repartition(1).mapInArrow(learn, "at long, weight double").toPandas()
     at, weight = rows["at"].to_numpy(np.int64), rows["weight"].to_numpy(float)
     bias = float(weight[at == size].sum())
     return at[at < size], weight[at < size], bias
