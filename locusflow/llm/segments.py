@@ -2,7 +2,8 @@
 
 A window is W consecutive symbols of one text.  Every window is assigned the
 least hash of the k-symbol grams inside it, its key; consecutive windows with
-the same key make a segment.  Equal windows have equal keys wherever they
+the same key at the same place (the leftmost) make a segment, so no two windows
+of one segment are equal, however periodic the text.  Equal windows have equal keys wherever they
 stand, so only segments with the same key can share a window, and segments
 with the same key and the same content (a second hash, 64 bits again) share
 all of theirs.  That leaves
@@ -53,9 +54,9 @@ def segment_bounds(symbols: np.ndarray, grams: np.ndarray, first: np.ndarray, k:
     window = tv.windows_inside(first, width)
     if not len(window):
         return np.zeros(0, U64), window, window
-    key = tv.sliding_min(grams, width - k + 1)[window]
-    new = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (window[1:] != window[:-1] + 1)])
-    return key[new], window[new], np.diff(np.append(new, len(window)))
+    at = tv.sliding_argmin(grams, width - k + 1)[window]
+    new = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1)])
+    return grams[at[new]], window[new], np.diff(np.append(new, len(window)))
 
 
 class Combiner:

@@ -139,6 +139,22 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return m[:n] if have == w else np.minimum(m[:n], m[w - have : w - have + n])
 
 
+def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
+    """Index of the leftmost minimum of each w consecutive values, by doubling."""
+    n = len(x) - w + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+
+    def lower(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.where(x[b] < x[a], b, a)
+
+    have, at = 1, np.arange(len(x))
+    while have * 2 <= w:
+        at = lower(at[: len(at) - have], at[have:])
+        have *= 2
+    return at[:n] if have == w else lower(at[:n], at[w - have : w - have + n])
+
+
 def windows_inside(first: np.ndarray, width: int) -> np.ndarray:
     """Indices of the symbols at which a window of ``width`` symbols of one text starts; first: index of each text's first symbol."""
     counts = np.maximum(np.diff(first) - width + 1, 0)
