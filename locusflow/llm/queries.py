@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, line_dedup, packing, pst, spaced_seeds, toxicity, warc, window_index
+from . import host_rules, line_dedup, lsh_forest, packing, pst, spaced_seeds, toxicity, warc, window_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pst.op2_suffix_tree(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.op3_lsh_forest(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op4_line_dedup(spark, table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op9_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_suffix_tree": op2_suffix_tree,
+    "op3_lsh_forest": op3_lsh_forest,
     "op4_line_dedup": op4_line_dedup,
     "op5_toxicity": op5_toxicity,
     "op6_host_rules": op6_host_rules,
@@ -58,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE_SQL,
+    "op3_lsh_forest": lsh_forest.ORACLE_SQL,
     "op4_line_dedup": line_dedup.ORACLE_SQL,
     "op6_host_rules": host_rules.ORACLE_SQL,
     "op8_spaced_seeds": spaced_seeds.ORACLE_SQL,
