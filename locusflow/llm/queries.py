@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, line_dedup, lsh_forest, packing, pst, spaced_seeds, toxicity, warc, window_index
+from . import host_rules, line_dedup, lsh_forest, packing, pst, spaced_seeds, suffix_dedup, toxicity, warc, window_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +49,10 @@ def op9_window_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_index.op9_window_index(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.op10_suffix_dedup(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_suffix_tree": op2_suffix_tree,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_packing": op7_packing,
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_window_index": op9_window_index,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
