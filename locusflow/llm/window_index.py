@@ -94,9 +94,9 @@ class WindowIndex:
         texts = sg.keyed(docs, self.id_col, self.text_col)
         rows = fingerprints(texts, self.width)
         if keep_run:
-            run = f"{self.path}/run-{len(self.runs):06d}"
-            rows.write.parquet(f"{self.path}/rows-{len(self.runs):06d}")
-            rows = self.spark.read.parquet(f"{self.path}/rows-{len(self.runs):06d}")
+            run = f"{self.path}/run-{len(self.batches):06d}"
+            rows.write.parquet(f"{self.path}/rows-{len(self.batches):06d}")
+            rows = self.spark.read.parquet(f"{self.path}/rows-{len(self.batches):06d}")
         history = self._history()
         merged = rows if history is None else rows.unionByName(history)
         found = shared.written(sg.exchanged(merged).mapInArrow(sg.marks(False), sg.MARKS), "marks")
