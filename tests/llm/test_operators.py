@@ -186,7 +186,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_suffix_tree_beats_single_tokens(spark):
-    total = queries.op2_suffix_tree(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    total = queries.op2_suffix_tree(spark, "/root/testdata/sf0.1").where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert total.s > total.b
 
 
