@@ -152,8 +152,8 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "x long, y long")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 20, depth: int = 6, least: int = 2, reach: int = 8, most_rounds: int = 50) -> DataFrame:
-    """Every row of docs as (__id, __text, __rest, n_shingles, component_id, kept).
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 20, depth: int = 6, least: int = 2, reach: int = 8, most_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(doc, n_shingles) of every row and (doc, component) of every document with a set; no text is shuffled but of candidates.
 
     A pair at 85 % is no candidate of any order with a probability of about
     1e-11 where regions are sparse (prefix 2) and 1e-4 where all orders need
@@ -200,39 +200,33 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
             break
         links = links.unionByName(true.select(F.col("x").alias("a"), F.col("y").alias("b")))
         members = shared.written(shared.components(links), "components")
+        shared.released(spark)
     else:
         raise RuntimeError(f"near duplicates still found new links after {most_rounds} rounds")
     if members is None:
         members = spark.createDataFrame([], "node long, component long")
     grouped = classes.select("a", "b", "node").join(members, "node", "left").select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("component", "node").alias("component"))
     # A document's own digest finds its class; hot classes are left to the join's skew handling.
-    of_rows = shared.written(made.select("doc", "n_shingles", "a", "b").distinct().join(grouped, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("n_shingles") > 0), "left").groupBy("doc").agg(F.min("component").alias("component")), "members")
-    sizes = wide.select("*", F.col("doc").alias("__doc")).drop("doc")
-    joined = sizes.join(of_rows, F.col("__doc") == F.col("doc"), "left")
-    counted = _counted(joined.select("__id", "__text", "__rest", "component"))
-    own = F.when(F.col("__id").isNotNull(), F.coalesce(F.when(F.col("n_shingles") > 0, F.col("component")), F.col("__id").cast("long")))
-    return counted.withColumn("component_id", own).withColumn("kept", F.coalesce(F.col("component_id") == F.col("__id").cast("long"), F.lit(False))).drop("component")
+    of_rows = shared.written(made.select("doc", "n_shingles", "a", "b").distinct().join(grouped, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("n_shingles") > 0), "left").where("component is not null").groupBy("doc").agg(F.min("component").alias("component")), "members")
+    return made.select("doc", "n_shingles"), of_rows
 
 
-def _counted(joined: DataFrame) -> DataFrame:
-    """joined with the number of shingles of each row's own text."""
-    kinds = dict(joined.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n = np.zeros(batch.num_rows, np.int64)
-            for low, high, _, first in shingle_sets(batch["__text"]):
-                n[low:high] = np.diff(first)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n)], [*names, "n_shingles"])
-
-    names = joined.columns
-    return joined.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", n_shingles long")
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
+    """Every row of docs as (__id, __text, __rest, component_id, kept)."""
+    _, members = groups(docs, id_col=id_col, text_col=text_col, **parameters)
+    own = F.col("__id").cast("long")
+    joined = shared.packed(docs, id_col, text_col).join(members, own == F.col("doc"), "left").drop("doc")
+    joined = joined.withColumn("component_id", F.when(own.isNotNull(), F.coalesce("component", own))).drop("component")
+    return joined.withColumn("kept", F.coalesce(F.col("component_id") == own, F.lit(False)))
 
 
 def op3_lsh_forest(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The groups of all documents."""
-    out = near_duplicates(docs.select("doc_id", "text"))
-    return out.select(F.col("__id").cast("long").alias("doc_id"), "n_shingles", "component_id", "kept")
+    rows, members = groups(docs.select("doc_id", "text"))
+    own = F.when(F.col("doc") != NO_ID, F.col("doc"))
+    component = F.when(own.isNotNull(), F.coalesce("component", "doc"))
+    out = rows.join(members, "doc", "left")
+    return out.select(own.alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(component == own, F.lit(False)).alias("kept"))
 
 
 ORACLE_SQL = r"""
