@@ -10,8 +10,8 @@ where classes are sparse a short prefix makes neighbours, where they are dense
 only the closest remain.  Candidates that pass an estimate from all MinHash
 values are confirmed on the full sets.
 
-Further rounds look at neighbours in other components than one's own, ``reach``
-of them in each order, until a round finds no new link.  So a group of
+Further rounds look at neighbours in other components than one's own, in the
+end ``reach`` of them in each order, until such a round finds no new link.  So a group of
 thousands of copies costs some candidates a class, never all pairs, and no
 group meets in one task: orders are dealt by ranges of the whole key.
 
@@ -37,6 +37,8 @@ NO_ID = -(1 << 63)
 SHINGLE = 5
 #: A pair whose estimated similarity is lower by this much is not confirmed: over 4.5 standard deviations at 120 values.
 SLACK = 0.15
+#: Ids, of 8 bytes, that are broadcast to the texts at most.
+SENT_IDS = 200_000
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -64,8 +66,8 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, functions: int) -> DataFrame:
-    """(doc, n_shingles, a, b, sig) of rows (doc, __text): a 128-bit digest of the set and its MinHash values as 32-bit words."""
-    schema = "doc long, n_shingles long, a long, b long, sig binary"
+    """(doc, n_shingles, a, b, sig, low) of rows (doc, __text): a 128-bit digest of the set, its MinHash values as 32-bit words, and their low bytes."""
+    schema = "doc long, n_shingles long, a long, b long, sig binary, low binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _multipliers(functions)
@@ -78,23 +80,28 @@ def signatures(docs: DataFrame, functions: int) -> DataFrame:
                 values = np.full((high - low, functions), 0xFFFFFFFF, np.uint32)
                 if len(some):
                     for j, factor in enumerate(factors):
-                        h = tv.mix(grams ^ factor) >> U64(32)
+                        h = (grams * factor) >> U64(32)  # shingles are mixed already: the high half of an odd multiple is a new order
                         values[some, j] = np.minimum.reduceat(h, first[:-1][some]).astype(np.uint32)
                 sig = pa.array([x.tobytes() for x in values.astype(">u4")], pa.binary())
+                low_bytes = pa.array([x.tobytes() for x in values.astype(np.uint8)], pa.binary())
                 names = [x.split()[0] for x in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([doc.slice(low, high - low), pa.array(n.astype(np.int64)), pa.array(digests[0]), pa.array(digests[1]), sig], names)
+                yield pa.RecordBatch.from_arrays([doc.slice(low, high - low), pa.array(n.astype(np.int64)), pa.array(digests[0]), pa.array(digests[1]), sig, low_bytes], names)
 
     return docs.select("doc", "__text").mapInArrow(run, schema)
 
 
-def _neighbours(ordered: DataFrame, least: int, reach: int) -> DataFrame:
-    """(x, y, prefix): for sorted rows (tree, key, node, component), up to ``reach`` neighbours of other components before each row."""
+def _neighbours(ordered: DataFrame, least: int, reach: int, best: bool) -> DataFrame:
+    """(x, y, cx, cy, prefix): for sorted rows (tree, key, node, component), up to ``reach`` neighbours of other components before each row.
+
+    best: of the pairs of a batch only the one with the longest prefix for each component.
+    """
+    names = ["x", "y", "cx", "cy", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree, recent = None, []  # recent: [component, node, values shared with the last row], the nearest last
         last = b""
         for batch in batches:
-            xs, ys, prefix = [], [], []
+            rows = []
             for t, key, node, component in zip(*(batch[c].to_pylist() for c in ("tree", "key", "node", "component")), strict=True):
                 if t != tree:
                     tree, recent = t, []
@@ -108,26 +115,33 @@ def _neighbours(ordered: DataFrame, least: int, reach: int) -> DataFrame:
                     else:
                         for r in recent:
                             r[2] = min(r[2], same)
-                for other, y, p in recent:
-                    if other != component and y != node:
-                        xs.append(node)
-                        ys.append(y)
-                        prefix.append(p)
+                rows.extend((node, y, component, other, p) for other, y, p in recent if other != component and y != node)
                 recent = [r for r in recent if r[0] != component][-reach:]
                 recent.append([component, node, len(key) // 4])
                 last = key
-            yield pa.RecordBatch.from_arrays([pa.array(xs, pa.int64()), pa.array(ys, pa.int64()), pa.array(prefix, pa.int32())], ["x", "y", "prefix"])
+            if best:
+                top = {}
+                for row in rows:
+                    for c in row[2:4]:
+                        if c not in top or row[4] > top[c][4]:
+                            top[c] = row
+                rows = list(set(top.values()))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "prefix" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
 
-    return ordered.mapInArrow(run, "x long, y long, prefix int")
+    return ordered.mapInArrow(run, "x long, y long, cx long, cy long, prefix int")
 
 
 def _agreeing(pairs: DataFrame, threshold: float, functions: int) -> DataFrame:
-    """Pairs (x, y, sig_x, sig_y) whose MinHash values agree often enough, with their share."""
+    """Pairs (x, y, low_x, low_y) whose MinHash values agree often enough, with their share.
+
+    Only the low byte of each value is compared: it agrees whenever the values do, so the share is never too small.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint32).reshape(-1, functions) for c in ("sig_x", "sig_y")]
-            share = (sig[0] == sig[1]).mean(1) if batch.num_rows else np.zeros(0)
+            low = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, functions) for c in ("low_x", "low_y")]
+            share = (low[0] == low[1]).mean(1) if batch.num_rows else np.zeros(0)
             keep = np.flatnonzero(share >= threshold)
             yield pa.RecordBatch.from_arrays([batch["x"].take(pa.array(keep)), batch["y"].take(pa.array(keep)), pa.array(share[keep], pa.float64())], ["x", "y", "share"])
 
@@ -152,9 +166,29 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.mapInArrow(run, "x long, y long")
 
 
+def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of texts that pairs (x, y) name; few ids, by their count, go to the texts, else both are shuffled."""
+    ids = shared.written(pairs.select(F.col("x").alias("doc")).union(pairs.select(F.col("y").alias("doc"))).distinct(), "needed")
+    return shared.written(texts.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc", "left_semi"), "texts")
+
+
+def _joined_groups(component: DataFrame, links: DataFrame) -> DataFrame:
+    """component (node, component) after links (x, y) between nodes; the links of a round are joined as links between components."""
+    of = lambda end: component.select(F.col("node").alias(end), F.col("component").alias("a" if end == "x" else "b"))
+    merged = shared.components(links.join(of("x"), "x").join(of("y"), "y").select("a", "b").where("a <> b").distinct())
+    merged = merged.select(F.col("node").alias("component"), F.col("component").alias("into"))
+    return component.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+
+
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 20, depth: int = 6, least: int = 2, reach: int = 8, most_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
     """(doc, n_shingles) of every row and (doc, component) of every document with a set; no text is shuffled but of candidates.
 
+    The first round confirms the most similar neighbour of each class.  As long
+    as at least a quarter of what is confirmed are links, rounds follow that ask
+    for one neighbour of each component, so a large group shrinks to few
+    components at little cost.  Only rounds over all neighbours within ``reach``
+    end the search, when they find no new link.
+
     A pair at 85 % is no candidate of any order with a probability of about
     1e-11 where regions are sparse (prefix 2) and 1e-4 where all orders need
     their whole depth.  ``most_rounds`` only guards against an endless loop and
@@ -166,46 +200,52 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     made = shared.written(signatures(wide, functions), "minhash")
     # One row a class; equal sets have equal values, so any row's signature stands for all.
     known = made.where((F.col("n_shingles") > 0) & (F.col("doc") != NO_ID))
-    classes = shared.written(known.groupBy("a", "b").agg(F.min("doc").alias("node"), F.max("sig").alias("sig")), "classes")
-    nodes = classes.select("node", "sig")
+    classes = shared.written(known.groupBy("a", "b").agg(F.min("doc").alias("node"), F.max("sig").alias("sig"), F.max("low").alias("low")), "classes")
     keys = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 1 + 4 * depth * t, 4 * depth).alias("key")) for t in range(trees)])
-    orders = nodes.select("node", F.explode(keys).alias("k")).select("k.tree", "k.key", "node")
+    orders = classes.select("node", F.explode(keys).alias("k")).select("k.tree", "k.key", "node")
     texts = wide.where(F.col("doc") != NO_ID).select("doc", "__text")
-    component = nodes.select("node").distinct().select("node", F.col("node").alias("component"))
+    low = {end: classes.select(F.col("node").alias(end), F.col("low").alias(f"low_{end}")) for end in "xy"}
     # Rows that share an id but not their set: one node of several classes, linked already.
-    links = spark.createDataFrame([], "a long, b long")
-    tested, members = None, None
+    component = shared.written(classes.select("node").distinct().select("node", F.col("node").alias("component")), "components")
+    tested, shrinking = None, True
     for round_ in range(most_rounds):
-        if members is not None:
-            component = component.select("node").join(members.withColumnRenamed("component", "c"), "node", "left").select("node", F.coalesce("c", "node").alias("component"))
-        own = orders.join(component, "node") if round_ else orders.withColumn("component", F.col("node"))
-        ordered = own.repartitionByRange(F.col("tree"), F.col("key"), F.xxhash64("node")).sortWithinPartitions("tree", "key", F.xxhash64("node"))
-        found = _neighbours(ordered, least, reach if round_ else 1)
+        single = round_ > 0 and shrinking
+        ordered = orders.join(component, "node").repartitionByRange(F.col("tree"), F.col("key"), F.xxhash64("node")).sortWithinPartitions("tree", "key", F.xxhash64("node"))
+        found = _neighbours(ordered, least, 1 if shrinking else reach, single)
+        if single:
+            ends = found.select(F.col("cx").alias("c"), "x", "y", "prefix").unionByName(found.select(F.col("cy").alias("c"), "x", "y", "prefix"))
+            found = ends.groupBy("c").agg(F.max(F.struct("prefix", "x", "y")).alias("m")).select("m.x", "m.y")
         pairs = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = pairs.join(nodes.select(F.col("node").alias("x"), F.col("sig").alias("sig_x")), "x").join(nodes.select(F.col("node").alias("y"), F.col("sig").alias("sig_y")), "y")
-        near = shared.written(_agreeing(pairs, percent / 100 - SLACK, functions).groupBy("x", "y").agg(F.max("share").alias("share")), "near")
+        near = _agreeing(pairs.join(low["x"], "x").join(low["y"], "y"), percent / 100 - SLACK, functions).groupBy("x", "y").agg(F.max("share").alias("share"))
         if not round_:  # the most similar neighbour of each class, in both directions, connects most of a group
+            near = shared.written(near, "near")
             ends = near.select(F.col("x").alias("n"), "x", "y", "share").unionByName(near.select(F.col("y").alias("n"), "x", "y", "share"))
             near = ends.groupBy("n").agg(F.max(F.struct("share", "x", "y")).alias("m")).select("m.x", "m.y").distinct()
         near = shared.written(near.select("x", "y"), "asked")
-        if near.isEmpty():
-            break
+        asked = near.count()
+        if not asked:
+            if not shrinking:
+                break
+            shrinking = False
+            continue
         # Texts are asked for by the nodes of pairs alone; of rows that share an id each is compared.
-        asked = near.join(texts.select(F.col("doc").alias("x"), F.col("__text").alias("text_x")), "x").join(texts.select(F.col("doc").alias("y"), F.col("__text").alias("text_y")), "y")
-        true = shared.written(_confirmed(asked, percent).distinct(), "links")
+        own = _texts_of(texts, near)
+        both = near.join(own.select(F.col("doc").alias("x"), F.col("__text").alias("text_x")), "x").join(own.select(F.col("doc").alias("y"), F.col("__text").alias("text_y")), "y")
+        true = shared.written(_confirmed(both, percent).distinct(), "links")
+        shared.dropped(own)
         tested = near if tested is None else shared.written(tested.unionByName(near), "tested")
-        if round_ and true.isEmpty():
+        links = true.count()
+        if links:
+            component = shared.written(_joined_groups(component, true), "components")
+        elif not shrinking:
             break
-        links = links.unionByName(true.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        members = shared.written(shared.components(links), "components")
+        shrinking = shrinking and 4 * links >= asked
         shared.released(spark)
     else:
         raise RuntimeError(f"near duplicates still found new links after {most_rounds} rounds")
-    if members is None:
-        members = spark.createDataFrame([], "node long, component long")
-    grouped = classes.select("a", "b", "node").join(members, "node", "left").select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.coalesce("component", "node").alias("component"))
+    grouped = classes.select("a", "b", "node").join(component, "node").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "component")
     # A document's own digest finds its class; hot classes are left to the join's skew handling.
     of_rows = shared.written(made.select("doc", "n_shingles", "a", "b").distinct().join(grouped, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("n_shingles") > 0), "left").where("component is not null").groupBy("doc").agg(F.min("component").alias("component")), "members")
     return made.select("doc", "n_shingles"), of_rows
