@@ -139,20 +139,22 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return m[:n] if have == w else np.minimum(m[:n], m[w - have : w - have + n])
 
 
+#: Low bits of a hash that ``sliding_argmin`` gives up for the index.
+INDEX_BITS = 24
+
+
 def sliding_argmin(x: np.ndarray, w: int) -> np.ndarray:
-    """Index of the leftmost minimum of each w consecutive values, by doubling."""
+    """Index of the leftmost minimum of each w consecutive hashes, by doubling; the lowest INDEX_BITS bits of a hash don't count."""
     n = len(x) - w + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-
-    def lower(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where(x[b] < x[a], b, a)
-
-    have, at = 1, np.arange(len(x))
-    while have * 2 <= w:
-        at = lower(at[: len(at) - have], at[have:])
-        have *= 2
-    return at[:n] if have == w else lower(at[:n], at[w - have : w - have + n])
+    step, mask = 1 << INDEX_BITS, U64((1 << INDEX_BITS) - 1)
+    out = np.empty(n, np.int64)
+    for low in range(0, n, step - w):  # so many at a time that each index fits into its bits
+        part = x[low : min(low + step - w, n) + w - 1]
+        least = sliding_min((part & ~mask) | np.arange(len(part), dtype=U64), w)
+        out[low : low + len(least)] = (least & mask).astype(np.int64) + low
+    return out
 
 
 def windows_inside(first: np.ndarray, width: int) -> np.ndarray:
