@@ -37,6 +37,8 @@ NO_ID = -(1 << 63)
 SHINGLE = 5
 #: A pair whose estimated similarity is lower by this much is not confirmed: over 4.5 standard deviations at 120 values.
 SLACK = 0.15
+#: The same in the rounds that shrink groups, which need not find all.
+LIKELY = 0.05
 #: Ids, of 8 bytes, that are broadcast to the texts at most.
 SENT_IDS = 200_000
 
@@ -66,7 +68,7 @@ def _multipliers(n: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, functions: int) -> DataFrame:
-    """(doc, n_shingles, a, b, sig, low) of rows (doc, __text): a 128-bit digest of the set, its MinHash values as 32-bit words, and their low bytes."""
+    """(doc, n_shingles, a, b, sig, low) of rows (doc, __text): a 128-bit digest of the set, its MinHash values as 32-bit words, and the low four bits of each."""
     schema = "doc long, n_shingles long, a long, b long, sig binary, low binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,69 +85,54 @@ def signatures(docs: DataFrame, functions: int) -> DataFrame:
                         h = (grams * factor) >> U64(32)  # shingles are mixed already: the high half of an odd multiple is a new order
                         values[some, j] = np.minimum.reduceat(h, first[:-1][some]).astype(np.uint32)
                 sig = pa.array([x.tobytes() for x in values.astype(">u4")], pa.binary())
-                low_bytes = pa.array([x.tobytes() for x in values.astype(np.uint8)], pa.binary())
+                bits = (values & 15).astype(np.uint8)
+                low_bits = pa.array([x.tobytes() for x in bits[:, ::2] | bits[:, 1::2] << 4], pa.binary())
                 names = [x.split()[0] for x in schema.split(", ")]
-                yield pa.RecordBatch.from_arrays([doc.slice(low, high - low), pa.array(n.astype(np.int64)), pa.array(digests[0]), pa.array(digests[1]), sig, low_bytes], names)
+                yield pa.RecordBatch.from_arrays([doc.slice(low, high - low), pa.array(n.astype(np.int64)), pa.array(digests[0]), pa.array(digests[1]), sig, low_bits], names)
 
     return docs.select("doc", "__text").mapInArrow(run, schema)
 
 
-def _neighbours(ordered: DataFrame, least: int, reach: int, best: bool) -> DataFrame:
-    """(x, y, cx, cy, prefix): for sorted rows (tree, key, node, component), up to ``reach`` neighbours of other components before each row.
+def _neighbours(ordered: DataFrame, least: int, reach: int, threshold: float, best: bool) -> DataFrame:
+    """(x, y, cx, cy, share): for sorted rows (tree, key, node, component, low), up to ``reach`` neighbours of other components before each row.
 
-    best: of the pairs of a batch only the one with the longest prefix for each component.
+    Only pairs whose MinHash values agree in ``threshold`` of all orders: four
+    bits of each value are compared, which agree whenever the values do, so the
+    share is never too small.  best: of the pairs of a batch only the most
+    similar one of each component.
     """
-    names = ["x", "y", "cx", "cy", "prefix"]
+    names = ["x", "y", "cx", "cy", "share"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, recent = None, []  # recent: [component, node, values shared with the last row], the nearest last
+        tree, recent = None, []  # recent: (component, node, low), the nearest last
         last = b""
         for batch in batches:
-            rows = []
-            for t, key, node, component in zip(*(batch[c].to_pylist() for c in ("tree", "key", "node", "component")), strict=True):
-                if t != tree:
+            rows, lows = [], ([], [])
+            for t, key, node, component, low in zip(*(batch[c].to_pylist() for c in ("tree", "key", "node", "component", "low")), strict=True):
+                if t != tree or key[: 4 * least] != last[: 4 * least]:
                     tree, recent = t, []
-                elif recent:
-                    same = 0
-                    while same < len(key) and key[same : same + 4] == last[same : same + 4]:
-                        same += 4
-                    same //= 4
-                    if same < least:
-                        recent = []
-                    else:
-                        for r in recent:
-                            r[2] = min(r[2], same)
-                rows.extend((node, y, component, other, p) for other, y, p in recent if other != component and y != node)
+                for other, y, its in recent:
+                    if other != component and y != node:
+                        rows.append((node, y, component, other))
+                        lows[0].append(low)
+                        lows[1].append(its)
                 recent = [r for r in recent if r[0] != component][-reach:]
-                recent.append([component, node, len(key) // 4])
+                recent.append((component, node, low))
                 last = key
+            if not rows:
+                continue
+            apart = np.frombuffer(b"".join(lows[0]), np.uint8) ^ np.frombuffer(b"".join(lows[1]), np.uint8)
+            share = (((apart & 15) == 0).astype(np.int16) + ((apart >> 4) == 0)).reshape(len(rows), -1).sum(1) / (2 * len(lows[0][0]))
+            at = np.flatnonzero(share >= threshold)
             if best:
                 top = {}
-                for row in rows:
-                    for c in row[2:4]:
-                        if c not in top or row[4] > top[c][4]:
-                            top[c] = row
-                rows = list(set(top.values()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if n == "prefix" else pa.int64()) for n, c in zip(names, columns, strict=True)], names)
+                for i in at[np.argsort(share[at], kind="stable")].tolist():
+                    top[rows[i][2]] = top[rows[i][3]] = i
+                at = np.array(sorted(set(top.values())), np.int64)
+            columns = np.array([rows[i] for i in at.tolist()], np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*(pa.array(columns[:, i]) for i in range(4)), pa.array(share[at])], names)
 
-    return ordered.mapInArrow(run, "x long, y long, cx long, cy long, prefix int")
-
-
-def _agreeing(pairs: DataFrame, threshold: float, functions: int) -> DataFrame:
-    """Pairs (x, y, low_x, low_y) whose MinHash values agree often enough, with their share.
-
-    Only the low byte of each value is compared: it agrees whenever the values do, so the share is never too small.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            low = [np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, functions) for c in ("low_x", "low_y")]
-            share = (low[0] == low[1]).mean(1) if batch.num_rows else np.zeros(0)
-            keep = np.flatnonzero(share >= threshold)
-            yield pa.RecordBatch.from_arrays([batch["x"].take(pa.array(keep)), batch["y"].take(pa.array(keep)), pa.array(share[keep], pa.float64())], ["x", "y", "share"])
-
-    return pairs.mapInArrow(run, "x long, y long, share double")
+    return ordered.mapInArrow(run, "x long, y long, cx long, cy long, share double")
 
 
 def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
@@ -196,34 +183,29 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     """
     spark = shared.session(docs)
     functions = trees * depth
+    if functions % 2:
+        raise ValueError("trees * depth must be even")
     wide = shared.packed(docs, id_col, text_col).withColumn("doc", F.coalesce(F.col("__id").cast("long"), F.lit(NO_ID)))
     made = shared.written(signatures(wide, functions), "minhash")
     # One row a class; equal sets have equal values, so any row's signature stands for all.
     known = made.where((F.col("n_shingles") > 0) & (F.col("doc") != NO_ID))
     classes = shared.written(known.groupBy("a", "b").agg(F.min("doc").alias("node"), F.max("sig").alias("sig"), F.max("low").alias("low")), "classes")
     keys = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 1 + 4 * depth * t, 4 * depth).alias("key")) for t in range(trees)])
-    orders = classes.select("node", F.explode(keys).alias("k")).select("k.tree", "k.key", "node")
+    orders = classes.select("node", "low", F.explode(keys).alias("k")).select("k.tree", "k.key", "node", "low")
     texts = wide.where(F.col("doc") != NO_ID).select("doc", "__text")
-    low = {end: classes.select(F.col("node").alias(end), F.col("low").alias(f"low_{end}")) for end in "xy"}
     # Rows that share an id but not their set: one node of several classes, linked already.
     component = shared.written(classes.select("node").distinct().select("node", F.col("node").alias("component")), "components")
     tested, shrinking = None, True
     for round_ in range(most_rounds):
-        single = round_ > 0 and shrinking
         ordered = orders.join(component, "node").repartitionByRange(F.col("tree"), F.col("key"), F.xxhash64("node")).sortWithinPartitions("tree", "key", F.xxhash64("node"))
-        found = _neighbours(ordered, least, 1 if shrinking else reach, single)
-        if single:
-            ends = found.select(F.col("cx").alias("c"), "x", "y", "prefix").unionByName(found.select(F.col("cy").alias("c"), "x", "y", "prefix"))
-            found = ends.groupBy("c").agg(F.max(F.struct("prefix", "x", "y")).alias("m")).select("m.x", "m.y")
-        pairs = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        found = _neighbours(ordered, least, 1 if shrinking else reach, percent / 100 - (LIKELY if shrinking else SLACK), shrinking and round_ > 0)
+        if shrinking:  # the most similar neighbour of each component (first: class) connects most of a group
+            ends = found.select(F.explode(F.array("cx", "cy")).alias("c"), "share", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
+            found = ends.groupBy("c").agg(F.max(F.struct("share", "x", "y")).alias("m")).select("m.x", "m.y")
+        near = found.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
         if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        near = _agreeing(pairs.join(low["x"], "x").join(low["y"], "y"), percent / 100 - SLACK, functions).groupBy("x", "y").agg(F.max("share").alias("share"))
-        if not round_:  # the most similar neighbour of each class, in both directions, connects most of a group
-            near = shared.written(near, "near")
-            ends = near.select(F.col("x").alias("n"), "x", "y", "share").unionByName(near.select(F.col("y").alias("n"), "x", "y", "share"))
-            near = ends.groupBy("n").agg(F.max(F.struct("share", "x", "y")).alias("m")).select("m.x", "m.y").distinct()
-        near = shared.written(near.select("x", "y"), "asked")
+            near = near.join(tested, ["x", "y"], "left_anti")
+        near = shared.written(near, "asked")
         asked = near.count()
         if not asked:
             if not shrinking:
