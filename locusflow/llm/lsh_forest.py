@@ -206,6 +206,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
         if tested is not None:
             near = near.join(tested, ["x", "y"], "left_anti")
         near = shared.written(near, "asked")
+        ordered = found = ends = None  # the orders' shuffle files go now, not with the next round's
+        shared.released(spark)
         asked = near.count()
         if not asked:
             if not shrinking:
@@ -217,13 +219,21 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
         both = near.join(own.select(F.col("doc").alias("x"), F.col("__text").alias("text_x")), "x").join(own.select(F.col("doc").alias("y"), F.col("__text").alias("text_y")), "y")
         true = shared.written(_confirmed(both, percent).distinct(), "links")
         shared.dropped(own)
-        tested = near if tested is None else shared.written(tested.unionByName(near), "tested")
+        if tested is None:
+            tested = near
+        else:
+            before, tested = tested, shared.written(tested.unionByName(near), "tested")
+            shared.dropped(before)
+            shared.dropped(near)
         links = true.count()
         if links:
-            component = shared.written(_joined_groups(component, true), "components")
+            before, component = component, shared.written(_joined_groups(component, true), "components")
+            shared.dropped(before)
         elif not shrinking:
             break
         shrinking = shrinking and 4 * links >= asked
+        shared.dropped(true)
+        own = both = near = true = before = None
         shared.released(spark)
     else:
         raise RuntimeError(f"near duplicates still found new links after {most_rounds} rounds")
