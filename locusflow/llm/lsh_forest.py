@@ -191,13 +191,13 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     known = made.where((F.col("n_shingles") > 0) & (F.col("doc") != NO_ID))
     classes = shared.written(known.groupBy("a", "b").agg(F.min("doc").alias("node"), F.max("sig").alias("sig"), F.max("low").alias("low")), "classes")
     keys = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 1 + 4 * depth * t, 4 * depth).alias("key")) for t in range(trees)])
-    orders = classes.select("node", "low", F.explode(keys).alias("k")).select("k.tree", "k.key", "node", "low")
     texts = wide.where(F.col("doc") != NO_ID).select("doc", "__text")
     # Rows that share an id but not their set: one node of several classes, linked already.
     component = shared.written(classes.select("node").distinct().select("node", F.col("node").alias("component")), "components")
     tested, shrinking = None, True
     for round_ in range(most_rounds):
-        ordered = orders.join(component, "node").repartitionByRange(F.col("tree"), F.col("key"), F.xxhash64("node")).sortWithinPartitions("tree", "key", F.xxhash64("node"))
+        orders = classes.join(component, "node").select("node", "component", "low", F.explode(keys).alias("k")).select("k.tree", "k.key", "node", "component", "low")
+        ordered = orders.repartitionByRange(F.col("tree"), F.col("key"), F.xxhash64("node")).sortWithinPartitions("tree", "key", F.xxhash64("node"))
         found = _neighbours(ordered, least, 1 if shrinking else reach, percent / 100 - (LIKELY if shrinking else SLACK), shrinking and round_ > 0)
         if shrinking:  # the most similar neighbour of each component (first: class) connects most of a group
             ends = found.select(F.explode(F.array("cx", "cy")).alias("c"), "share", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
@@ -206,7 +206,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
         if tested is not None:
             near = near.join(tested, ["x", "y"], "left_anti")
         near = shared.written(near, "asked")
-        ordered = found = ends = None  # the orders' shuffle files go now, not with the next round's
+        orders = ordered = found = ends = None  # the orders' shuffle files go now, not with the next round's
         shared.released(spark)
         asked = near.count()
         if not asked:
