@@ -37,8 +37,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the least id."""
-    out = lsh_forest.near_duplicates(docs, id_col=ID, text_col=TEXT)
+    """One document of each group of near duplicates (similarity of 0.8 and more on five-word shingles): the least id."""
+    out = lsh_forest.near_duplicates(docs, id_col=ID, text_col=TEXT, percent=80)
     return out.where("kept or __id is null").select(*shared.unpacked(docs, ID, TEXT))
 
 

@@ -178,7 +178,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
 
     A pair at 85 % is no candidate of any order with a probability of about
     1e-11 where regions are sparse (prefix 2) and 1e-4 where all orders need
-    their whole depth.  ``most_rounds`` only guards against an endless loop and
+    their whole depth; a pair at 80 %, as the pipeline asks for, of 1e-9 and
+    2e-3.  ``most_rounds`` only guards against an endless loop and
     raises, it never cuts work short.
     """
     spark = shared.session(docs)
