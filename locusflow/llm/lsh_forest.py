@@ -11,7 +11,9 @@ only the closest remain.  Candidates that pass an estimate from all MinHash
 values are confirmed on the full sets.
 
 Further rounds look at neighbours in other components than one's own, in the
-end ``reach`` of them in each order, until such a round finds no new link.  So a group of
+end ``reach`` of them in each order, until such a round finds no new link.  What
+then still shares ``least`` values of an order with another component, however
+many classes do, goes to an exact join of shingles.  So a group of
 thousands of copies costs some candidates a class, never all pairs, and no
 group meets in one task: orders are dealt by ranges of the whole key.
 
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,12 @@ SHINGLE = 5
 SLACK = 0.15
 #: The same in the rounds that shrink groups, which need not find all.
 LIKELY = 0.05
+#: The same for the pairs of the closing join: over eight standard deviations.
+WIDE = 0.3
+#: Of so many rows one is read for the frequent shingles, which only order the others.
+SAMPLE = 16
+#: Rows of a shingle that are compared with as many in one piece of the closing join.
+BLOCK = 2000
 #: Ids, of 8 bytes, that are broadcast to the texts at most.
 SENT_IDS = 200_000
 
@@ -159,6 +168,15 @@ def _texts_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return shared.written(texts.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc", "left_semi"), "texts")
 
 
+def _links(texts: DataFrame, near: DataFrame, percent: int) -> DataFrame:
+    """The pairs near (x, y) that are links, written. Texts are asked for by the nodes of pairs alone; of rows that share an id each is compared."""
+    own = _texts_of(texts, near)
+    both = near.join(own.select(F.col("doc").alias("x"), F.col("__text").alias("text_x")), "x").join(own.select(F.col("doc").alias("y"), F.col("__text").alias("text_y")), "y")
+    true = shared.written(_confirmed(both, percent).distinct(), "links")
+    shared.dropped(own)
+    return true
+
+
 def _joined_groups(component: DataFrame, links: DataFrame) -> DataFrame:
     """component (node, component) after links (x, y) between nodes; the links of a round are joined as links between components."""
     of = lambda end: component.select(F.col("node").alias(end), F.col("component").alias("a" if end == "x" else "b"))
@@ -167,19 +185,113 @@ def _joined_groups(component: DataFrame, links: DataFrame) -> DataFrame:
     return component.join(merged, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
 
 
+def _prefixes(texts: DataFrame, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(g, row, doc, component, n, pos, first) of rows (doc, component, __text): the shingles at whose least shared one a pair is found.
+
+    The shingles of a set stand in one order for all, the ``common`` ones last.
+    Of two sets of a similarity of ``percent`` the least shared shingle is among
+    the first n - ceil(percent * n / 100) + 1 of each, and of the smaller set
+    (first) among the first n - ceil(2 * percent * n / (100 + percent)) + 1.
+    Any order gives all pairs; that of ``common`` only makes them fewer.
+    """
+    sent = shared.session(texts).sparkContext.broadcast(common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, times = sent.value
+        number = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for low, high, grams, first in shingle_sets(batch["__text"]):
+                n = np.diff(first)
+                owner = np.repeat(np.arange(high - low), n)
+                at = np.minimum(np.searchsorted(keys, grams), max(len(keys) - 1, 0))
+                weight = np.where(keys[at] == grams, times[at], 0) if len(keys) else np.zeros(len(grams), np.int64)
+                order = np.lexsort((grams, weight, owner))
+                grams, place = grams[order], np.arange(len(grams)) - first[:-1][owner]
+                size = n[owner]
+                keep = np.flatnonzero(place <= size + (-percent * size) // 100)
+                where, size, place = owner[keep], size[keep], place[keep]
+                docs, own = (batch[c].slice(low, high - low).take(pa.array(where)) for c in ("doc", "component"))
+                inner = place <= size + (-2 * percent * size) // (100 + percent)
+                yield pa.RecordBatch.from_arrays([pa.array(grams[keep].view(np.int64)), pa.array(number + where), docs, own, pa.array(size), pa.array(place), pa.array(inner)], ["g", "row", "doc", "component", "n", "pos", "first"])
+                number += high - low
+
+    return texts.mapInArrow(run, "g long, row long, doc long, component long, n long, pos long, first boolean")
+
+
+def _common(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles most frequent in one of SAMPLE rows, and how often they are there; at most SENT_IDS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, grams, _ in shingle_sets(batch["__text"]):
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64))], ["g"])
+
+    some = texts.where(F.pmod(F.xxhash64("doc"), F.lit(SAMPLE)) == 0).select("__text").mapInArrow(run, "g long")
+    found = some.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 2").orderBy(F.desc("n"), "g").limit(SENT_IDS).toPandas()
+    keys = found["g"].to_numpy(np.int64).view(U64)
+    order = np.argsort(keys)
+    return keys[order], found["n"].to_numpy(np.int64)[order]
+
+
+def _alike(pairs: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (x, y, low_x, low_y) that agree in ``threshold`` of the low bits' values."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            apart = np.frombuffer(b"".join(batch["low_x"].to_pylist()), np.uint8) ^ np.frombuffer(b"".join(batch["low_y"].to_pylist()), np.uint8)
+            same = (((apart & 15) == 0).astype(np.int16) + ((apart >> 4) == 0)).reshape(batch.num_rows, -1)
+            keep = pa.array(np.flatnonzero(same.sum(1) >= threshold * 2 * same.shape[1]))
+            yield pa.RecordBatch.from_arrays([batch["x"].take(keep), batch["y"].take(keep)], ["x", "y"])
+
+    return pairs.mapInArrow(run, "x long, y long")
+
+
+def _left_open(classes: DataFrame, component: DataFrame, texts: DataFrame, keys, least: int, percent: int) -> DataFrame:
+    """(x, y) in different components, by a prefix-filtered join: all pairs of ``percent`` among classes that share ``least`` values of an order with another component.
+
+    Groups of a shingle are dealt in squares of at most BLOCK by BLOCK rows.
+    """
+    heads = classes.join(component, "node").select("node", "component", F.explode(keys).alias("k")).select("node", "component", "k.tree", F.substring("k.key", 1, 4 * least).alias("head"))
+    mixed = heads.groupBy("tree", "head").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("tree", "head")
+    open_ = shared.written(heads.join(mixed, ["tree", "head"], "left_semi").select(F.col("node").alias("doc"), "component").distinct(), "open")
+    rows = shared.written(texts.join(F.broadcast(open_) if open_.count() <= SENT_IDS else open_, "doc"), "open-texts")
+    found = shared.written(_prefixes(rows, percent, _common(rows)), "prefixes")
+    shared.dropped(rows)
+    groups_ = found.groupBy("g").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.sum(F.col("first").cast("long")).alias("firsts"), F.count(F.lit(1)).alias("all"))
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    groups_ = groups_.where("lo <> hi and firsts > 0").select("g", parts("firsts").alias("down"), parts("all").alias("across"))
+    dealt = shared.written(found.join(groups_, "g"), "dealt")
+    shared.dropped(found)
+    own = lambda n: F.pmod(F.xxhash64("row"), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    side = lambda rows, e: rows.select("g", "i", "j", *[F.col(c).alias(f"{c}_{e}") for c in ("row", "doc", "component", "n", "pos")])
+    small = side(dealt.where("first").withColumn("i", own("down")).withColumn("j", each("across")), "x")
+    large = side(dealt.withColumn("j", own("across")).withColumn("i", each("down")), "y")
+    sized = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("row_x") < F.col("row_y")))
+    room = (100 + percent) * F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= percent * (F.col("n_x") + F.col("n_y"))
+    pairs = small.join(large, ["g", "i", "j"]).where((F.col("component_x") != F.col("component_y")) & sized & (100 * F.col("n_x") >= percent * F.col("n_y")) & room)
+    pairs = shared.written(pairs.select(F.least("doc_x", "doc_y").alias("x"), F.greatest("doc_x", "doc_y").alias("y")).distinct(), "open-pairs")
+    shared.dropped(dealt)
+    low = lambda e: classes.select(F.col("node").alias(e), F.col("low").alias(f"low_{e}"))
+    return _alike(pairs.join(low("x"), "x").join(low("y"), "y").select("x", "y", "low_x", "low_y"), percent / 100 - WIDE)
+
+
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 20, depth: int = 6, least: int = 2, reach: int = 8, most_rounds: int = 50) -> tuple[DataFrame, DataFrame]:
     """(doc, n_shingles) of every row and (doc, component) of every document with a set; no text is shuffled but of candidates.
 
     The first round confirms the most similar neighbour of each class.  As long
     as at least a quarter of what is confirmed are links, rounds follow that ask
     for one neighbour of each component, so a large group shrinks to few
-    components at little cost.  Only rounds over all neighbours within ``reach``
-    end the search, when they find no new link.
-
-    A pair at 85 % is no candidate of any order with a probability of about
-    1e-11 where regions are sparse (prefix 2) and 1e-4 where all orders need
-    their whole depth; a pair at 80 %, as the pipeline asks for, of 1e-9 and
-    2e-3.  ``most_rounds`` only guards against an endless loop and
+    components at little cost.  Rounds over all neighbours within ``reach``
+    follow until one finds no new link.  The pairs these do not reach, as their
+    places are held by others, are left to ``_left_open``.
+
+    A pair at 85 % shares two values (``least``) of no order with a probability
+    of about 1e-11, one at 80 %, as the pipeline asks for, of 1e-9; all other
+    pairs are joined exactly, but for the estimate from MinHash values, which
+    is eight standard deviations wide.  ``most_rounds`` only guards against an endless loop and
     raises, it never cuts work short.
     """
     spark = shared.session(docs)
@@ -215,11 +327,7 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
                 break
             shrinking = False
             continue
-        # Texts are asked for by the nodes of pairs alone; of rows that share an id each is compared.
-        own = _texts_of(texts, near)
-        both = near.join(own.select(F.col("doc").alias("x"), F.col("__text").alias("text_x")), "x").join(own.select(F.col("doc").alias("y"), F.col("__text").alias("text_y")), "y")
-        true = shared.written(_confirmed(both, percent).distinct(), "links")
-        shared.dropped(own)
+        true = _links(texts, near, percent)
         if tested is None:
             tested = near
         else:
@@ -234,10 +342,15 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
             break
         shrinking = shrinking and 4 * links >= asked
         shared.dropped(true)
-        own = both = near = true = before = None
+        near = true = before = None
         shared.released(spark)
     else:
         raise RuntimeError(f"near duplicates still found new links after {most_rounds} rounds")
+    near = _left_open(classes, component, texts, keys, least, percent)
+    near = shared.written(near.join(tested, ["x", "y"], "left_anti") if tested is not None else near, "asked")
+    shared.released(spark)
+    if near.count():
+        component = shared.written(_joined_groups(component, _links(texts, near, percent)), "components")
     grouped = classes.select("a", "b", "node").join(component, "node").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "component")
     # A document's own digest finds its class; hot classes are left to the join's skew handling.
     of_rows = shared.written(made.select("doc", "n_shingles", "a", "b").distinct().join(grouped, (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")) & (F.col("n_shingles") > 0), "left").where("component is not null").groupBy("doc").agg(F.min("component").alias("component")), "members")

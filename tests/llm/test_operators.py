@@ -57,6 +57,23 @@ def test_near_duplicates(spark, docs):
     assert got == {i: (len(sets[i]), group[i], group[i] == i) for i in sets}
 
 
+def test_near_duplicates_among_many_of_one_template(spark):
+    def text(**changed):  # 200 shingles, a changed word takes five of them
+        return " ".join(changed.get(f"s{j}", f"t{j}") for j in range(204))
+
+    rows, want = [], {}
+    for i in range(200):
+        own = {f"s{j}": f"d{i}s{j}" for j in range(10, 90, 20)}  # 180 of 220 with another, 0.82
+        rows.append((i, text(**own)))
+        want[i] = i
+        if i < 40:  # a partner: 185 of 215, 0.86
+            rows.append((1000 + i, text(**own, **{f"s{j}": f"e{i}s{j}" for j in (140, 160, 180)})))
+            want[1000 + i] = i
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _, got = lsh_forest.groups(table, trees=6, least=1, reach=1)  # few places for neighbours: the others hold them
+    assert {r.doc: r.component for r in got.collect()} == want
+
+
 def test_windows(spark, docs):
     words = {i: (t or "").split() for i, t in corpus()}
     seen, gone = set(), {i: set() for i in words}
