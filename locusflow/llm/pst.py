@@ -6,11 +6,12 @@ probability, and the probabilities of all token sequences sum to at most one.
 Contexts have up to ``depth`` bytes of the same text.  A context becomes a
 state if its next-symbol distribution differs from its parent's (the context
 without its first byte) by more than ``penalty`` nats of likelihood gain for
-each distinct next symbol; at most ``max_states`` states are kept, those that
-gain most, which bounds what is broadcast.  A state's distribution is its
+each distinct next symbol; all such states are kept, in tables of the shared
+folder.  A state's distribution is its
 counts, less a discount that goes to the distribution of the longest shorter
 state; the root is smoothed with equal weight for all 256 bytes.  Each byte is
-scored from the longest suffix state of what stands before it.
+scored from the longest suffix state of what stands before it: the distinct
+grams of each chunk of texts are joined with the tables, then meet their chunk.
 
 Counts of contexts and words come from all training texts, those whose
 crc32(id as text) mod 5 is not 1.  The unigram base score needs every word's
@@ -42,6 +43,10 @@ END_KEY = -1
 #: Words at least this fraction of all tokens are broadcast: at most 2 million, 16 bytes each.
 HEAD = 5e-7
 
+#: Bytes of text after which a new chunk begins; a chunk's distinct grams meet its texts in one task.
+CHUNK = 6 << 20
+KINDS = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
+
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
@@ -152,36 +157,13 @@ def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return h
 
 
-class Tree:
-    """The retained states with their counts, and the smoothed distributions they give."""
-
-    def __init__(self, depth: int, discount: float, root: np.ndarray, states: list[np.ndarray], totals: list[np.ndarray], kinds: list[np.ndarray], entries: list[np.ndarray], counts: list[np.ndarray]):
-        self.depth, self.discount, self.root = depth, discount, root
-        self.states, self.totals, self.kinds, self.entries, self.counts = states, totals, kinds, entries, counts
-
-    def log10(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each gram after the bytes before it."""
-        p = (self.root + 0.5)[(grams & U64(255)).astype(np.int64)] / (self.root.sum() + 128.0)
-        context = grams >> U64(8)
-        live = np.arange(len(grams))
-        for d in range(1, self.depth + 1):
-            own = self.states[d - 1]
-            if not len(own):
-                continue
-            key = context & U64((1 << 8 * d) - 1)
-            at = np.minimum(np.searchsorted(own, key), len(own) - 1)
-            live = np.flatnonzero(own[at] == key)
-            if not len(live):
-                continue
-            at, entry = at[live], (key[live] << U64(8)) | (grams[live] & U64(255))
-            e = np.minimum(np.searchsorted(self.entries[d - 1], entry), len(self.entries[d - 1]) - 1)
-            c = np.where(self.entries[d - 1][e] == entry, self.counts[d - 1][e], 0)
-            p[live] = (np.maximum(c - self.discount, 0) + self.discount * self.kinds[d - 1][at] * p[live]) / self.totals[d - 1][at]
-        return np.log10(p)
-
-
-def learn(counts: DataFrame, *, depth: int, penalty: float, max_states: int, discount: float) -> Tree:
-    """The tree from (key, n) of depth+1 bytes. Levels are summed from the deepest up; only retained states reach the driver."""
+def learn(counts: DataFrame, needed: DataFrame, *, depth: int, penalty: float, discount: float) -> DataFrame:
+    """(key, p): the probability of the last byte of each needed key after those before it, from (key, n) of depth+1 bytes.
+
+    Levels are summed from the deepest up and probabilities go from the root
+    down, each level joined with the one before by its last bytes.  A state has
+    256 keys of its level at most, so no join meets a hot key.
+    """
     spark = shared.session(counts)
     levels = [counts.select("key", "n")]
     for d in range(depth, 0, -1):  # levels[-1] has d+1 bytes; the next has d
@@ -190,33 +172,64 @@ def learn(counts: DataFrame, *, depth: int, penalty: float, max_states: int, dis
     root = np.zeros(256)
     for r in levels[0].collect():  # 256 rows at most
         root[r["key"]] = r["n"]
-    scored = None
+    low = lambda column, n: F.col(column).bitwiseAND((1 << 8 * n) - 1)
+    values = F.array(*[F.lit(float(x)) for x in (root + 0.5) / (root.sum() + 128.0)])
+    p = spark.range(256).select(F.col("id").alias("key"), F.element_at(values, (F.col("id") + 1).cast("int")).alias("p"))
     for d in range(1, depth + 1):
         own = levels[d].select(F.shiftright("key", 8).alias("state"), F.col("key").alias("entry"), "n")
         parent = levels[d - 1].select(F.col("key").alias("p_entry"), F.col("n").alias("p_n"))
         p_total = levels[d - 1].groupBy(F.shiftright("key", 8).alias("p_state")).agg(F.sum("n").alias("p_total"))
-        joined = own.join(parent, F.col("entry").bitwiseAND((1 << 8 * d) - 1) == F.col("p_entry")).join(p_total, F.col("state").bitwiseAND((1 << 8 * (d - 1)) - 1) == F.col("p_state"))
+        joined = own.join(parent, low("entry", d) == F.col("p_entry")).join(p_total, low("state", d - 1) == F.col("p_state"))
         by = joined.groupBy("state").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("p_n") * F.col("p_total"))).alias("s"))
-        by = by.select(F.lit(d).alias("d"), "state", "total", "kinds", (F.col("s") - F.col("total") * F.log("total")).alias("gain"))
-        by = by.where(F.col("gain") > penalty * F.col("kinds"))
-        scored = by if scored is None else scored.unionByName(by)
-    kept = shared.checkpointed(scored.orderBy(F.desc("gain"), "d", "state").limit(max_states))
-    entries = None
-    for d in range(1, depth + 1):
-        own = levels[d].select(F.lit(d).alias("d"), F.shiftright("key", 8).alias("state"), "key", "n").join(F.broadcast(kept.select("d", "state")), ["d", "state"], "left_semi")  # max_states rows
-        entries = own if entries is None else entries.unionByName(own)
-    state_rows, entry_rows = kept.select("d", "state", "total", "kinds").toPandas(), entries.select("d", "key", "n").toPandas()
-    parts: list[list[np.ndarray]] = [[], [], [], [], []]
-    for d in range(1, depth + 1):
-        s = state_rows[state_rows["d"] == d].sort_values("state")
-        e = entry_rows[entry_rows["d"] == d].sort_values("key")
-        for part, x in zip(parts, (s["state"].to_numpy(np.int64).view(U64), s["total"].to_numpy(float), s["kinds"].to_numpy(float), e["key"].to_numpy(np.int64).view(U64), e["n"].to_numpy(float)), strict=True):
-            part.append(x)
-    del spark
-    return Tree(depth, discount, root, *parts)
+        by = by.where(F.col("s") - F.col("total") * F.log("total") > penalty * F.col("kinds")).select("state", "total", "kinds")
+        states = shared.written(by, "states")
+        keys = needed.select(low("key", d + 1).alias("key")).distinct() if d < depth else needed.select("key").distinct()
+        keys = keys.join(p.select(F.col("key").alias("suffix"), "p"), low("key", d) == F.col("suffix"))
+        keys = keys.join(states, F.shiftright("key", 8) == F.col("state"), "left").join(levels[d].select(F.col("key").alias("entry"), F.col("n").alias("c")), F.col("key") == F.col("entry"), "left")
+        left = F.greatest(F.coalesce("c", F.lit(0)) - discount, F.lit(0.0))
+        p = shared.written(keys.select("key", F.when(F.col("total").isNull(), F.col("p")).otherwise((left + discount * F.col("kinds") * F.col("p")) / F.col("total")).alias("p")), "probabilities")
+    return p
+
+
+def _chunked(rows: DataFrame) -> DataFrame:
+    """rows with their number and that of a chunk of a few MB of text."""
+    names = ["chunk", "row", "doc_id", "held_out", "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, chunk, size = (TaskContext.get().partitionId() << 33), TaskContext.get().partitionId() << 33, 0
+        for batch in batches:
+            for low, high in tv.slices(batch["text"], 2 << 20):
+                part = batch.slice(low, high - low)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(high - low, chunk)), pa.array(number + np.arange(high - low)), part["doc_id"], part["held_out"], part["text"]], names)
+                number, size = number + high - low, size + part["text"].nbytes
+                if size > CHUNK:
+                    chunk, size = chunk + 1, 0
+
+    return rows.mapInArrow(run, "chunk long, row long, doc_id long, held_out boolean, text string")
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, penalty: float = 2.0, max_states: int = 250_000, discount: float = 0.8) -> DataFrame:
+def _needed(chunks: DataFrame, depth: int) -> DataFrame:
+    """(chunk, key) of all grams scored in a chunk, each once for a slice of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owner = batch["chunk"].to_numpy()
+            for low, high in tv.slices(batch["text"], 2 << 20):
+                for c in np.unique(owner[low:high]).tolist():
+                    text = batch["text"].slice(low, high - low).filter(pa.array(owner[low:high] == c))
+                    stream, _ = symbols(*_words(text), depth)
+                    keys = np.unique(gram_keys(stream, depth))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c)), pa.array(keys.view(np.int64))], ["chunk", "key"])
+
+    return chunks.select("chunk", "text").mapInArrow(run, "chunk long, key long").distinct()
+
+
+def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    data, offsets = tv.buffers(text)
+    return data, *tv.word_bounds(data, offsets)
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, penalty: float = 2.0, discount: float = 0.8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text, learnt from the training rows."""
     spark = shared.session(docs)
     key = F.col(f"`{id_col}`").cast("long")
@@ -224,18 +237,27 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", de
     counts = shared.written(counted(rows.where("not held_out").select("text"), depth), "counts")
     shared.released(spark)
     words, grams = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
-    tree = learn(grams, depth=depth, penalty=penalty, max_states=max_states, discount=discount)
+    chunks = shared.written(_chunked(rows), "chunks")
+    needed = shared.written(_needed(chunks, depth), "needed")
+    logs_of = needed.join(learn(grams, needed, depth=depth, penalty=penalty, discount=discount), "key").select("chunk", "key", F.log10("p").alias("log"))
     total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     limit = max(1, int(total * HEAD))
     head = words.where(F.col("n") >= limit).toPandas().sort_values("key")  # at most 1 / HEAD rows
     head_keys, head_counts = head["key"].to_numpy(np.int64), head["n"].to_numpy(float)
-    model = spark.sparkContext.broadcast((tree, head_keys, head_counts))
+    model = spark.sparkContext.broadcast((head_keys, head_counts))
+    flat_names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "word", "times"]
+    flat_schema = pa.schema([(x, pa.bool_() if x == "held_out" else pa.float64() if x in ("base", "score") else pa.int64()) for x in flat_names])
     floor = np.log10(total + 0.5 * (distinct + 1))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree, head_keys, head_counts = model.value
+    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([b.select(flat_names) for b in scored(texts.combine_chunks().to_batches(), own)], schema=flat_schema)
+
+    def scored(batches: list[pa.RecordBatch], own: pa.Table) -> Iterator[pa.RecordBatch]:
+        head_keys, head_counts = model.value
+        keys_of, log_of = own["key"].to_numpy().view(U64), own["log"].to_numpy()
+        order_of = np.argsort(keys_of)
+        keys_of, log_of = keys_of[order_of], log_of[order_of]
         names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "word", "times"]
-        number = TaskContext.get().partitionId() << 33
         padded = np.append(head_counts, 0.0)
         for batch in batches:
             for low, high in tv.slices(batch["text"], 2 << 20):
@@ -250,10 +272,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", de
                 base = np.bincount(doc[common], np.log10(padded[at[common]] + 0.5), n)
                 stream, begin = symbols(data, starts, ends, first, depth)
                 keys, inverse = np.unique(gram_keys(stream, depth), return_inverse=True)
-                logs = np.concatenate(([0.0], np.cumsum(tree.log10(keys)[inverse])))
+                logs = np.concatenate(([0.0], np.cumsum(log_of[np.searchsorted(keys_of, keys)][inverse])))
                 model_score = logs[begin[1:] - 2 * depth] - logs[begin[:-1] - depth]
-                rows = number + np.arange(n)
-                number += n
+                rows = batch["row"].slice(low, n).to_numpy()
                 nothing = np.ones(n, bool)
                 yield pa.RecordBatch.from_arrays([pa.array(rows), batch["doc_id"].slice(low, n), batch["held_out"].slice(low, n), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), pa.array(model_score), pa.array(rows), pa.array(np.zeros(n, np.int64), mask=nothing)], names)
                 # The rare words go to the shuffle, once a text.
@@ -266,7 +287,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", de
                     none = [pa.nulls(m, k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
                     yield pa.RecordBatch.from_arrays([pa.array(rows[doc[one]]), *none, pa.array(h[one]), pa.array(times)], names)
 
-    flat = rows.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word long, times long")
+    flat = chunks.groupBy("chunk").cogroup(logs_of.groupBy("chunk")).applyInArrow(run, ", ".join(f"{f.name} {KINDS[f.type]}" for f in flat_schema))
     rare = words.where(F.col("n") < limit).select(F.col("key").alias("word"), F.col("n").alias("c"))
     seen = flat.join(rare, (F.col("times").isNotNull()) & (flat["word"] == rare["word"]), "left")
     # A header row has no times; it carries the text's columns and what the common words gave.
