@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Used only where the session names no folder, as in tests on one machine.
-LOCAL_SHARED = "file:///tmp/locusflow-shared"
+#: Edges whose components one task finds; more are handled by steps over all.
+FEW_EDGES = 1_000_000
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -19,9 +22,11 @@ def session(df: DataFrame) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = LOCAL_SHARED
+    if not folder and spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+        folder = f"file://{tempfile.gettempdir()}/locusflow-shared"  # one process: nothing to share with
         spark.sparkContext.setCheckpointDir(folder)
+    if not folder:
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return folder.rstrip("/")
 
 
@@ -71,19 +76,36 @@ def pieces(df: DataFrame, column: str, target_bytes: int = 16 << 20, least: int
     return max(least, -(-int(total) // target_bytes))
 
 
-def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
+def _of_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all edges that come, by hooking to the least label and halving paths."""
+    edges = [np.stack([x["a"].to_numpy(), x["b"].to_numpy()]) for x in batches]
+    if not edges:
+        return
+    nodes, ends = np.unique(np.concatenate(edges, 1), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        if (low == high).all():
+            break
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): rows (node, component), component the least node reachable.
 
-    Alternates large-star and small-star steps until no edge changes; every step
+    FEW_EDGES at most meet in one task of an executor.  Of more, alternates large-star and small-star steps until no edge changes; every step
     is two aggregations over edges, hot nodes are pre-aggregated to their least
     neighbour and the links of a large node are spread by the join's skew
     handling.  Nulls are ignored; no edges give no rows.
     """
     edges = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a is not null and b is not null and a <> b")
-    edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    spark = session(edges)
-    if edges.isEmpty():
-        return spark.createDataFrame([], T.StructType([T.StructField("node", T.LongType()), T.StructField("component", T.LongType())]))
+    edges = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    if edges.count() <= FEW_EDGES:
+        return edges.repartition(1).mapInArrow(_of_few, "node long, component long")
     while True:
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -93,7 +115,7 @@ def components(edges: DataFrame, checkpoint_every: int = 1) -> DataFrame:
         low = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(low, "b").select("a", "b", "m")
         new = small.select(F.col("m").alias("a"), F.col("b")).union(small.select(F.col("m").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-        new = checkpointed(new)
+        new = written(new, "edges")
         changed = new.join(edges, ["a", "b"], "left_anti").limit(1).count() or new.count() != edges.count()
         edges = new
         if not changed:

@@ -8,6 +8,7 @@ code points.  A null text counts as an empty one.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,10 @@ WORD_BYTE[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Hashes of ranges are polynomials modulo this prime: modulo a power of two some strings agree under every base.
+PRIME = (1 << 61) - 1
+_BASES = (0x1E3779B97F4A7C15, 0x02B2AE3D27D4EB4F)
+_P, _LOW31, _LOW30 = U64(PRIME), U64((1 << 31) - 1), U64((1 << 30) - 1)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -35,29 +39,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def reduced(x: np.ndarray) -> np.ndarray:
+    """64-bit values modulo PRIME."""
+    x = (x & _P) + (x >> U64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of values below it."""
+    a1, a0, b1, b0 = a >> U64(31), a & _LOW31, b >> U64(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return reduced((a1 * b1 << U64(1)) + (middle >> U64(30)) + ((middle & _LOW30) << U64(31)) + a0 * b0)
+
+
 def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Powers 0..n-1 of an odd base modulo 2**64, and of its inverse."""
+    """Powers 0..n-1 of a base modulo PRIME, and of its inverse."""
     have = _powers.get(which)
     if have is None or len(have[0]) < n:
         size = max(1 << 16, 1 << (n - 1).bit_length())
-        base = _BASES[which] | 1
         out = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            p = np.full(size, b, U64)
-            p[0] = 1
-            out.append(np.cumprod(p, dtype=U64))
+        for base in (_BASES[which], pow(_BASES[which], -1, PRIME)):
+            p = np.ones(1, U64)
+            while len(p) < size:
+                p = np.concatenate((p, product(p, np.full(1, pow(base, len(p), PRIME), U64))))
+            out.append(p)
         _powers[which] = have = (out[0], out[1])
     return have[0][:n], have[1][:n]
 
 
 def range_hashes(symbols: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """A 64-bit hash of symbols[start:end] for each pair of bounds; equal contents have equal hashes wherever they stand."""
+    """A 64-bit hash of symbols[start:end] for each pair of bounds; equal contents have equal hashes wherever they stand.
+
+    Symbols are bytes, or 64-bit hashes that count modulo PRIME.
+    """
     n = len(symbols)
     p, inverse = powers(max(n, 1), which)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(symbols * p[:n], out=total[1:])
+    high, low = np.zeros(n + 1, U64), np.zeros(n + 1, U64)
+    if symbols.dtype == np.uint8 and n < 1 << 22:  # products and their sums fit without a reduction
+        own = symbols.astype(U64) + U64(1)
+        np.cumsum(own * (p[:n] >> U64(31)), out=high[1:])
+        np.cumsum(own * (p[:n] & _LOW31), out=low[1:])
+    else:
+        own = symbols.astype(U64) + U64(1) if symbols.dtype == np.uint8 else reduced(symbols)
+        term = product(own, p[:n])
+        np.cumsum(term >> U64(31), out=high[1:])
+        np.cumsum(term & _LOW31, out=low[1:])
     at = np.minimum(start, max(n - 1, 0))
-    return mix((total[end] - total[start]) * inverse[at] + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+    total = reduced(product(reduced(high[end] - high[start]), np.full(1, 1 << 31, U64)) + reduced(low[end] - low[start]))
+    return mix(product(total, inverse[at]) + (end - start).astype(U64) * U64(0xD6E8FEB86659FD93))
+
+
+def digests(data: bytes | memoryview, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of the BLAKE2 digest of data[start:end] for each pair of bounds: no two contents are made to agree by their form."""
+    out, blake = bytearray(), hashlib.blake2b
+    for a, b in zip(start.tolist(), end.tolist(), strict=True):
+        out += blake(data[a:b], digest_size=8).digest()
+    return np.frombuffer(bytes(out), U64)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,8 +142,7 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray, word_byte: np.ndarray = W
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool) -> np.ndarray:
     """A 64-bit hash of each word's bytes."""
-    symbols = (LOWER[data] if lower else data).astype(U64) + U64(1)
-    return range_hashes(symbols, starts, ends)
+    return range_hashes(LOWER[data] if lower else data, starts, ends)
 
 
 def owners(first: np.ndarray) -> np.ndarray:
@@ -123,7 +159,7 @@ def grams(symbols: np.ndarray, k: int) -> np.ndarray:
     factor = 1
     for j in range(k):
         total += symbols[j : j + n] * U64(factor)
-        factor = factor * _BASES[1] % (1 << 64)
+        factor = factor * (_BASES[1] | 1) % (1 << 64)
     return mix(total)
 
 
