@@ -1,31 +1,34 @@
-"""Language-model scores from a probabilistic suffix tree over the bytes of words.
-
-A text is its lower-cased words, each followed by a space, and one end symbol;
-the tree's symbols are these bytes, so every word, seen or not, has a
-probability, and the probabilities of all token sequences sum to at most one.
-Contexts have up to ``depth`` bytes of the same text.  A context becomes a
-state if its next-symbol distribution differs from its parent's (the context
-without its first byte) by more than ``penalty`` nats of likelihood gain for
-each distinct next symbol; all such states are kept, in tables of the shared
-folder.  A state's distribution is its
-counts, less a discount that goes to the distribution of the longest shorter
-state; the root is smoothed with equal weight for all 256 bytes.  Each byte is
-scored from the longest suffix state of what stands before it: the distinct
-grams of each chunk of texts are joined with the tables, then meet their chunk.
-
-Counts of contexts and words come from all training texts, those whose
-crc32(id as text) mod 5 is not 1.  The unigram base score needs every word's
-count: words that are at least a fixed fraction of all tokens (so at most its
-reciprocal in number) are broadcast, the others are joined by shuffle.
+"""Language-model scores from a probabilistic suffix tree over words.
+
+A text is its lower-cased words and one end symbol.  The root of the tree is the
+unigram distribution of the training words, discounted; what the discount
+takes is the probability of the one symbol for words not seen in training, as
+in the base score.  Contexts are up to ``depth`` preceding words of the text.
+A context, and a next word under it, takes part if it makes up ``least`` of all
+training tokens at least, the minimal probability of such trees, so there are
+1 / ``least`` of either at most for each length; sequences whose parts are
+rarer are never counted.  A context becomes a state if its next-symbol
+distribution, over its frequent next words and one class of all others, differs
+from that of its longest shorter state by more than ``penalty`` nats of
+likelihood gain for each of them; no state that passes is left out.  A state's
+distribution is its counts, less a discount that goes to the longest shorter
+state.  Each word is scored from the longest suffix state of what stands
+before it, and the probabilities of all symbols sum to one in every state.
+
+Counts come from all training texts, those whose crc32(id as text) mod 5 is
+not 1, and every word's count is exact: words of less than ``least`` are joined
+by shuffle, to base and root alike.  What is broadcast is bounded as above: 24
+bytes for each frequent sequence.
 
 Nulls: a null or empty text is the end symbol alone; a null id counts as a
 training row.  Repeated rows train and are scored each.  Without training rows
-every count is zero and the base score is 0 times its tokens.
+every symbol is the unknown one, of probability one, and both scores are 0.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -37,265 +40,253 @@ from . import shared
 from . import textvec as tv
 
 U64 = np.uint64
-SPACE, END = 0x20, 0x0A
 #: The word key of the end token: no word hash takes part in it.
 END_KEY = -1
-#: Words at least this fraction of all tokens are broadcast: at most 2 million, 16 bytes each.
-HEAD = 5e-7
-
-#: Bytes of text after which a new chunk begins; a chunk's distinct grams meet its texts in one task.
-CHUNK = 6 << 20
-KINDS = {pa.int64(): "long", pa.bool_(): "boolean", pa.float64(): "double"}
+#: The least share of all training tokens of a context or a next word under it.
+LEAST = 1e-6
+#: What the root takes from each word's count for words not seen.
+ROOT_DISCOUNT = 0.5
 
 
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 1, F.lit(False))
 
 
-def symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """The byte stream of all texts, each after ``depth`` end symbols, and for each text the place of its first symbol (and one past the last text)."""
-    length = ends - starts
-    words = np.diff(first)
-    text = tv.owners(first)
-    before = np.concatenate(([0], np.cumsum(length + 1)))
-    at = before[:-1] + (text + 1) * depth + text  # where each word goes
-    total = int(before[-1]) + len(words) * (depth + 1)
-    out = np.full(total, END, np.uint8)
-    if len(starts):
-        source = np.repeat(starts - before[:-1] + np.arange(len(starts)), length) + np.arange(int(length.sum()))
-        target = np.repeat(at - (before[:-1] - np.arange(len(starts))), length) + np.arange(int(length.sum()))
-        out[target] = tv.LOWER[data[source]]
-        out[at + length] = SPACE
-    begin = np.concatenate((before[first[:-1]], [before[-1]])) + np.arange(len(words) + 1) * (depth + 1)
-    begin[:-1] += depth
-    begin[-1] = total + depth
-    return out, begin
-
-
-def gram_keys(stream: np.ndarray, depth: int) -> np.ndarray:
-    """The depth bytes before each place from ``depth`` on, and the byte there, in one number."""
-    n = len(stream) - depth
-    key = np.zeros(max(n, 0), U64)
-    for j in range(depth + 1):
-        key <<= U64(8)
-        key |= stream[j : j + n].astype(U64)
-    return key
-
-
-def _scored_places(begin: np.ndarray, depth: int, n: int) -> np.ndarray:
-    """Of the places from ``depth`` on, those that hold a symbol of a text and not the end symbols put before it."""
-    good = np.ones(n, bool)
-    for start in begin[1:-1]:
-        good[start - 2 * depth : start - depth] = False
-    return good
+def streams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all tokens, an end after each text, and the first token of each text (and one past the last)."""
+    data, offsets = tv.buffers(text)
+    starts, ends, first = tv.word_bounds(data, offsets)
+    end = np.array([END_KEY], np.int64).view(U64)[0]
+    words = tv.word_hashes(data, starts, ends, True)
+    words[words == end] = 0
+    n = len(first) - 1
+    out = np.full(len(words) + n, end, U64)
+    out[np.arange(len(words)) + tv.owners(first)] = words
+    return out, first + np.arange(n + 1)
+
+
+def longer(keys: np.ndarray) -> np.ndarray:
+    """Keys of sequences one token longer, from those of each sequence and the one that starts a token later."""
+    return tv.mix(keys[:-1] * U64(0x9E3779B97F4A7C15) + keys[1:])
+
+
+def sequences(keys: np.ndarray, first: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to ``length`` tokens: the key of the sequence at each place, and whether it lies in one text."""
+    text = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    for n in range(1, length + 1):
+        yield keys, text[: len(keys)] == text[n - 1 :]
+        keys = longer(keys)
+
+
+def found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where keys stand in a sorted table, and whether they do."""
+    if not len(table):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(table, keys), len(table) - 1)
+    return at, table[at] == keys
 
 
 class Combiner:
-    """Sums of counts by key, in bounded memory: flushed when more than ``most`` keys are held."""
+    """Sums of counts by key (and what goes with the key), in bounded memory: flushed when more than ``most`` keys are held."""
 
     def __init__(self, most: int = 3_000_000):
         self.most, self.held, self.size = most, [], 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        self.held.append((keys, counts))
-        self.size += len(keys)
+    def add(self, *columns: np.ndarray) -> Iterator[list[np.ndarray]]:
+        """columns: key, others, counts."""
+        self.held.append(columns)
+        self.size += len(columns[0])
         if self.size > self.most:
-            keys, counts = self.merged()
-            if 3 * len(keys) > 2 * self.most:
-                yield keys, counts
+            merged = self.merged()
+            if 3 * len(merged[0]) > 2 * self.most:
+                yield merged
                 self.held, self.size = [], 0
             else:
-                self.held, self.size = [(keys, counts)], len(keys)
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        if not self.held:
-            return np.zeros(0, U64), np.zeros(0, np.int64)
-        keys = np.concatenate([k for k, _ in self.held])
-        counts = np.concatenate([c for _, c in self.held])
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
+                self.held, self.size = [merged], len(merged[0])
+
+    def merged(self) -> list[np.ndarray]:
+        columns = [np.concatenate(c) for c in zip(*self.held, strict=True)]
+        if not columns or not len(columns[0]):
+            return columns
+        order = np.argsort(columns[0], kind="stable")
+        keys = columns[0][order]
         new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        return keys[new], np.add.reduceat(counts[order], new)
-
+        return [keys[new], *(c[order[new]] for c in columns[1:-1]), np.add.reduceat(columns[-1][order], new)]
 
-def counted(docs: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, n): counts of words (kind 0, key: the word's hash) and of depth+1 bytes (kind 1) in the texts, combined in each task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Combiner(), Combiner()
+def _blocks(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(columns[0]) if columns else 0, 200_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + 200_000].view(np.int64)) for c in columns], names)
 
-        def out(kind: int, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a in range(0, len(keys), 200_000):
-                k = keys[a : a + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int8)), pa.array(k.view(np.int64)), pa.array(counts[a : a + 200_000])], ["kind", "key", "n"])
 
-        for batch in batches:
-            for low, high in tv.slices(batch[0], 2 << 20):
-                data, offsets = tv.buffers(batch[0].slice(low, high - low))
-                starts, ends, first = tv.word_bounds(data, offsets)
-                h = word_keys(data, starts, ends)
-                stream, begin = symbols(data, starts, ends, first, depth)
-                keys = gram_keys(stream, depth)
-                keys = keys[_scored_places(begin, depth, len(keys))]
-                ended = np.array([high - low], np.int64)
-                for kind, found in ((0, h), (1, keys)):
-                    k, n = np.unique(found, return_counts=True)
-                    if kind == 0:
-                        k, n = np.append(k, np.array([END_KEY], np.int64).view(U64)), np.append(n, ended)
-                    for done in both[kind].add(k, n):
-                        yield from out(kind, *done)
-        for kind in (0, 1):
-            yield from out(kind, *both[kind].merged())
-
-    parts = docs.mapInArrow(run, "kind byte, key long, n long")
-    return parts.groupBy("kind", "key").agg(F.sum("n").alias("n"))
-
-
-def word_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    h = tv.word_hashes(data, starts, ends, True)
-    h[h == np.array([END_KEY], np.int64).view(U64)[0]] = 0
-    return h
-
-
-def learn(counts: DataFrame, needed: DataFrame, *, depth: int, penalty: float, discount: float) -> DataFrame:
-    """(key, p): the probability of the last byte of each needed key after those before it, from (key, n) of depth+1 bytes.
-
-    Levels are summed from the deepest up and probabilities go from the root
-    down, each level joined with the one before by its last bytes.  A state has
-    256 keys of its level at most, so no join meets a hot key.
-    """
-    spark = shared.session(counts)
-    levels = [counts.select("key", "n")]
-    for d in range(depth, 0, -1):  # levels[-1] has d+1 bytes; the next has d
-        levels.append(shared.checkpointed(levels[-1].groupBy(F.col("key").bitwiseAND((1 << 8 * d) - 1).alias("key")).agg(F.sum("n").alias("n"))))
-    levels = levels[::-1]  # levels[d]: d bytes of context and the next one
-    root = np.zeros(256)
-    for r in levels[0].collect():  # 256 rows at most
-        root[r["key"]] = r["n"]
-    low = lambda column, n: F.col(column).bitwiseAND((1 << 8 * n) - 1)
-    values = F.array(*[F.lit(float(x)) for x in (root + 0.5) / (root.sum() + 128.0)])
-    p = spark.range(256).select(F.col("id").alias("key"), F.element_at(values, (F.col("id") + 1).cast("int")).alias("p"))
-    for d in range(1, depth + 1):
-        own = levels[d].select(F.shiftright("key", 8).alias("state"), F.col("key").alias("entry"), "n")
-        parent = levels[d - 1].select(F.col("key").alias("p_entry"), F.col("n").alias("p_n"))
-        p_total = levels[d - 1].groupBy(F.shiftright("key", 8).alias("p_state")).agg(F.sum("n").alias("p_total"))
-        joined = own.join(parent, low("entry", d) == F.col("p_entry")).join(p_total, low("state", d - 1) == F.col("p_state"))
-        by = joined.groupBy("state").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"), F.sum(F.col("n") * F.log(F.col("n") / F.col("p_n") * F.col("p_total"))).alias("s"))
-        by = by.where(F.col("s") - F.col("total") * F.log("total") > penalty * F.col("kinds")).select("state", "total", "kinds")
-        states = shared.written(by, "states")
-        keys = needed.select(low("key", d + 1).alias("key")).distinct() if d < depth else needed.select("key").distinct()
-        keys = keys.join(p.select(F.col("key").alias("suffix"), "p"), low("key", d) == F.col("suffix"))
-        keys = keys.join(states, F.shiftright("key", 8) == F.col("state"), "left").join(levels[d].select(F.col("key").alias("entry"), F.col("n").alias("c")), F.col("key") == F.col("entry"), "left")
-        left = F.greatest(F.coalesce("c", F.lit(0)) - discount, F.lit(0.0))
-        p = shared.written(keys.select("key", F.when(F.col("total").isNull(), F.col("p")).otherwise((left + discount * F.col("kinds") * F.col("p")) / F.col("total")).alias("p")), "probabilities")
-    return p
-
-
-def _chunked(rows: DataFrame) -> DataFrame:
-    """rows with their number and that of a chunk of a few MB of text."""
-    names = ["chunk", "row", "doc_id", "held_out", "text"]
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(key, n) of all tokens of rows (text), combined in each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, chunk, size = (TaskContext.get().partitionId() << 33), TaskContext.get().partitionId() << 33, 0
+        held = Combiner()
         for batch in batches:
-            for low, high in tv.slices(batch["text"], 2 << 20):
-                part = batch.slice(low, high - low)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(high - low, chunk)), pa.array(number + np.arange(high - low)), part["doc_id"], part["held_out"], part["text"]], names)
-                number, size = number + high - low, size + part["text"].nbytes
-                if size > CHUNK:
-                    chunk, size = chunk + 1, 0
+            for low, high in tv.slices(batch[0], 2 << 20):
+                for done in held.add(*np.unique(streams(batch[0].slice(low, high - low))[0], return_counts=True)):
+                    yield from _blocks(done, ["key", "n"])
+        yield from _blocks(held.merged(), ["key", "n"])
 
-    return rows.mapInArrow(run, "chunk long, row long, doc_id long, held_out boolean, text string")
+    return docs.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _needed(chunks: DataFrame, depth: int) -> DataFrame:
-    """(chunk, key) of all grams scored in a chunk, each once for a slice of it."""
+def sequence_counts(docs: DataFrame, frequent, length: int) -> DataFrame:
+    """(context, suffix, n): counts of ``length`` + 1 tokens, as the sequences without the last and without the first, where both are frequent (a broadcast sorted table)."""
+    names = ["context", "suffix", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, held = frequent.value, Combiner()
         for batch in batches:
-            owner = batch["chunk"].to_numpy()
-            for low, high in tv.slices(batch["text"], 2 << 20):
-                for c in np.unique(owner[low:high]).tolist():
-                    text = batch["text"].slice(low, high - low).filter(pa.array(owner[low:high] == c))
-                    stream, _ = symbols(*_words(text), depth)
-                    keys = np.unique(gram_keys(stream, depth))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), c)), pa.array(keys.view(np.int64))], ["chunk", "key"])
+            for low, high in tv.slices(batch[0], 2 << 20):
+                tokens, first = streams(batch[0].slice(low, high - low))
+                own = list(sequences(tokens, first, length + 1))
+                keys, (whole, inside) = own[-2][0], own[-1]
+                known = found(table, keys)[1]
+                at = np.flatnonzero(inside & known[:-1] & known[1:])
+                key, index, n = np.unique(whole[at], return_index=True, return_counts=True)
+                for done in held.add(key, keys[at[index]], keys[at[index] + 1], n):
+                    yield from _blocks(done[1:], names)
+        yield from _blocks(held.merged()[1:], names)
 
-    return chunks.select("chunk", "text").mapInArrow(run, "chunk long, key long").distinct()
+    return docs.mapInArrow(run, "context long, suffix long, n long").groupBy("context", "suffix").agg(F.sum("n").alias("n"))
 
 
-def _words(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    data, offsets = tv.buffers(text)
-    return data, *tv.word_bounds(data, offsets)
+@dataclass
+class Level:
+    """Contexts of one length: the states with the share that they leave to the shorter one, and the probability of their frequent next words, as log10."""
 
+    states: np.ndarray
+    left: np.ndarray
+    entries: np.ndarray
+    logs: np.ndarray
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 6, penalty: float = 2.0, discount: float = 0.8) -> DataFrame:
+
+def tree_level(context: np.ndarray, suffix: np.ndarray, n: np.ndarray, totals: tuple[np.ndarray, np.ndarray], below: tuple[np.ndarray, np.ndarray], penalty: float, discount: float) -> tuple[Level, np.ndarray, np.ndarray]:
+    """The states of one length, and (key, probability) of all sequences (context, suffix, n) from their longest state.
+
+    totals: counts of contexts, below: probabilities of suffixes, both by sorted key.
+    """
+    order = np.argsort(context, kind="stable")
+    context, suffix, n = context[order], suffix[order], n[order].astype(float)
+    keys = tv.mix(context * U64(0x9E3779B97F4A7C15) + suffix)
+    q = below[1][found(below[0], suffix)[0]]
+    new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
+    own = np.cumsum(np.bincount(new, minlength=len(context))) - 1 if len(context) else new
+    states = context[new]
+    total = totals[1][found(totals[0], states)[0]].astype(float)
+    add = lambda x: np.add.reduceat(x, new) if len(new) else np.zeros(0)
+    kinds, rest, apart = add(np.ones(len(n))), total - add(n), np.maximum(1 - add(q), 1e-12)
+    other = rest > 0
+    gain = add(n * np.log(n / total[own] / q)) + np.where(other, rest * np.log(np.where(other, rest, 1) / total / apart), 0.0)
+    state = gain > penalty * (kinds + other)
+    left = np.where(state, (rest + discount * kinds) / total, 1.0)
+    p = np.where(state[own], (n - discount) / total[own] + left[own] * q, q)
+    put, by = state[own], np.argsort(keys)
+    inner = by[put[by]]
+    return Level(states[state], np.log10(left[state]), keys[inner], np.log10(p[inner])), keys[by], p[by]
+
+
+def learn(docs: DataFrame, words: DataFrame, total: int, *, depth: int, least: float, penalty: float, discount: float) -> tuple[tuple[np.ndarray, np.ndarray], list[Level]]:
+    """The frequent words (sorted keys, counts), and the tree's levels, from the training rows (text) and their word counts."""
+    spark = shared.session(docs)
+    limit = frequent_count(total, least)
+
+    def collected(rows: DataFrame) -> list[np.ndarray]:
+        """Frequent rows alone: 1 / least at most."""
+        table = rows.where(F.col("n") >= limit).toArrow()
+        return [table[c].to_numpy().view(U64) if c != "n" else table[c].to_numpy() for c in rows.columns]
+
+    keys, n = collected(words)
+    order = np.argsort(keys)
+    head = keys, counts = keys[order], n[order]
+    below, levels = (keys, (counts - ROOT_DISCOUNT) / (total + 1)), []
+    for length in range(1, depth + 1):
+        sent = spark.sparkContext.broadcast(keys)
+        context, suffix, n = collected(sequence_counts(docs, sent, length))
+        level, more, p = tree_level(context, suffix, n, (keys, counts), below, penalty, discount)
+        levels.append(level)
+        sent.unpersist()
+        shared.released(spark)
+        whole = tv.mix(context * U64(0x9E3779B97F4A7C15) + suffix)
+        order = np.argsort(whole)
+        keys, counts, below = whole[order], n[order], (more, p)
+        if not len(keys):
+            break
+    return head, levels
+
+
+def frequent_count(total: int, least: float) -> int:
+    return max(2, int(np.ceil(total * least)))
+
+
+def token_logs(tokens: np.ndarray, first: np.ndarray, head: tuple[np.ndarray, np.ndarray], levels: list[Level], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each token log10 of its probability, without that of the root for rare words; whether it is a frequent word; and its count then."""
+    at, common = found(head[0], tokens)
+    counts = np.where(common, head[1][at] if len(head[1]) else 0, 0)
+    logs = np.where(common, np.log10(np.maximum(counts - ROOT_DISCOUNT, 1e-300)) - np.log10(total + 1), 0.0)
+    own = list(sequences(tokens, first, len(levels) + 1))
+    for length, level in enumerate(levels, 1):
+        whole, inside = own[length]
+        at = np.flatnonzero(inside)
+        where, state = found(level.states, own[length - 1][0][at])
+        at, where = at[state], where[state]
+        entry, known = found(level.entries, whole[at])
+        logs[at + length] = np.where(known, level.logs[entry] if len(level.logs) else 0.0, logs[at + length] + level.left[where] if len(where) else 0.0)
+    return logs, common, counts
+
+
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: float = LEAST, penalty: float = 2.0, discount: float = 0.8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text, learnt from the training rows."""
     spark = shared.session(docs)
     key = F.col(f"`{id_col}`").cast("long")
     rows = docs.select(key.alias("doc_id"), F.col(f"`{text_col}`").alias("text"), held_out(key).alias("held_out"))
-    counts = shared.written(counted(rows.where("not held_out").select("text"), depth), "counts")
+    training = rows.where("not held_out").select("text")
+    words = shared.written(word_counts(training), "words")
+    total, distinct = (int(x) for x in words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first())
     shared.released(spark)
-    words, grams = counts.where("kind = 0").select("key", "n"), counts.where("kind = 1").select("key", "n")
-    chunks = shared.written(_chunked(rows), "chunks")
-    needed = shared.written(_needed(chunks, depth), "needed")
-    logs_of = needed.join(learn(grams, needed, depth=depth, penalty=penalty, discount=discount), "key").select("chunk", "key", F.log10("p").alias("log"))
-    total, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    limit = max(1, int(total * HEAD))
-    head = words.where(F.col("n") >= limit).toPandas().sort_values("key")  # at most 1 / HEAD rows
-    head_keys, head_counts = head["key"].to_numpy(np.int64), head["n"].to_numpy(float)
-    model = spark.sparkContext.broadcast((head_keys, head_counts))
-    flat_names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "word", "times"]
-    flat_schema = pa.schema([(x, pa.bool_() if x == "held_out" else pa.float64() if x in ("base", "score") else pa.int64()) for x in flat_names])
-    floor = np.log10(total + 0.5 * (distinct + 1))
-
-    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([b.select(flat_names) for b in scored(texts.combine_chunks().to_batches(), own)], schema=flat_schema)
-
-    def scored(batches: list[pa.RecordBatch], own: pa.Table) -> Iterator[pa.RecordBatch]:
-        head_keys, head_counts = model.value
-        keys_of, log_of = own["key"].to_numpy().view(U64), own["log"].to_numpy()
-        order_of = np.argsort(keys_of)
-        keys_of, log_of = keys_of[order_of], log_of[order_of]
-        names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "word", "times"]
-        padded = np.append(head_counts, 0.0)
+    model = spark.sparkContext.broadcast(learn(training, words, total, depth=depth, least=least, penalty=penalty, discount=discount))
+    names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "word", "times"]
+    schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word long, times long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, levels = model.value
+        number = TaskContext.get().partitionId() << 33
         for batch in batches:
             for low, high in tv.slices(batch["text"], 2 << 20):
                 n = high - low
-                data, offsets = tv.buffers(batch["text"].slice(low, n))
-                starts, ends, first = tv.word_bounds(data, offsets)
-                h, doc = word_keys(data, starts, ends).view(np.int64), tv.owners(first)
-                h, doc = np.append(h, np.full(n, END_KEY)), np.append(doc, np.arange(n))
-                at = np.minimum(np.searchsorted(head_keys, h), max(len(head_keys) - 1, 0))
-                common = head_keys[at] == h if len(head_keys) else np.zeros(len(h), bool)
-                known = np.bincount(doc[common], minlength=n)
-                base = np.bincount(doc[common], np.log10(padded[at[common]] + 0.5), n)
-                stream, begin = symbols(data, starts, ends, first, depth)
-                keys, inverse = np.unique(gram_keys(stream, depth), return_inverse=True)
-                logs = np.concatenate(([0.0], np.cumsum(log_of[np.searchsorted(keys_of, keys)][inverse])))
-                model_score = logs[begin[1:] - 2 * depth] - logs[begin[:-1] - depth]
-                rows = batch["row"].slice(low, n).to_numpy()
-                nothing = np.ones(n, bool)
-                yield pa.RecordBatch.from_arrays([pa.array(rows), batch["doc_id"].slice(low, n), batch["held_out"].slice(low, n), pa.array(np.diff(first) + 1), pa.array(known), pa.array(base), pa.array(model_score), pa.array(rows), pa.array(np.zeros(n, np.int64), mask=nothing)], names)
+                tokens, first = streams(batch["text"].slice(low, n))
+                logs, common, counts = token_logs(tokens, first, head, levels, total)
+                text = np.repeat(np.arange(n), np.diff(first))
+                known = np.bincount(text[common], minlength=n)
+                base = np.bincount(text[common], np.log10(counts[common] + 0.5), n)
+                row = number + np.arange(n)
+                number += n
+                # A text's own row has a key of its own, so that these rows spread.
+                spread = tv.mix(row.astype(U64)).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(row), batch["doc_id"].slice(low, n), batch["held_out"].slice(low, n), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(np.bincount(text, logs, n)), pa.array(spread), pa.nulls(n, pa.int64())], names)
                 # The rare words go to the shuffle, once a text.
                 rare = np.flatnonzero(~common)
-                order = rare[np.lexsort((h[rare], doc[rare]))]
+                order = rare[np.lexsort((tokens[rare], text[rare]))]
                 if len(order):
-                    new = np.flatnonzero(np.r_[True, (h[order][1:] != h[order][:-1]) | (doc[order][1:] != doc[order][:-1])])
-                    times = np.diff(np.append(new, len(order)))
-                    one, m = order[new], len(new)
-                    none = [pa.nulls(m, k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(rows[doc[one]]), *none, pa.array(h[one]), pa.array(times)], names)
-
-    flat = chunks.groupBy("chunk").cogroup(logs_of.groupBy("chunk")).applyInArrow(run, ", ".join(f"{f.name} {KINDS[f.type]}" for f in flat_schema))
-    rare = words.where(F.col("n") < limit).select(F.col("key").alias("word"), F.col("n").alias("c"))
-    seen = flat.join(rare, (F.col("times").isNotNull()) & (flat["word"] == rare["word"]), "left")
-    # A header row has no times; it carries the text's columns and what the common words gave.
-    known = F.coalesce(F.col("known"), F.when(F.col("c").isNotNull(), F.col("times")), F.lit(0))
-    base = F.coalesce(F.col("base"), F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + 0.5))
-    out = seen.select("row", "doc_id", "held_out", "n_tokens", "score", known.alias("known"), base.alias("base")).groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("logs"), F.max("score").alias("score"))
-    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * float(floor)).alias("base_score"), "score")
+                    new = np.flatnonzero(np.r_[True, (tokens[order][1:] != tokens[order][:-1]) | (text[order][1:] != text[order][:-1])])
+                    times, one = np.diff(np.append(new, len(order))), order[new]
+                    none = [pa.nulls(len(one), k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                    yield pa.RecordBatch.from_arrays([pa.array(row[text[one]]), *none, pa.array(tokens[one].view(np.int64)), pa.array(times)], names)
+
+    flat = rows.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+    rare = words.where(F.col("n") < frequent_count(total, least)).select(F.col("key").alias("word"), F.col("n").alias("c"))
+    c, unseen = F.col("c"), ROOT_DISCOUNT * distinct + 1
+    part = flat.join(rare, "word", "left").select(
+        "row", "doc_id", "held_out", "n_tokens",
+        F.coalesce("known", F.when(c.isNotNull(), F.col("times")), F.lit(0)).alias("known"),
+        F.coalesce("base", F.col("times") * F.log10(F.coalesce(c, F.lit(0)) + 0.5)).alias("base"),
+        F.coalesce("score", F.col("times") * F.log10(F.coalesce(c - ROOT_DISCOUNT, F.lit(unseen)) / F.lit(float(total + 1)))).alias("score"))
+    out = part.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"), F.sum("known").alias("n_known"), F.sum("base").alias("logs"), F.sum("score").alias("score"))
+    floor = float(np.log10(total + 0.5 * (distinct + 1)))
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("logs") - F.col("n_tokens") * floor).alias("base_score"), "score")
 
 
 def op2_suffix_tree(spark: SparkSession, docs: DataFrame) -> DataFrame:
