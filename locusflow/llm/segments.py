@@ -5,8 +5,9 @@ least hash of the k-symbol grams inside it, its key; consecutive windows with
 the same key at the same place (the leftmost) make a segment, so no two windows
 of one segment are equal, however periodic the text.  Equal windows have equal keys wherever they
 stand, so only segments with the same key can share a window, and segments
-with the same key and the same content (a second hash, 64 bits again) share
-all of theirs.  That leaves
+with the same key and the same content (64 bits of a cryptographic digest of
+its symbols, so that no form of text makes two contents agree) share all of
+theirs.  That leaves
 
 1. one row a segment to be exchanged, not one a window;
 2. of equal segments, all but the first decided at once.  Each task combines
@@ -59,10 +60,15 @@ def segment_bounds(symbols: np.ndarray, grams: np.ndarray, first: np.ndarray, k:
     return grams[at[new]], window[new], np.diff(np.append(new, len(window)))
 
 
+def _same(c: dict[str, np.ndarray], group: np.ndarray) -> np.ndarray:
+    """Which sorted rows repeat the position before them; group: which begin another content."""
+    return np.r_[False, ~group[1:] & np.logical_and.reduce([c[f][1:] == c[f][:-1] for f in ("age", "doc", "sub", "start")])]
+
+
 class Combiner:
     """Rows of one task, combined whenever COMBINE of them are held."""
 
-    def __init__(self, keep_all: bool = False):
+    def __init__(self):
         self.held: list[dict[str, np.ndarray]] = []
         self.size = 0
 
@@ -77,10 +83,11 @@ class Combiner:
             return
         c = {f: np.concatenate([x[f] for x in self.held]) for f in self.held[0]}
         self.held, self.size = [], 0
-        order = np.lexsort((c["start"], c["sub"], c["doc"], c["content"], c["key"]))
+        c.setdefault("age", np.ones(len(c["key"]), np.int8))
+        order = np.lexsort((c["start"], c["sub"], c["doc"], c["age"], c["content"], c["key"]))
         c = {f: x[order] for f, x in c.items()}
         group = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["content"][1:] != c["content"][:-1])]
-        same = np.r_[False, ~group[1:] & (c["doc"][1:] == c["doc"][:-1]) & (c["sub"][1:] == c["sub"][:-1]) & (c["start"][1:] == c["start"][:-1])]
+        same = _same(c, group)
         at = np.flatnonzero(group)
         n = np.zeros(len(group), np.int32)
         n[at] = np.add.reduceat((~same).astype(np.int32), at)
@@ -89,7 +96,7 @@ class Combiner:
         kind = np.where(group[keep], FIRST, REPEATED).astype(np.int8)
         # Repetitions need no meeting: they go anywhere.
         route = np.where(kind == FIRST, c["key"], tv.mix(c["key"] + c["start"].astype(U64) * U64(0x9E3779B97F4A7C15) + c["doc"].view(U64)))
-        made = {"kind": kind, "route": route.view(np.int64), "age": np.ones(len(kind), np.int8)} | c | {"key": c["key"].view(np.int64), "content": c["content"].view(np.int64)}
+        made = {"kind": kind, "route": route.view(np.int64)} | c | {"key": c["key"].view(np.int64), "content": c["content"].view(np.int64)}
         for a in range(0, len(kind), 50_000):
             yield pa.RecordBatch.from_arrays([pa.array(made[f][a : a + 50_000], KINDS[f]) for f in FIELDS], list(FIELDS))
 
@@ -129,7 +136,7 @@ def marks(everyone: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             if carry is not None:
                 c = {f: np.concatenate((carry[f], x)) for f, x in c.items()}
             group = np.r_[True, (c["key"][1:] != c["key"][:-1]) | (c["content"][1:] != c["content"][:-1])]
-            same = np.r_[False, ~group[1:] & (c["doc"][1:] == c["doc"][:-1]) & (c["sub"][1:] == c["sub"][:-1]) & (c["start"][1:] == c["start"][:-1])]
+            same = _same(c, group)
             at = np.flatnonzero(group)
             later = np.flatnonzero(~group & ~same & (c["age"] == 1))
             if len(later):

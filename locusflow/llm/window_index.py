@@ -1,27 +1,29 @@
 """Incremental removal of repeated word windows, over a log-structured fingerprint index.
 
 Each batch of documents adds one immutable run to the index: the fingerprints
-(key, content hash, position) of its segments of 20-word windows (see
-``segments``), sorted by key.  A new batch is sorted the same way and merged
-with the runs; a window that stood in an earlier batch, or earlier in its own
-(smaller id, or the same document further on), is a repetition.  Where two
-segments share a key but not all their windows, the windows themselves are
-compared by 128-bit hashes of their words, taken from the texts again.
+(key, content, position) of its segments of 20-word windows (see ``segments``),
+sorted by key.  A new batch is sorted the same way and merged with the runs; a
+window that stood in an earlier batch, or earlier in its own (smaller id, or
+the same document further on), is a repetition.  Where two segments share a key
+but not all their windows, the windows themselves are compared, from the texts
+again.  Contents are verified: keys are hashes, but segments and windows count
+as equal only if a cryptographic digest of their words' bytes agrees too.
 ``compact`` merges runs and keeps the first occurrence of each content.
 
 Words are runs of bytes other than space and TAB..CR, unchanged.  Nulls: a null
 text has no words; rows with a null id come before all others.  Rows equal in id
 and text are one document and get the same result; rows equal in id alone are
-ordered by a hash of their text.  An empty table gives an empty result.
+ordered by a hash of their text.  A document that an earlier batch held already
+is a repetition as a whole.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,11 +36,18 @@ U64 = np.uint64
 GRAM = 5
 
 
-def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words and the first word of each text."""
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, memoryview, np.ndarray]:
+    """Hashes of all words, the first word of each text, and the words' bytes, a space after each, with the start of each (and the end)."""
     data, offsets = tv.buffers(column)
     starts, ends, first = tv.word_bounds(data, offsets)
-    return tv.word_hashes(data, starts, ends, False), first
+    length = ends - starts
+    at = np.concatenate(([0], np.cumsum(length + 1)))
+    plain = np.full(int(at[-1]), 0x20, np.uint8)
+    source = np.repeat(starts - at[:-1], length + 1) + np.arange(len(plain))
+    inside = np.ones(len(plain), bool)
+    inside[at[1:] - 1] = False
+    plain[inside] = data[source[inside]]
+    return tv.word_hashes(data, starts, ends, False), first, memoryview(plain), at
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
@@ -49,10 +58,10 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             doc, sub = batch["doc"].to_numpy(), batch["sub"].to_numpy()
             for low, high in tv.slices(batch["__text"]):
-                h, first = _words(batch["__text"].slice(low, high - low))
+                h, first, plain, at = _words(batch["__text"].slice(low, high - low))
                 key, start, count = sg.segment_bounds(h, tv.grams(h, GRAM), first, GRAM, width)
                 own = np.searchsorted(first, start, "right") - 1
-                content = tv.range_hashes(h, start, start + count - 1 + width, 1)
+                content = tv.digests(plain, at[start], at[start + count - 1 + width])
                 yield from rows.add(key=key, content=content, doc=doc[low + own], sub=sub[low + own], start=(start - first[own]).astype(np.int32), count=count.astype(np.int32))
         yield from rows.flush()
 
@@ -65,11 +74,17 @@ def _window_rows(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sg.Combiner()
         for batch in batches:
-            for text, doc, sub, spans in zip(batch["__text"], batch["doc"].to_pylist(), batch["sub"].to_pylist(), batch["spans"].to_pylist(), strict=True):
-                h, _ = _words(pa.array([text.as_py()], pa.string()))
-                at = np.concatenate([np.arange(s["start"], s["start"] + s["count"]) for s in spans])
-                m = len(at)
-                yield from rows.add(key=tv.range_hashes(h, at, at + width, 0), content=tv.range_hashes(h, at, at + width, 1), doc=np.full(m, doc, np.int64), sub=np.full(m, sub, np.int32), start=at.astype(np.int32), count=np.ones(m, np.int32))
+            docs_, subs, spans = batch["doc"].to_numpy(), batch["sub"].to_numpy(), batch["spans"]
+            for low, high in tv.slices(batch["__text"]):
+                h, first, plain, at = _words(batch["__text"].slice(low, high - low))
+                own = spans.slice(low, high - low)
+                flat = own.flatten()
+                begin, n, age = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("start", "count", "age"))
+                text = np.repeat(np.repeat(np.arange(high - low), pc.list_value_length(own).to_numpy()), n)
+                start = np.repeat(begin - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                here = start + first[text]
+                end = at[here + width]
+                yield from rows.add(key=tv.range_hashes(h, here, here + width), content=tv.digests(plain, at[here], end), age=np.repeat(age, n).astype(np.int8), doc=docs_[low + text], sub=subs[low + text], start=start.astype(np.int32), count=np.ones(len(here), np.int32))
         yield from rows.flush()
 
     return docs.select("doc", "sub", "__text", "spans").mapInArrow(run, sg.ROWS)
@@ -90,35 +105,36 @@ class WindowIndex:
         return self.spark.read.parquet(*self.runs).withColumn("age", F.lit(0).cast("byte"))
 
     def repetitions(self, docs: DataFrame, *, keep_run: bool = True) -> DataFrame:
-        """(doc, sub, spans) of the windows of a batch that are repetitions; the batch becomes a run of the index."""
+        """(doc, sub, spans) of the windows of a batch that are repetitions, written; the batch becomes a run of the index."""
         texts = sg.keyed(docs, self.id_col, self.text_col)
         rows = fingerprints(texts, self.width)
         if keep_run:
-            run = f"{self.path}/run-{len(self.batches):06d}"
-            rows.write.parquet(f"{self.path}/rows-{len(self.batches):06d}")
-            rows = self.spark.read.parquet(f"{self.path}/rows-{len(self.batches):06d}")
+            rows = shared.written(rows, "fingerprints")
         history = self._history()
         merged = rows if history is None else rows.unionByName(history)
         found = shared.written(sg.exchanged(merged).mapInArrow(sg.marks(False), sg.MARKS), "marks")
+        shared.released(self.spark)
         compare = found.where(F.col("tag") == sg.COMPARE)
         sources = texts
         if history is not None:
             compare = compare.join(compare.where("age = 1").select("key").distinct(), "key", "left_semi")
             for old in self.batches:
                 sources = sources.unionByName(sg.keyed(old, self.id_col, self.text_col))
-            sources = sources.dropDuplicates(["doc", "sub"])
-        # Of a document in history and batch alike, all windows count as old; they are repetitions by the merge above.
-        asked = compare.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "count")).alias("spans"), F.min("age").alias("a"))
-        windows = _window_rows(sources.join(asked, ["doc", "sub"]), self.width)
-        if history is not None:
-            old = asked.where("a = 0").select(F.col("doc").alias("old_doc"), F.col("sub").alias("old_sub"))
-            windows = windows.join(old, (F.col("doc") == F.col("old_doc")) & (F.col("sub") == F.col("old_sub")), "left").withColumn("age", F.when(F.col("old_doc").isNull(), F.col("age")).otherwise(F.lit(0).cast("byte"))).select(*sg.FIELDS)
-        more = sg.exchanged(windows).mapInArrow(sg.marks(False), sg.MARKS).where((F.col("tag") == sg.REMOVE) & (F.col("age") == 1))
+        # Of rows equal in id and text one is asked; a document of history and batch alike has windows of either age.
+        asked = compare.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "count", "age")).alias("spans"))
+        windows = _window_rows(sources.select("doc", "sub", "__text").join(asked, ["doc", "sub"]), self.width)
+        more = sg.exchanged(windows).mapInArrow(sg.marks(False), sg.MARKS)
+        removed = found.where(F.col("tag") == sg.REMOVE).unionByName(more.where((F.col("tag") == sg.REMOVE) & (F.col("age") == 1)))
+        spans = shared.written(sg.windows_of(removed.select("doc", "sub", "start", "count")), "spans")
+        shared.dropped(found)
+        shared.released(self.spark)
         if keep_run:
-            rows.where(F.col("kind") == sg.FIRST).sort("key", "content", "doc", "sub", "start").write.parquet(run)
+            run = f"{self.path}/run-{len(self.batches):06d}"
+            rows.where(F.col("kind") == sg.FIRST).repartition("key").sortWithinPartitions("key", "content", "doc", "sub", "start").write.parquet(run)
+            shared.dropped(rows)
             self.runs.append(run)
             self.batches.append(docs)
-        return sg.windows_of(found.where(F.col("tag") == sg.REMOVE).select("doc", "sub", "start", "count").unionByName(more.select("doc", "sub", "start", "count")))
+        return spans
 
     def compact(self) -> None:
         """Merge all runs into one that keeps, for each content, the occurrence of the earliest run."""
@@ -131,7 +147,8 @@ class WindowIndex:
         rest = [c for c in sg.FIELDS if c not in ("key", "content")]
         first = parts.groupBy("key", "content").agg(F.min(F.struct("run", "doc", "sub", "start", *[c for c in rest if c not in ("doc", "sub", "start")])).alias("x"))
         merged = f"{self.path}/compacted-{len(self.batches):06d}"
-        first.select("key", "content", "x.*").select(*sg.FIELDS).sort("key", "content").write.parquet(merged)
+        # The aggregation has dealt the keys and contents; a run is sorted within its files.
+        first.select("key", "content", "x.*").select(*sg.FIELDS).sortWithinPartitions("key", "content").write.parquet(merged)
         for run in self.runs:
             shared.remove(self.spark, run)
         self.runs = [merged]
@@ -159,15 +176,20 @@ class WindowIndex:
         return joined.mapInArrow(run, f"__id {kinds['__id']}, __text string, __rest {kinds['__rest']}, n_words long, n_removed long")
 
 
-def digest(text: bytes) -> str:
-    return hashlib.sha256(text).hexdigest()
-
-
-def op9_window_index(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """The digest of window deduplication over all documents, one batch into an empty index."""
+def op9_window_index(spark: SparkSession, docs: DataFrame, batches: int = 3) -> DataFrame:
+    """The digest of window deduplication over all documents, inserted in ``batches`` of ascending ids (null first); the runs are compacted before the last."""
     narrow = docs.select("doc_id", "text")
-    index = WindowIndex(spark)
-    out = index.strip(narrow, index.repetitions(narrow, keep_run=False))
+    bounds = narrow.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] or []
+    index, spans, after = WindowIndex(spark), None, None
+    for i, bound in enumerate([*sorted(set(bounds)), None]):
+        rows = narrow if after is None else narrow.where(F.col("doc_id") > after)
+        if bound is not None:
+            rows = rows.where(F.col("doc_id").isNull() | (F.col("doc_id") <= bound)) if after is None else rows.where(F.col("doc_id") <= bound)
+        elif i:
+            index.compact()
+        found = index.repetitions(rows, keep_run=bound is not None)  # nothing is inserted after the last batch
+        spans, after = found if spans is None else spans.unionByName(found), bound
+    out = index.strip(narrow, spans)
     return out.select(F.col("__id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("__text", "UTF-8"), 256).alias("kept_sha256"))
 
 
