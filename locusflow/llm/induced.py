@@ -1,21 +1,23 @@
-"""Suffix sorting by induction, with queues that spill to disk.
-
-``sort`` orders the suffixes of a sequence of symbols: a suffix is S if it is
-smaller than the next one, else L; an S after an L starts a block.  Blocks are
-sorted in external runs and named; if names repeat, the sequence of names is
-sorted by the same procedure.  From the sorted block starts all L suffixes are
-induced in ascending order and from those all S suffixes in descending order:
-a suffix taken from the queue puts the one before it into the queue.
-
-Queue entries are tuples (symbol, arrival, position, common prefix).  Two
-entries that follow each other under one symbol share one symbol more than the
-least common prefix between the suffixes that put them there, so the common
-prefixes come with the order; only block starts and the border between L and S
-suffixes of one symbol compare symbols, up to ``most`` of them.
-
-What grows with a shard and is many times its text, the queue and the runs of
-blocks, lives in files once it exceeds its memory; the symbols themselves, one
-byte each at the first level, stay in memory.
+"""Suffix sorting by induction.
+
+A suffix is S if it is smaller than the next one, else L; an S after an L starts
+a block.  From the sorted block starts all L suffixes are induced in ascending
+order and from those all S suffixes in descending order: a suffix taken from a
+symbol's queue puts the one before it into the queue of its symbol.  Queue
+entries carry the common prefix with the entry before them: two entries that
+follow each other under one symbol share one symbol more than the least common
+prefix between the suffixes that put them there.  Only block starts and the
+border between L and S suffixes of one symbol compare symbols, up to ``most``
+of them.
+
+There are two forms, with the same results up to the order of suffixes that
+agree in ``most`` symbols.  ``sort_held`` works on a shard of bytes that memory
+holds: whole queues are taken at a time as arrays, and block starts are ordered
+by doubling over their names.  ``sort`` is for larger shards: queues, L suffixes
+and block runs are in files beyond ``held`` entries, blocks are sorted in
+external runs and named, and if names repeat, their sequence is sorted by the
+same procedure.  Its text, one byte a symbol, its types and the numbers of
+block starts stay in memory.
 """
 
 from __future__ import annotations
@@ -26,8 +28,12 @@ from bisect import bisect_left
 from collections.abc import Callable, Iterator, Sequence
 from contextlib import suppress
 
+import numpy as np
+
 #: Entries held by a queue, or bytes of blocks held by a run, before they go to a file.
 HELD = 2_000_000
+#: Blocks in a file of a run.
+BLOCKS = 20_000
 
 
 class Files:
@@ -163,15 +169,17 @@ def _blocks(text: Sequence[int], types: bytearray, starts: array, files: Files,
     width = 1 if isinstance(text, bytes) else 5
     runs, own, size = [], [], 0
 
-    def stored(run: list[tuple[bytes, int]]) -> str:
-        return files.put(b"".join(len(c).to_bytes(8, "big") + n.to_bytes(8, "big") + c for c, n in run))
+    def stored(run: list[tuple[bytes, int]]) -> list[str]:
+        """A run as files of a few blocks, so that a merge holds one of each run."""
+        return [files.put(b"".join(len(c).to_bytes(8, "big") + n.to_bytes(8, "big") + c for c, n in run[i : i + BLOCKS])) for i in range(0, len(run), BLOCKS)]
 
-    def loaded(name: str) -> Iterator[tuple[bytes, int]]:
-        data, at = files.take(name), 0
-        while at < len(data):
-            n = int.from_bytes(data[at : at + 8], "big")
-            yield data[at + 16 : at + 16 + n], int.from_bytes(data[at + 8 : at + 16], "big")
-            at += 16 + n
+    def loaded(names: list[str]) -> Iterator[tuple[bytes, int]]:
+        for name in names:
+            data, at = files.take(name), 0
+            while at < len(data):
+                n = int.from_bytes(data[at : at + 8], "big")
+                yield data[at + 16 : at + 16 + n], int.from_bytes(data[at + 8 : at + 16], "big")
+                at += 16 + n
 
     for k, start in enumerate(starts):
         end = starts[k + 1] + 1 if k + 1 < len(starts) else len(text)
@@ -314,3 +322,192 @@ def sort(text: Sequence[int], files: Files, *, most: int = 0, held: int = HELD)
             at += 1
         else:
             break
+
+
+def _words8(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zero past the end."""
+    word, size = np.concatenate((text, np.zeros(8, np.uint8))).astype(np.uint64), 1
+    while size < 8:
+        word = word[:-size] << np.uint64(8 * size) | word[size:]
+        size *= 2
+    return np.concatenate((word[: len(text)], np.zeros(1, np.uint64)))
+
+
+def _commons(word: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """The common prefix of the suffixes at a and b, at most ``most``."""
+    n = len(word) - 1
+    out = np.zeros(len(a), np.int64)
+    room = np.minimum(most, n - np.maximum(a, b))
+    left = np.arange(len(a))
+    for k in range(0, most, 8):
+        x = word[np.minimum(a[left] + k, n)] ^ word[np.minimum(b[left] + k, n)]
+        equal = x == 0
+        apart = left[~equal]
+        # Equal leading bytes of words that differ: from the exponent of what differs.
+        top = np.frexp((x[~equal] >> np.uint64(11)).astype(float))[1] + 11
+        low = x[~equal] < 1 << 11
+        out[apart] = k + np.where(low, 6 + (x[~equal] < 1 << 8), (64 - top) // 8)
+        left = left[equal]
+        if not len(left):
+            break
+    out[left] = most
+    return np.minimum(out, room)
+
+
+def _ordered(text: np.ndarray, types: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of block starts in ascending order of their suffixes, as far as ``most`` symbols tell."""
+    m, n = len(starts), len(text)
+    ends = np.append(starts[1:] + 1, n)
+    size = ends - starts
+    coded = np.concatenate((text.astype(np.uint64) * 2 + types + 2, np.zeros(8, np.uint64)))
+    sevens = np.zeros(n + 1, np.uint64)
+    for j in range(7):
+        sevens = sevens << np.uint64(9) | coded[j : j + n + 1]
+    mask = [np.uint64(((1 << 9 * j) - 1) << 9 * (7 - j)) for j in range(8)]
+    masks = np.array(mask, np.uint64)
+
+    def refined(rank: np.ndarray, some: np.ndarray, key: np.ndarray) -> None:
+        """Ranks, the place of a group's first, of the groups in ``some`` by a further key; in place."""
+        order = np.lexsort((key, rank[some]))
+        own, key = some[order], key[order]
+        group = np.r_[True, rank[own][1:] != rank[own][:-1]]
+        new = group | np.r_[True, key[1:] != key[:-1]]
+        at = np.arange(len(own))
+        begin = np.maximum.accumulate(np.where(group, at, 0))
+        first = np.maximum.accumulate(np.where(new, at, 0))
+        rank[own] += first - begin
+
+    # Names: blocks by their symbols, seven at a time; no block is the beginning of another.
+    rank = np.zeros(m, np.int64)
+    some, k = np.arange(m), 0
+    while len(some):
+        refined(rank, some, sevens[np.minimum(starts[some] + k, n)] & masks[np.clip(size[some] - k, 0, 7)])
+        k += 7
+        some = some[size[some] > k]
+    # Doubling: a name and those after it; each stands for two symbols at least.
+    step = 1
+    while 2 * step < most + 2:
+        times = np.bincount(rank, minlength=m)
+        some = np.flatnonzero(times[rank] > 1)
+        if not len(some):
+            break
+        after = some + step
+        refined(rank, some, np.where(after < m, rank[np.minimum(after, m - 1)] + 1, 0))
+        step *= 2
+    return np.argsort(rank, kind="stable")
+
+
+class _Queues:
+    """Entries (position, common prefix) by symbol, put as arrays, first come first out."""
+
+    def __init__(self, text: np.ndarray, most: int):
+        self.text, self.most = text, most
+        self.held: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(256)]
+        #: The least common prefix scanned since a symbol last got an entry; -1: it has none.
+        self.low = np.full(256, -1, np.int64)
+
+    def take(self, symbol: int) -> tuple[np.ndarray, np.ndarray]:
+        own, self.held[symbol] = self.held[symbol], []
+        if not own:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*own, strict=True))
+
+    def scan(self, position: np.ndarray, prefix: np.ndarray, wanted: np.ndarray) -> None:
+        """The next suffixes of the scan; those before the ``wanted`` are put into their queues."""
+        self._advance(position, prefix, np.flatnonzero(wanted))
+
+    def _advance(self, position: np.ndarray, prefix: np.ndarray, at: np.ndarray) -> None:
+        before = position[at] - 1
+        symbol = self.text[before]
+        order = np.argsort(symbol, kind="stable")
+        at, before, symbol = at[order], before[order], symbol[order]
+        new = np.r_[True, symbol[1:] != symbol[:-1]] if len(at) else np.zeros(0, bool)
+        since = np.where(new, 0, np.r_[0, at[:-1] + 1]) if len(at) else at
+        least = _range_least(prefix, since, at)
+        had = self.low[symbol]
+        least = np.where(new, np.where(had < 0, -1, np.minimum(least, had)), least)
+        share = np.where(least < 0, 0, np.minimum(least + 1, self.most))
+        whole = prefix.min() if len(prefix) else self.most
+        self.low = np.where(self.low >= 0, np.minimum(self.low, whole), self.low)
+        if not len(at):
+            return
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(at)) - 1
+        # After its last entry a symbol has seen only what follows in this scan.
+        tails = np.minimum.accumulate(np.append(prefix, self.most)[::-1])[::-1]
+        self.low[symbol[last]] = tails[at[last] + 1]
+        for a, b in zip(first.tolist(), (last + 1).tolist(), strict=True):
+            self.held[symbol[a]].append((before[a:b], share[a:b]))
+
+
+def _range_least(values: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least of values[low..high], both included, for each pair, from minima over powers of two."""
+    length = high - low + 1
+    level = np.frexp(length.astype(float))[1] - 1
+    out = np.empty(len(low), values.dtype)
+    table, size = values, 1
+    for k in range(int(level.max()) + 1 if len(level) else 0):
+        at = np.flatnonzero(level == k)
+        out[at] = np.minimum(table[low[at]], table[high[at] + 1 - size])
+        if len(table) > size:
+            table = np.minimum(table[:-size], table[size:])
+        size *= 2
+    return out
+
+
+def sort_held(text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(positions, common prefixes with the one before, at most ``most``) of all suffixes of bytes, in descending order."""
+    n = len(text)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    # S where the next different symbol is larger; what follows the end is less than anything.
+    differs = np.flatnonzero(text[1:] != text[:-1])
+    after = np.append(differs, n - 1)[np.searchsorted(differs, np.arange(n))]
+    types = np.append(text[1:] > text[:-1], False)[after]
+    starts = np.flatnonzero(types[1:] & ~types[:-1]) + 1
+    word = _words8(text)
+    seeds = starts[_ordered(text, types, starts, most)]
+    shares = np.zeros(len(seeds), np.int64)
+    shares[1:] = _commons(word, seeds[:-1], seeds[1:], most)
+    of = np.searchsorted(text[seeds], np.arange(257))  # seeds are in order of their symbols
+    is_l = np.append(~types, False)  # of the suffix before; none is before the first
+    upward = _Queues(text, most)
+    upward.held[text[n - 1]].append((np.array([n - 1]), np.array([0])))
+    upward.low[text[n - 1]] = 0
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for symbol in range(256):
+        own, last = [], -1
+        while True:
+            position, prefix = upward.take(symbol)
+            if not len(position):
+                break
+            if last < 0:
+                prefix[0] = 0
+            own.append((position, prefix))
+            last = int(position[-1])
+            upward.scan(position, prefix, is_l[position - 1])
+        found.append(tuple(np.concatenate(x) for x in zip(*own, strict=True)) if own else (np.zeros(0, np.int64),) * 2)
+        position, prefix = seeds[of[symbol] : of[symbol + 1]], shares[of[symbol] : of[symbol + 1]].copy()
+        if len(position):
+            prefix[0] = _commons(word, np.array([last]), position[:1], most)[0] if last >= 0 else 0
+            upward.scan(position, prefix, is_l[position - 1])
+    downward, out = _Queues(text, most), []
+    is_s = np.append(types, False)
+    for symbol in range(255, -1, -1):
+        last = -1
+        while True:
+            position, prefix = downward.take(symbol)
+            if not len(position):
+                break
+            if last < 0:
+                prefix[0] = 0
+            out.append((position, prefix))
+            last = int(position[-1])
+            downward.scan(position, prefix, is_s[position - 1])
+        position, prefix = (x[::-1] for x in found[symbol])
+        if len(position):
+            share = _commons(word, np.array([last]), position[:1], most)[0] if last >= 0 else 0
+            prefix = np.append(share, prefix[:-1])
+            out.append((position, prefix))
+            downward.scan(position, prefix, is_s[position - 1])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))

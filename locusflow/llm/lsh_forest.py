@@ -49,8 +49,6 @@ LIKELY = 0.05
 CROWD = 512
 #: Neighbours of other components looked at before each row of a crowded region.
 REACH = 8
-#: Ids, of 8 bytes, that are broadcast to the texts at most.
-SENT_IDS = 200_000
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -156,9 +154,8 @@ def _confirmed(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts whose doc is in ids (doc); few ids, by their count, go to the texts, else both are shuffled."""
-    ids = shared.written(ids.distinct(), "needed")
-    return shared.written(texts.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc", "left_semi"), "texts")
+    """The rows of texts whose doc is in ids (doc), written."""
+    return shared.written(shared.only(texts, ids, "doc"), "texts")
 
 
 def _links(texts: DataFrame, near: DataFrame, percent: int) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Edges whose components one task finds; more are handled by steps over all.
 FEW_EDGES = 1_000_000
+#: Ids, of 8 bytes, that are broadcast to a table at most.
+SENT_IDS = 200_000
 
 
 def session(df: DataFrame) -> SparkSession:
@@ -57,6 +59,12 @@ def dropped(df: DataFrame) -> None:
             remove(spark, path)
 
 
+def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of df whose column, a long, is in ids; few ids, by their count, go to the rows, else both are shuffled."""
+    ids = written(ids.select(column).distinct(), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, column, "left_semi")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(session(df))
     return df.checkpoint()

@@ -1,14 +1,15 @@
-"""Removal of repeated byte strings, by suffix arrays of the places that can hold them.
+"""Removal of repeated byte strings, by suffix sorting of the places that can hold them.
 
 Every ``width`` bytes of a document that also start anywhere else are removed.
-``segments`` decides most of it: windows of equal key and content are
-repetitions, windows whose key stands once are none.  Segments whose key has
-several contents are split by more keys, the least grams under ``LEVELS``
-further orders, level by level, so that a frequent passage in many
-surroundings falls apart into many small groups.  What still shares all keys is
-dealt into shards, and each shard's suffixes are sorted by external induced
-sorting (``induced``): two neighbours with a common prefix of ``width`` bytes are
-repetitions.
+``segments`` finds where: windows of equal key and content are repetitions,
+windows whose key stands once are none.  Segments whose key has several
+contents are dealt into shards by key, and each shard's suffixes are sorted by
+induction with their common prefixes (``induced``): two neighbours that share
+``width`` bytes are repetitions.  A key with more than ``KEY_BYTES`` of segments
+is split first by more keys, the least grams under ``LEVELS`` further orders,
+so that a frequent passage in many surroundings falls apart into small groups.
+What still shares all of them is sorted as one shard, in files where it is
+larger than ``HELD_BYTES``.
 
 Texts are UTF-8 bytes and may be cut inside a character.  Nulls: a null text is
 empty.  Rows equal in id and text are one document and get the same result; a
@@ -17,6 +18,8 @@ null id is an id of its own.  An empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import uuid
 from collections.abc import Iterator
 
@@ -32,20 +35,30 @@ from .warc import opened
 
 U64 = np.uint64
 #: Bytes of a gram whose least hash is a window's key.
-GRAM = 16
+GRAM = 64
 #: Further orders of each level.
-LEVELS = (8,)
+LEVELS = (8, 8, 8)
+#: Bytes of segments of one key that are not split further.
+KEY_BYTES = 4 << 20
 #: Bytes of segments in a shard, about.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 2 << 20
+#: Bytes of a shard that are sorted in memory, at some 100 bytes each; a larger one is sorted in files.
+HELD_BYTES = 8 << 20
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
-    """A hash of each GRAM consecutive bytes."""
+    """A hash of each GRAM consecutive bytes, by doubling."""
     n = len(data) - GRAM + 1
     if n <= 0:
         return np.zeros(0, U64)
-    at = np.arange(n)
-    return tv.range_hashes(data.astype(U64) + U64(1), at, at + GRAM)
+    own, size = data.astype(U64), 1
+    while size < GRAM:
+        if size < 8:
+            own = own[:-size] | own[size:] << U64(8 * size)
+        else:
+            own = tv.mix(own[:-size] * U64(0x9E3779B97F4A7C15) + own[size:])
+        size *= 2
+    return own
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
@@ -59,14 +72,14 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
                 data, first = tv.buffers(batch["__text"].slice(low, high - low))
                 key, start, count = sg.segment_bounds(data, _grams(data), first, GRAM, width)
                 own = np.searchsorted(first, start, "right") - 1
-                content = tv.range_hashes(data.astype(U64) + U64(1), start, start + count - 1 + width, 1)
+                content = tv.digests(memoryview(data), start, start + count - 1 + width)
                 yield from rows.add(key=key, content=content, doc=doc[low + own], sub=sub[low + own], start=(start - first[own]).astype(np.int32), count=count.astype(np.int32))
         yield from rows.flush()
 
     return docs.select("doc", "sub", "__text").mapInArrow(run, sg.ROWS)
 
 
-def _split(docs: DataFrame, width: int, orders: int) -> DataFrame:
+def _split(docs: DataFrame, width: int, orders: int, level: int) -> DataFrame:
     """Rows for the parts into which further keys split the segments ``spans`` of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +87,7 @@ def _split(docs: DataFrame, width: int, orders: int) -> DataFrame:
         for batch in batches:
             for text, doc, sub, spans in zip(batch["__text"], batch["doc"].to_pylist(), batch["sub"].to_pylist(), batch["spans"].to_pylist(), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
-                grams, symbols = _grams(data), data.astype(U64) + U64(1)
+                grams = _grams(data)
                 # Segments of the last level that a position order brings together again must stay apart.
                 spans = sorted((s["start"], s["count"], s["key"]) for s in spans)
                 window = np.concatenate([np.arange(s, s + n) for s, n, _ in spans])
@@ -82,22 +95,22 @@ def _split(docs: DataFrame, width: int, orders: int) -> DataFrame:
                 new = np.zeros(len(window), bool)
                 new[np.cumsum([0, *(n for _, n, _ in spans[:-1])])] = True
                 for i in range(orders):
-                    salted = tv.mix(grams ^ U64((orders * 1000 + i) * 0x9E3779B97F4A7C15 % (1 << 64)))
+                    salted = tv.mix(grams ^ U64((level * 1000 + i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
                     at = tv.sliding_argmin(salted, width - GRAM + 1)[window]
                     new[1:] |= at[1:] != at[:-1]
                     key = tv.mix(key * U64(3) + salted[at])
                 first = np.flatnonzero(new)
                 start, count = window[first], np.diff(np.append(first, len(window)))
                 m = len(first)
-                yield from rows.add(key=key[first], content=tv.range_hashes(symbols, start, start + count - 1 + width, 1), doc=np.full(m, doc, np.int64), sub=np.full(m, sub, np.int32), start=start.astype(np.int32), count=count.astype(np.int32))
+                yield from rows.add(key=key[first], content=tv.digests(memoryview(data), start, start + count - 1 + width), doc=np.full(m, doc, np.int64), sub=np.full(m, sub, np.int32), start=start.astype(np.int32), count=count.astype(np.int32))
         yield from rows.flush()
 
     return docs.select("doc", "sub", "__text", "spans").mapInArrow(run, sg.ROWS)
 
 
-def _open_spans(found: DataFrame) -> DataFrame:
-    """(doc, sub, spans) of the segments whose key has several contents."""
-    return found.where(F.col("tag") != sg.REMOVE).groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "count", "key")).alias("spans"))
+def _spans(segments: DataFrame) -> DataFrame:
+    """(doc, sub, spans) of marked segments."""
+    return segments.groupBy("doc", "sub").agg(F.collect_list(F.struct("start", "count", "key")).alias("spans"))
 
 
 def _scratch(folder: str) -> induced.Files:
@@ -122,27 +135,36 @@ def _scratch(folder: str) -> induced.Files:
 def repeated_windows(pieces: list[bytes], width: int, files: induced.Files, held: int = induced.HELD) -> list[np.ndarray]:
     """For each piece the starts of windows that stand more than once in the pieces."""
     text = b"".join(pieces)
-    ends = np.cumsum([len(p) for p in pieces])
-    room = np.repeat(ends, [len(p) for p in pieces]) - np.arange(len(text))
-    hits, last, run_low = [], -1, 0
-    for position, prefix in induced.sort(text, files, most=width, held=held):
+    size = np.array([len(p) for p in pieces], np.int64)
+    ends = np.cumsum(size)
+    if len(text) <= HELD_BYTES:
+        blocks = [induced.sort_held(np.frombuffer(text, np.uint8), width)]
+    else:
+        blocks = _in_arrays(induced.sort(text, files, most=width, held=held))
+    hit, last, low = np.zeros(len(text), bool), -1, 0
+    for position, prefix in blocks:
         # Suffixes with less than a window left in their piece are passed over; the common prefix to the next is the least between.
-        run_low = prefix if last < 0 else min(run_low, prefix)
-        if room[position] < width:
+        keep = np.flatnonzero(ends[np.searchsorted(ends, position, "right")] - position >= width)
+        rest = int(prefix.min()) if len(prefix) else width
+        if not len(keep):
+            low = min(low, rest)
             continue
-        if last >= 0 and run_low >= width:
-            hits.append(last)
-            hits.append(position)
-        last, run_low = position, width
-    hit = np.unique(np.array(hits, np.int64))
-    owner = np.searchsorted(ends, hit, "right")
-    starts = ends - [len(p) for p in pieces]
-    return [hit[owner == i] - starts[i] for i in range(len(pieces))] if len(pieces) < 64 else _dealt(hit, owner, starts)
+        share = np.minimum.reduceat(prefix, np.append(0, keep[:-1] + 1))
+        share[0] = min(share[0], low) if last >= 0 else 0
+        own = position[keep]
+        same = np.flatnonzero(share >= width)
+        hit[own[same]] = True
+        hit[np.append(last, own[:-1])[same]] = True
+        last = int(own[-1])
+        low = int(prefix[keep[-1] + 1 :].min(initial=width))
+    starts = np.flatnonzero(hit)
+    return [x - a for x, a in zip(np.split(starts, np.searchsorted(starts, ends[:-1])), ends - size, strict=True)] if len(pieces) else []
 
 
-def _dealt(hit: np.ndarray, owner: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
-    cut = np.searchsorted(owner, np.arange(1, len(starts)))
-    return [x - s for x, s in zip(np.split(hit, cut), starts, strict=True)]
+def _in_arrays(entries: Iterator[tuple[int, int]], most: int = 1 << 16) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    while some := list(itertools.islice(entries, most)):
+        own = np.array(some, np.int64)
+        yield own[:, 0], own[:, 1]
 
 
 def _sorted_shards(docs: DataFrame, width: int, folder: str, shards: int) -> DataFrame:
@@ -196,18 +218,33 @@ def repetitions(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     spark = shared.session(docs)
     texts = sg.keyed(docs, id_col, text_col).select("doc", "sub", "__text")
     columns = ("doc", "sub", "start", "count")
-    found = shared.written(sg.exchanged(fingerprints(texts, width)).mapInArrow(sg.marks(True), sg.MARKS), "marks")
-    removed = found.where(F.col("tag") == sg.REMOVE).select(*columns)
-    distinct = texts.dropDuplicates(["doc", "sub"])
-    for orders in LEVELS:
-        rows = _split(distinct.join(_open_spans(found), ["doc", "sub"]), width, orders)
+    rows, level = fingerprints(texts, width), 0
+    open_, removed, tables = [], [], []
+    while True:
         found = shared.written(sg.exchanged(rows).mapInArrow(sg.marks(True), sg.MARKS), "marks")
-        removed = removed.unionByName(found.where(F.col("tag") == sg.REMOVE).select(*columns))
-    left = found.where(F.col("tag") != sg.REMOVE).select(F.sum(F.col("count").cast("long") + width)).first()[0] or 0
-    shards = max(1, -(-int(left) // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")) if left > SHARD_BYTES else 1)
+        tables.append(found)
+        shared.released(spark)
+        removed.append(found.where(F.col("tag") == sg.REMOVE).select(*columns))
+        left = found.where(F.col("tag") != sg.REMOVE)
+        large = left.groupBy("key").agg(F.sum(F.col("count").cast("long") + width - 1).alias("bytes")).where(F.col("bytes") > KEY_BYTES).select("key")
+        if level == len(LEVELS) or large.isEmpty():
+            open_.append(left)
+            break
+        open_.append(left.join(large, "key", "left_anti"))
+        hot = shared.written(left.join(large, "key", "left_semi"), "hot")
+        rows = _split(shared.only(texts, hot, "doc").join(_spans(hot), ["doc", "sub"]), width, LEVELS[level], level)
+        tables.append(hot)
+        level += 1
+    left = functools.reduce(DataFrame.unionByName, open_)
+    size = int(left.select(F.sum(F.col("count").cast("long") + width - 1)).first()[0] or 0)
+    shards = max(1, -(-size // SHARD_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")) if size > SHARD_BYTES else 1)
     folder = shared.fresh_path(spark, "suffixes")
-    sorted_ = _sorted_shards(distinct.join(_open_spans(found), ["doc", "sub"]), width, folder, shards)
-    return sg.windows_of(removed.unionByName(sorted_))
+    removed.append(_sorted_shards(texts.join(_spans(left), ["doc", "sub"]), width, folder, shards))
+    spans = shared.written(sg.windows_of(functools.reduce(DataFrame.unionByName, removed)), "spans")
+    for table in tables:
+        shared.dropped(table)
+    shared.released(spark)
+    return spans
 
 
 def strip(docs: DataFrame, spans: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 200) -> DataFrame:
