@@ -8,12 +8,15 @@ the join's hot side is left to adaptive skew handling.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import records as R
+from .once import once
 from .pairing import read_ends
 
 PAIR_KEY = ("bucket", "lb", "rep_ref", "rep_u", "orient", "mate_u", "mate_ref")
@@ -25,14 +28,14 @@ def _clusters(rows: DataFrame, key: tuple[str, ...], *more) -> DataFrame:
 
 
 def pair_winners(ends: DataFrame) -> DataFrame:
-    """Clusters of two pairs and more with n and the winner's line: best score, then first by (pos, line_no)."""
-    best = F.max(F.struct(F.col("pair_score").alias("s"), (-F.col("rep_pos")).alias("p"), (-F.col("rep_line")).alias("l")))
-    return _clusters(ends, PAIR_KEY, (-best["l"]).alias("best_line")).where("n > 1")
+    """Clusters of two pairs and more with n and the winner's line and name: best score, then first by (pos, line_no)."""
+    best = F.max(F.struct(F.col("pair_score").alias("s"), (-F.col("rep_pos")).alias("p"), (-F.col("rep_line")).alias("l"), F.col("qname").alias("q")))
+    return _clusters(ends, PAIR_KEY, (-best["l"]).alias("best_line"), best["q"].alias("best_name")).where("n > 1")
 
 
 def pair_duplicates(ends: DataFrame) -> DataFrame:
     """The pairs that lose in their cluster."""
-    return ends.join(pair_winners(ends), list(PAIR_KEY)).where("rep_line <> best_line").drop("n")
+    return ends.join(pair_winners(ends).drop("n", "best_name"), list(PAIR_KEY)).where("rep_line <> best_line")
 
 
 def fragment_clusters(reads: DataFrame) -> DataFrame:
@@ -49,11 +52,25 @@ def fragment_duplicates(reads: DataFrame) -> DataFrame:
     return single.join(fragment_clusters(reads), list(FRAGMENT_KEY)).where("has_paired or line_no <> best_line").select("bucket", "line_no", "has_paired")
 
 
-def marked(reads: DataFrame, *, discordant_score: str = "both") -> DataFrame:
-    """reads with is_dup; every record stays."""
+#: What marking reads of a record; the text isn't among it.
+NARROW = ("line_no", "bucket", "qname", "flag", "pos", "pnext", "ref_idx", "mate_idx", "end", "rev", "mrev", "u", "score", "lb", "paired", "eligible")
+
+
+def losers(reads: DataFrame, *, discordant_score: str = "both") -> DataFrame:
+    """(line_no) of the records that are duplicates, each once; reads needs the columns NARROW and is read several times."""
     ends = read_ends(reads, discordant_score=discordant_score)
     lines = pair_duplicates(ends).select(F.explode(F.array("rep_line", "oth_line")).alias("line_no"))
-    lines = lines.unionByName(fragment_duplicates(reads).select("line_no")).select(F.col("line_no").alias("__line"), F.lit(True).alias("is_dup"))
+    return lines.unionByName(fragment_duplicates(reads).select("line_no"))
+
+
+def marked(reads: DataFrame, *, discordant_score: str = "both", narrow: DataFrame | None = None) -> DataFrame:
+    """reads with is_dup; every record stays.
+
+    The columns that marking needs are written once and all steps read them
+    (narrow: they are already); the records themselves are joined once.
+    """
+    narrow = once(reads.select(*NARROW)) if narrow is None else narrow
+    lines = losers(narrow, discordant_score=discordant_score).select(F.col("line_no").alias("__line"), F.lit(True).alias("is_dup"))
     out = reads.join(lines, F.col("line_no") == F.col("__line"), "left").drop("__line")
     return out.withColumn("is_dup", F.coalesce("is_dup", F.lit(False)))
 
@@ -63,39 +80,64 @@ def with_marked_flag(rows: DataFrame) -> DataFrame:
     return rows.withColumn("flag_out", F.when(F.col("is_dup"), R.with_bits(F.col("flag"), 0x400)).otherwise(F.col("flag")))
 
 
+_SPOT = "bucket string, cluster long, rep_pos long, rep_line long, x int, y int, best boolean, first_pass boolean"
+
+
+def _second_pass(x: np.ndarray, y: np.ndarray, best: np.ndarray, near: np.ndarray, distance: int) -> None:
+    """Mark in ``near`` what the pairwise pass over a sorted cluster marks, in place."""
+    for i in np.flatnonzero(~best):
+        later = i + 1 + np.flatnonzero((np.abs(x[i + 1 :] - x[i]) <= distance) & (np.abs(y[i + 1 :] - y[i]) <= distance) & ~best[i + 1 :])
+        if not near[i] and len(later):
+            near[i] = True
+            later = later[1:]
+        near[later] = True
+
+
 def optical_duplicates(ends: DataFrame, distance: int) -> DataFrame:
     """(bucket, rep_line, first_pass) of losing pairs whose spot lies within ``distance`` in x and y of another of their cluster.
 
-    First all spots are compared with the winner's; then, in the order of
-    positions, each two others of which at most one is marked, marking the
-    earlier unless it is already.  That order matters, so a cluster is one
-    group; only clusters of two and more are grouped.
+    First all spots are compared with the winner's, in plain columns; then, in
+    the order of positions, each two others of which at most one is marked,
+    marking the earlier unless it is already.  That order matters, so a cluster
+    of two losers and more passes through one task; sorted partitions are
+    scanned by one Arrow function, which holds a cluster at a time.
     """
     schema = "bucket string, rep_line long, first_pass boolean"
     if distance <= 0:
         return ends.sparkSession.createDataFrame([], schema)
-    spots = ends.join(pair_winners(ends).drop("n"), list(PAIR_KEY)).withColumn("xy", R.location(F.col("qname")))
-    spots = spots.where("xy.x is not null and xy.y is not null").select(*PAIR_KEY, "rep_pos", "rep_line", "best_line", F.col("xy.x").alias("x"), F.col("xy.y").alias("y"))
-
-    def one(cluster: pd.DataFrame) -> pd.DataFrame:
-        cluster = cluster.sort_values(["rep_pos", "rep_line"], kind="stable")
-        x, y = cluster["x"].to_numpy(np.int64), cluster["y"].to_numpy(np.int64)
-        best = cluster["rep_line"].to_numpy() == cluster["best_line"].to_numpy()
-        near = np.zeros(len(x), bool)
-        if best.any():
-            w = int(np.flatnonzero(best)[0])
-            near = (np.abs(x - x[w]) <= distance) & (np.abs(y - y[w]) <= distance) & ~best
-        first = near.copy()
-        for i in np.flatnonzero(~best):
-            later = i + 1 + np.flatnonzero((np.abs(x[i + 1 :] - x[i]) <= distance) & (np.abs(y[i + 1 :] - y[i]) <= distance) & ~best[i + 1 :])
-            if not near[i] and len(later):
-                near[i] = True
-                later = later[1:]
-            near[later] = True
-        keep = near & ~best
-        return pd.DataFrame({"bucket": cluster["bucket"].to_numpy()[keep], "rep_line": cluster["rep_line"].to_numpy()[keep], "first_pass": first[keep]})
-
-    return spots.groupBy(*PAIR_KEY).applyInPandas(one, schema)
+    spots = ends.join(pair_winners(ends), list(PAIR_KEY)).withColumn("xy", R.location(F.col("qname"))).withColumn("best_xy", R.location(F.col("best_name")))
+    best = F.col("rep_line") == F.col("best_line")
+    close = [F.abs(F.col(f"xy.{c}").cast("long") - F.col(f"best_xy.{c}")) <= distance for c in "xy"]
+    first = ~best & F.coalesce(close[0] & close[1], F.lit(False))
+    spots = spots.where("xy.x is not null and xy.y is not null")
+    spots = spots.select(*PAIR_KEY, "n", "rep_pos", "rep_line", F.col("xy.x").alias("x"), F.col("xy.y").alias("y"), best.alias("best"), first.alias("first_pass"))
+    near = spots.where("n = 2 and first_pass").select("bucket", "rep_line", "first_pass")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if carry is None else pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
+            cluster = rows["cluster"].to_numpy()
+            at = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1]])
+            yield found(rows.slice(0, int(at[-1])), at)
+            carry = rows.slice(int(at[-1]))
+        if carry is not None:
+            yield found(carry, np.array([0, carry.num_rows]))
+
+    def found(rows: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+        x, y = (rows[c].to_numpy().astype(np.int64) for c in "xy")
+        best, near = (rows[c].to_numpy(zero_copy_only=False).copy() for c in ("best", "first_pass"))
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            _second_pass(x[a:b], y[a:b], best[a:b], near[a:b], distance)
+        keep = pa.array(np.flatnonzero(near))
+        return rows.select(["bucket", "rep_line", "first_pass"]).take(keep)
+
+    several = spots.where("n > 2").withColumn("cluster", F.xxhash64(*PAIR_KEY)).select(*[c.split()[0] for c in _SPOT.split(", ")], *[c for c in PAIR_KEY if c != "bucket"])
+    order = ["cluster", *PAIR_KEY, "rep_pos", "rep_line"]
+    several = several.repartition("cluster").sortWithinPartitions(*order).select(*[c.split()[0] for c in _SPOT.split(", ")])
+    return near.unionByName(several.mapInArrow(run, schema))
 
 
 def metrics(rows: DataFrame, optical: DataFrame | None = None) -> DataFrame:

@@ -33,6 +33,12 @@ def missing_mates(reads: DataFrame) -> DataFrame:
     return sides.where("low = high").select("bucket", "qname", "line_no")
 
 
+def external_mates(reads: DataFrame) -> DataFrame:
+    """(bucket, paired, external): eligible paired records, and those of them whose mate lies elsewhere."""
+    sides = reads.where("eligible and paired").groupBy("bucket", "qname").agg(F.count(F.lit(1)).alias("n"), F.min("end").alias("low"), F.max("end").alias("high"))
+    return sides.groupBy("bucket").agg(F.sum("n").alias("paired"), F.sum(F.when(F.col("low") == F.col("high"), F.col("n")).otherwise(0)).cast("long").alias("external"))
+
+
 def read_ends(reads: DataFrame, *, discordant_score: str = "both") -> DataFrame:
     """A row for each pair: its representative, the key of its cluster and its score.
 

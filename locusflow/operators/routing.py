@@ -24,15 +24,15 @@ def route(raw: DataFrame, references: Sequence[str], libraries: Sequence[str] =
 
     Both ends mapped to one reference: its bucket, if MAPQ is min_mapq at
     least; to two: discordant; all else: unmapped.  A missing or unknown
-    library is the first one.
+    library is the first one.  A record without CIGAR follows its reference
+    into a bucket, but has no reference index and no 5' position.
     """
     mate = F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext"))
     own, other = index_of(F.col("rname"), references, -1), index_of(mate, references, -1)
-    out = raw.withColumn("ref_idx", F.when(F.col("cigar") == "*", F.when(own >= 0, own).otherwise(-1)).otherwise(own)).withColumn("mate_idx", other)
-    both = (F.col("ref_idx") >= 0) & (F.col("mate_idx") >= 0)
-    bucket = F.when(both & (F.col("ref_idx") == F.col("mate_idx")), F.col("rname")).when(both, F.lit(DISCORDANT)).otherwise(F.lit(UNMAPPED))
+    both = (own >= 0) & (other >= 0)
+    bucket = F.when(both & (own == other), F.col("rname")).when(both, F.lit(DISCORDANT)).otherwise(F.lit(UNMAPPED))
     flag = F.col("flag")
-    out = out.withColumn("bucket", bucket)
+    out = raw.withColumn("bucket", bucket).withColumn("ref_idx", F.when(F.col("cigar") == "*", F.lit(-1)).otherwise(own)).withColumn("mate_idx", other)
     if min_mapq > 0:
         out = out.where((F.col("bucket").isin(DISCORDANT, UNMAPPED)) | (F.col("mapq") >= min_mapq))
     library = index_of(R.tag_value(F.col("tags"), "LB:Z:"), libraries, 0)

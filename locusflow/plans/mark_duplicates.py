@@ -11,6 +11,7 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import marking
+from ..operators.once import once
 from ..operators.pairing import missing_mates, read_ends, repeated_ends
 from ..operators.routing import route
 from ..sources import bgzf, sam
@@ -30,7 +31,7 @@ def marked_sam(spark: SparkSession, path: str, *, min_mapq: int = 0, strict: boo
 
 def run(spark: SparkSession, path: str, folder: str, *, level: int = 3, min_mapq: int = 0, optical_distance: int = 0, by_name: bool = False, strict: bool = False, end_block: bool = False) -> DataFrame:
     """Mark, sort and write; returns metrics by bucket. by_name sorts by name key instead."""
-    rows = marked_sam(spark, path, min_mapq=min_mapq, strict=strict)
+    rows = once(marked_sam(spark, path, min_mapq=min_mapq, strict=strict))  # sorted, written, counted: parsed and marked once
     head = sam.sorted_header(sam.header(path), "queryname" if by_name else "coordinate")
     bgzf.write_buckets(rows, head, folder, level=level, by_name=by_name, end_block=end_block)
     optical = marking.optical_duplicates(read_ends(rows), optical_distance) if optical_distance > 0 else None

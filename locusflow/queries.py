@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import records as R
 from .operators import marking, pairing
+from .operators.once import once
 from .operators.routing import route
 from .sources.reads_from_orders import LIBRARIES, REFERENCES, SQL, raw_reads
 
@@ -25,12 +26,19 @@ def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairing.read_ends(reads(spark, sf_dir))
 
 
-def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marking.marked(reads(spark, sf_dir))
+def _marked(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Marked records with the columns of marking, and more, derived once."""
+    narrow = once(reads(spark, sf_dir).select(*marking.NARROW, *more))
+    return marking.marked(narrow, narrow=narrow)
 
 
 def _optical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return marking.optical_duplicates(_ends(spark, sf_dir), 20)
+    return marking.optical_duplicates(once(_ends(spark, sf_dir)), 20)
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    narrow = once(reads(spark, sf_dir).select(*marking.NARROW))
+    return marking.metrics(marking.marked(narrow, narrow=narrow), marking.optical_duplicates(once(pairing.read_ends(narrow)), 20))
 
 
 def _pick(*columns) -> Callable[[SparkSession, str], DataFrame]:
@@ -50,7 +58,7 @@ def _sorted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Byte offset of each record's line in its bucket's text, summed in two levels like the index."""
-    r = reads(spark, sf_dir).select("bucket", "pos", "line_no", (F.length("qname") + 1).cast("long").alias("size"))
+    r = reads(spark, sf_dir).select("bucket", "pos", "line_no", (F.octet_length("line") + 1).cast("long").alias("size"))
     groups = r.groupBy("bucket", "pos").agg(F.sum("size").alias("n"))
     before = Window.partitionBy("bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     groups = groups.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
@@ -66,11 +74,22 @@ def _mate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records marked differently when discordant pairs are ranked by one end's score."""
-    r = reads(spark, sf_dir)
-    one, two = (marking.with_marked_flag(marking.marked(r, discordant_score=s)) for s in ("both", "rep"))
+    r = once(reads(spark, sf_dir).select(*marking.NARROW))
+    one, two = (marking.with_marked_flag(marking.marked(r, discordant_score=s, narrow=r)) for s in ("both", "rep"))
     return marking.differences(one, two)
 
 
+def _with_repeats(r: DataFrame) -> DataFrame:
+    """Records, some of them twice, as only ill-formed input has them."""
+    return r.unionByName(r.where("line_no % 10 = 1"))
+
+
+def _rich_cigar():
+    """A CIGAR with every kind of operation, its lengths from a record's columns."""
+    parts = [("line_no", 4, "H"), ("mapq", 60, "M"), ("pos", 3, "I"), ("line_no", 5, "D"), ("pos", 7, "N"), ("mapq", 2, "P"), ("line_no", 3, "="), ("pos", 5, "X"), ("mapq", 4, "S")]
+    return F.concat(*[F.concat((F.col(c) % n + 1).cast("string"), F.lit(kind)) for c, n, kind in parts])
+
+
 def _by_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _marked(spark, sf_dir).groupBy("bucket").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.col("is_dup").cast("long")).alias("dups"))
 
@@ -81,18 +100,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "marked_reads": lambda s, d: _marked(s, d).select("line_no", "bucket", "is_dup"),
     "marked_by_chromosome": _by_bucket,
     "marked_flags": lambda s, d: marking.with_marked_flag(_marked(s, d)).select("line_no", "flag_out"),
-    "marked_lines": lambda s, d: _marked(s, d).where("is_dup").select("line_no", F.substring_index(R.duplicate_line(F.col("line"), F.col("flag")), "\t", 4).alias("head")),
-    "dup_metrics": lambda s, d: marking.metrics(_marked(s, d)),
+    "marked_lines": lambda s, d: _marked(s, d, "line").where("is_dup").select("line_no", F.substring_index(R.duplicate_line(F.col("line"), F.col("flag")), "\t", 4).alias("head")),
+    "dup_metrics": _metrics,
     "bucket_counts": lambda s, d: reads(s, d).groupBy("bucket").agg(F.count(F.lit(1)).alias("reads")),
     "bucket_route": _pick("bucket", "ref_idx", "mate_idx"),
     "mapq_filter": lambda s, d: reads(s, d, min_mapq=30).select("line_no", "bucket", "mapq"),
     "unmapped_reads": lambda s, d: reads(s, d).where("bucket = 'unmapped'").select("line_no", "qname"),
     "eligible": lambda s, d: reads(s, d).where("eligible").select("line_no", "paired"),
     "flag_bits": lambda s, d: reads(s, d).select("line_no", *[F.getbit("flag", F.lit(i)).cast("int").alias(f"b{i}") for i in range(12)]),
-    "cigar_reflen": _pick(lambda: R.reference_length(F.col("cigar")).alias("reflen")),
-    "aln_end": _pick(lambda: R.alignment_end(F.col("pos"), F.col("cigar")).alias("aln_end")),
-    "unclipped_end": _pick(lambda: R.unclipped_end(F.col("pos"), F.col("cigar")).alias("unclipped_end")),
-    "unclipped_start": _pick(lambda: R.unclipped_start(F.col("pos"), F.col("cigar")).alias("unclipped_start")),
+    "cigar_reflen": _pick(lambda: R.reference_length(_rich_cigar()).alias("reflen")),
+    "aln_end": _pick(lambda: R.alignment_end(F.col("pos"), _rich_cigar()).alias("aln_end")),
+    "unclipped_end": _pick(lambda: R.unclipped_end(F.col("pos"), _rich_cigar()).alias("unclipped_end")),
+    "unclipped_start": _pick(lambda: R.unclipped_start(F.col("pos"), _rich_cigar()).alias("unclipped_start")),
     "unclipped": _pick("u"),
     "phred_score": _pick("score"),
     "orientation": _pick(lambda: R.orientation(F.col("flag"), F.col("paired")).alias("orient")),
@@ -102,7 +121,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mate_pairs": lambda s, d: pairing.mates(reads(s, d)).select("bucket", "qname", F.col("a.line_no").alias("line_a"), F.col("b.line_no").alias("line_b")),
     "mate_lookup": _mate_lookup,
     "missing_mates": lambda s, d: pairing.missing_mates(reads(s, d)),
-    "dup_keys": lambda s, d: pairing.repeated_ends(reads(s, d)),
+    "external_mates": lambda s, d: pairing.external_mates(reads(s, d)),
+    "reads_max_total": lambda s, d: reads(s, d).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("total")),
+    "dup_keys": lambda s, d: pairing.repeated_ends(_with_repeats(reads(s, d).select("bucket", "qname", "end", "eligible", "paired", "line_no"))),
     "read_ends": lambda s, d: _ends(s, d).where("bucket <> 'discordant'").select(*_END_COLUMNS),
     "read_ends_discordant": lambda s, d: _ends(s, d).where("bucket = 'discordant'").select(*_END_COLUMNS),
     "pair_scores": lambda s, d: _ends(s, d).select("rep_line", "pair_score"),
@@ -120,23 +141,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _KEY = "bucket, lb, rep_ref, rep_u, orient, mate_u, mate_ref"
+#: Reference bases of the rich CIGAR: M, D, N, = and X.
+_COVERED = "mapq % 60 + line_no % 5 + pos % 7 + line_no % 3 + pos % 5 + 5"
 _END_LIST = ", ".join(_END_COLUMNS)
 _SELECTS = {
     "marked_reads": "line_no, bucket, is_dup FROM marked",
     "marked_by_chromosome": "bucket, count(*) AS reads, sum(is_dup::BIGINT)::BIGINT AS dups FROM marked GROUP BY bucket",
     "marked_flags": "line_no, (flag | CASE WHEN is_dup THEN 1024 ELSE 0 END)::INTEGER AS flag_out FROM marked",
     "marked_lines": "line_no, concat_ws(chr(9), qname, flag + 1024, rname, pos) AS head FROM marked WHERE is_dup",
-    "dup_metrics": "bucket, count(*) AS reads, sum(is_dup::BIGINT)::BIGINT AS duplicates, 0::BIGINT AS optical FROM marked GROUP BY bucket",
+    "dup_metrics": "bucket, count(*) AS reads, sum(is_dup::BIGINT)::BIGINT AS duplicates, any_value((SELECT count(*) FROM optical o WHERE o.bucket = marked.bucket))::BIGINT AS optical FROM marked GROUP BY bucket",
     "bucket_counts": "bucket, count(*) AS reads FROM reads GROUP BY bucket",
     "bucket_route": "line_no, bucket, ref_idx, mate_idx FROM reads",
     "mapq_filter": "line_no, bucket, mapq FROM reads WHERE bucket IN ('discordant', 'unmapped') OR mapq >= 30",
     "unmapped_reads": "line_no, qname FROM reads WHERE bucket = 'unmapped'",
     "eligible": "line_no, paired FROM reads WHERE eligible",
     "flag_bits": "line_no, " + ", ".join(f"((flag >> {i}) & 1)::INTEGER AS b{i}" for i in range(12)) + " FROM reads",
-    "cigar_reflen": "line_no, 10::BIGINT AS reflen FROM reads",
-    "aln_end": "line_no, pos + 9 AS aln_end FROM reads",
-    "unclipped_end": "line_no, pos + 9 + CASE WHEN rev = 1 THEN clip ELSE 0 END AS unclipped_end FROM reads",
-    "unclipped_start": "line_no, pos - CASE WHEN rev = 1 THEN 0 ELSE clip END AS unclipped_start FROM reads",
+    "cigar_reflen": f"line_no, ({_COVERED})::BIGINT AS reflen FROM reads",
+    "aln_end": f"line_no, (pos + {_COVERED} - 1)::BIGINT AS aln_end FROM reads",
+    "unclipped_end": f"line_no, (pos + {_COVERED} - 1 + mapq % 4 + 1)::BIGINT AS unclipped_end FROM reads",
+    "unclipped_start": "line_no, (pos - (line_no % 4 + 1))::BIGINT AS unclipped_start FROM reads",
     "unclipped": "line_no, u FROM reads",
     "phred_score": "line_no, score FROM reads",
     "orientation": "line_no, CASE WHEN NOT paired THEN rev WHEN rev = 0 AND mrev = 0 THEN 2 WHEN rev = 0 THEN 3 WHEN mrev = 1 THEN 4 ELSE 5 END::INTEGER AS orient FROM reads",
@@ -146,7 +169,9 @@ _SELECTS = {
     "mate_pairs": "bucket, qname, a.line_no AS line_a, b.line_no AS line_b FROM ab",
     "mate_lookup": "a.line_no AS line_no, b.line_no AS mate_line FROM ab UNION ALL SELECT b.line_no, a.line_no FROM ab",
     "missing_mates": "bucket, qname, min(line_no) AS line_no FROM reads WHERE eligible AND paired GROUP BY bucket, qname HAVING count(*) = 1",
-    "dup_keys": 'bucket, qname, "end", count(*) AS n FROM reads WHERE eligible AND paired GROUP BY bucket, qname, "end" HAVING count(*) > 1',
+    "external_mates": "bucket, count(*) AS paired, sum(alone::BIGINT)::BIGINT AS external FROM (SELECT bucket, min(\"end\") OVER w = max(\"end\") OVER w AS alone FROM reads WHERE eligible AND paired WINDOW w AS (PARTITION BY bucket, qname)) GROUP BY bucket",
+    "reads_max_total": "max(n) AS most, sum(n)::BIGINT AS total FROM (SELECT count(*) AS n FROM reads GROUP BY bucket)",
+    "dup_keys": 'bucket, qname, "end", count(*) AS n FROM (SELECT * FROM reads UNION ALL SELECT * FROM reads WHERE line_no % 10 = 1) WHERE eligible AND paired GROUP BY bucket, qname, "end" HAVING count(*) > 1',
     "read_ends": f"{_END_LIST} FROM ends WHERE bucket <> 'discordant'",
     "read_ends_discordant": f"{_END_LIST} FROM ends WHERE bucket = 'discordant'",
     "pair_scores": "rep_line, pair_score FROM ends",
@@ -156,8 +181,12 @@ _SELECTS = {
     "frag_dups_with_pairs": "line_no FROM frags WHERE NOT paired AND has_paired",
     "frag_dups_no_pairs": "line_no FROM frags WHERE NOT paired AND NOT has_paired AND place > 1",
     "sorted_index": "line_no, bucket, row_number() OVER (PARTITION BY bucket ORDER BY pos, line_no) - 1 AS sorted_index FROM reads",
-    "dest_offsets": "line_no, (sum(length(qname) + 1) OVER (PARTITION BY bucket ORDER BY pos, line_no) - length(qname) - 1)::BIGINT AS dest_offset FROM reads",
+    "dest_offsets": "line_no, (sum(strlen(line) + 1) OVER (PARTITION BY bucket ORDER BY pos, line_no) - strlen(line) - 1)::BIGINT AS dest_offset FROM reads",
     "interval_bounds": "bucket, min(pos) AS first_pos, max(pos) AS last_pos FROM reads GROUP BY bucket",
+    "optical_dups": "bucket, rep_line FROM optical",
+    "compare_outputs": "qname, \"end\", flag_out, sum(x)::BIGINT AS n_one, sum(1 - x)::BIGINT AS n_two FROM ("
+    "SELECT qname, \"end\", (flag | CASE WHEN is_dup THEN 1024 ELSE 0 END)::INTEGER AS flag_out, 1 AS x FROM marked UNION ALL "
+    "SELECT qname, \"end\", (flag | CASE WHEN line_no IN (SELECT line_no FROM lost_apart) THEN 1024 ELSE 0 END)::INTEGER, 0 FROM reads) GROUP BY ALL HAVING n_one <> n_two",
     "optical_first_pass": f"x.bucket, x.rep_line FROM ranked x JOIN ranked w USING ({_KEY}) WHERE x.place > 1 AND w.place = 1"
     " AND abs(split_part(x.qname, ':', 3)::INTEGER - split_part(w.qname, ':', 3)::INTEGER) <= 20 AND abs(split_part(x.qname, ':', 4)::INTEGER - split_part(w.qname, ':', 4)::INTEGER) <= 20",
 }

@@ -53,7 +53,7 @@ def raw_reads(lineitem: DataFrame) -> DataFrame:
 
 
 SQL = f"""
-WITH o AS (
+WITH RECURSIVE o AS (
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(_ORDER)}) - 1 AS r, l_quantity::INTEGER AS q FROM lineitem
 ), k AS (
   SELECT *, (r // 2)::INTEGER AS k FROM o
@@ -63,12 +63,12 @@ WITH o AS (
   SELECT *, CASE WHEN n = 1 AND l_orderkey % 2 = 0 THEN 5 WHEN q >= 48 THEN (l_orderkey + l_suppkey) % 5 ELSE l_orderkey % 5 END::INTEGER AS c FROM n
 ), d AS (
   SELECT *, min(c) OVER w <> max(c) OVER w AS apart, first_value(l_orderkey || ':' || k || ':' || l_partkey % 200 || ':' || l_suppkey % 50) OVER (PARTITION BY l_orderkey, k ORDER BY r) AS qname FROM c WINDOW w AS (PARTITION BY l_orderkey, k)
-), p AS (
+), p AS MATERIALIZED (
   SELECT *, (1000 + l_partkey % CASE WHEN apart THEN 5 ELSE 40 END)::BIGINT AS pos, (l_returnflag = 'R')::INTEGER AS rev, (l_linenumber % 3)::INTEGER AS clip FROM d
 ), m AS (
   SELECT a.*, b.c AS b_c, coalesce(b.pos, a.pos) AS pnext, coalesce(b.rev, a.rev) AS m_rev, coalesce(b.c, a.c) AS m_c
   FROM p a LEFT JOIN p b ON a.l_orderkey = b.l_orderkey AND a.k = b.k AND a.r <> b.r
-), reads AS (
+), reads AS MATERIALIZED (
   SELECT l_orderkey * 100 + r AS line_no, qname, n, apart, clip,
     (1 + CASE WHEN n = 1 THEN CASE WHEN l_orderkey % 10 = 5 THEN 12 ELSE 8 END ELSE m_rev * 32 END + rev * 16 + CASE WHEN r % 2 = 0 THEN 64 ELSE 128 END
       + CASE WHEN l_linenumber = 7 AND q > 45 THEN 256 ELSE 0 END)::INTEGER AS flag,
@@ -79,18 +79,21 @@ WITH o AS (
     pos, pnext, ((q + 10) % 60)::INTEGER AS mapq, (r % 2 + 1)::INTEGER AS "end", rev, CASE WHEN n = 1 THEN 0 ELSE m_rev END::INTEGER AS mrev,
     CASE WHEN rev = 1 THEN pos + 9 + clip ELSE pos - clip END::BIGINT AS u, CASE WHEN q >= 15 THEN q * (10 + clip) ELSE 0 END::INTEGER AS score,
     CASE WHEN l_orderkey % 7 = 0 THEN 0 ELSE l_orderkey % 2 END::INTEGER AS lb, n > 1 AS paired,
-    NOT (n = 1 AND l_orderkey % 10 = 5) AND NOT (l_linenumber = 7 AND q > 45) AS eligible
+    NOT (n = 1 AND l_orderkey % 10 = 5) AND NOT (l_linenumber = 7 AND q > 45) AS eligible,
+    concat_ws(chr(9), qname, flag, rname, pos, mapq, CASE WHEN rev = 1 THEN '10M' ELSE '' END || CASE WHEN clip > 0 THEN clip || 'S' ELSE '' END || CASE WHEN rev = 1 THEN '' ELSE '10M' END,
+      CASE WHEN c = m_c THEN '=' ELSE 'chr' || (m_c + 1) END, pnext, 0, '*', repeat(chr(33 + q), (10 + l_linenumber % 3)::INTEGER),
+      'RG:Z:x', CASE WHEN l_orderkey % 7 <> 0 THEN 'LB:Z:lib' || l_orderkey % 2 END) AS line
   FROM m
 ), ab AS (
   SELECT a.bucket, a.qname, a AS a, b AS b FROM reads a JOIN reads b ON a.bucket = b.bucket AND a.qname = b.qname AND (a.pos, a.line_no) < (b.pos, b.line_no)
   WHERE a.eligible AND a.paired AND b.eligible AND b.paired
-), ends AS (
+), ends AS MATERIALIZED (
   SELECT bucket, qname, rep.lb AS lb, rep.ref_idx AS rep_ref, rep.u AS rep_u, orient, oth.u AS mate_u, rep.mate_idx AS mate_ref, (rep.score + oth.score)::INTEGER AS pair_score,
-    rep.pos AS rep_pos, rep.line_no AS rep_line, oth.line_no AS oth_line
+    rep.pos AS rep_pos, rep.line_no AS rep_line, oth.line_no AS oth_line, rep.score AS rep_score
   FROM (SELECT bucket, qname, CASE WHEN swap THEN b ELSE a END AS rep, CASE WHEN swap THEN a ELSE b END AS oth,
       CASE WHEN a.u = b.u THEN 3 ELSE CASE (CASE WHEN swap THEN b.rev * 2 + a.rev ELSE a.rev * 2 + a.mrev END) WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 3 THEN 4 ELSE 5 END END::INTEGER AS orient
     FROM (SELECT *, bucket <> 'discordant' AND b.u < a.u AS swap FROM ab))
-), ranked AS (
+), ranked AS MATERIALIZED (
   SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY bucket, lb, rep_ref, rep_u, orient, mate_u, mate_ref) AS size FROM ends
   WINDOW w AS (PARTITION BY bucket, lb, rep_ref, rep_u, orient, mate_u, mate_ref ORDER BY pair_score DESC, rep_pos, rep_line)
 ), frags AS (
@@ -101,6 +104,25 @@ WITH o AS (
   SELECT rep_line AS line_no FROM ranked WHERE place > 1 UNION SELECT oth_line FROM ranked WHERE place > 1
   UNION SELECT line_no FROM frags WHERE NOT paired AND (has_paired OR place > 1)
 ), marked AS (
-  SELECT *, line_no IN (SELECT line_no FROM lost) AS is_dup FROM reads
+  SELECT reads.*, lost.line_no IS NOT NULL AS is_dup FROM reads LEFT JOIN lost ON reads.line_no = lost.line_no
+), apart AS (
+  SELECT rep_line, oth_line, row_number() OVER (PARTITION BY bucket, lb, rep_ref, rep_u, orient, mate_u, mate_ref
+    ORDER BY CASE WHEN bucket = 'discordant' THEN rep_score ELSE pair_score END DESC, rep_pos, rep_line) AS place FROM ends
+), lost_apart AS (
+  SELECT rep_line AS line_no FROM apart WHERE place > 1 UNION SELECT oth_line FROM apart WHERE place > 1
+  UNION SELECT line_no FROM frags WHERE NOT paired AND (has_paired OR place > 1)
+), clusters AS (
+  SELECT bucket, list(rep_line ORDER BY rep_pos, rep_line) AS ls, list(place = 1 ORDER BY rep_pos, rep_line) AS bs, count(*) AS n,
+    list(split_part(qname, ':', 3)::INTEGER ORDER BY rep_pos, rep_line) AS xs, list(split_part(qname, ':', 4)::INTEGER ORDER BY rep_pos, rep_line) AS ys
+  FROM ranked WHERE size > 1 GROUP BY bucket, lb, rep_ref, rep_u, orient, mate_u, mate_ref
+), spots AS (
+  SELECT *, list_position(bs, true) AS w FROM clusters
+), walk AS (
+  SELECT *, 1::BIGINT AS i, list_transform(range(1, n + 1), lambda j: j <> w AND abs(xs[j] - xs[w]) <= 20 AND abs(ys[j] - ys[w]) <= 20) AS near FROM spots
+  UNION ALL
+  SELECT * EXCLUDE (i, near, later), i + 1, list_transform(range(1, n + 1), lambda j: near[j] OR (i <> w AND len(later) > 0 AND (j = i OR list_contains(CASE WHEN near[i] THEN later ELSE later[2:] END, j))))
+  FROM (SELECT *, list_filter(range(i + 1, n + 1), lambda j: j <> w AND abs(xs[j] - xs[i]) <= 20 AND abs(ys[j] - ys[i]) <= 20) AS later FROM walk WHERE i <= n)
+), optical AS (
+  SELECT bucket, ls[j] AS rep_line FROM (SELECT bucket, ls, near, unnest(range(1, n + 1)) AS j FROM walk WHERE i = n + 1) WHERE near[j]
 )
 """

@@ -4,7 +4,7 @@ Byte ranges of the files are the partitions; a task owns the lines that start
 in its range and ``line_no`` is a line's byte offset, so order and identity
 don't depend on the number of partitions.  Option ``split_bytes`` sets the
 range, ``min_mapq`` drops records of lower quality whose mate lies on the same
-reference.  Header lines are skipped; empty files give no rows.
+reference, if the header names it.  Header lines are skipped; empty files give no rows.
 """
 
 from __future__ import annotations
@@ -98,11 +98,12 @@ class SamReader(DataSourceReader):
         if partition.end <= partition.start:
             return
         where, at = located(partition.path)
+        known = set(references(header(partition.path))) if self.min_mapq > 0 else set()
         with where.open_input_file(at) as file:
-            for rows in self._batches(file, partition.start, partition.end):
+            for rows in self._batches(file, partition.start, partition.end, known):
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
 
-    def _batches(self, file, start: int, end: int) -> Iterator[list[tuple]]:
+    def _batches(self, file, start: int, end: int, known: set[str]) -> Iterator[list[tuple]]:
         # A range that does not begin with a line leaves the broken one to the range before.
         at = max(start - 1, 0)
         file.seek(at)
@@ -116,7 +117,7 @@ class SamReader(DataSourceReader):
                     skipping = False
                 elif at < end and line.strip() and not line.startswith(b"@"):
                     row = parsed(at, line.rstrip(b"\r").decode(errors="replace"))
-                    if not (row[6] < self.min_mapq and row[4] != "*" and row[8] in ("=", row[4])):
+                    if not (row[6] < self.min_mapq and row[4] in known and row[8] in ("=", row[4])):
                         rows.append(row)
                 at += len(line) + 1
             if len(rows) >= 5000:
