@@ -37,6 +37,8 @@ MAGIC = b"\x1f\x8b\x08"
 #: Bytes inflated to see whether a candidate member is a record.
 HEAD = 512
 CHUNK = 1 << 20
+#: Bytes given to the decompressor at a time.
+FEED = 1 << 14
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, path string, at long, stored_bytes long, intact boolean"
@@ -143,43 +145,58 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
-def inflated(file, at: int) -> tuple[bytes, int]:
-    """The data of the gzip member at a place and where the next one starts."""
-    z, out = zlib.decompressobj(31), []
-    file.seek(at)
-    while not z.eof:
-        data = file.read(CHUNK)
-        if not data:
-            raise zlib.error("member is cut off")
-        out.append(z.decompress(data))
-    return b"".join(out), file.tell() - len(z.unused_data)
+def scan(file, start: int, end: int) -> Iterator[tuple[int, int, bytes]]:
+    """(place, stored bytes, data) of the records whose member starts in [start, end).
+
+    The range is read once, in steps; what is read beyond a member is kept for
+    the next one.
+    """
+    step = min(CHUNK, max(1 << 16, (end - start) // 8))
+    file.seek(start)
+    base, at, held = start, start, bytearray()
 
+    def more() -> bytes:
+        data = file.read(step)
+        held.extend(data)
+        return data
 
-def scan(file, start: int, end: int) -> Iterator[tuple[int, int, bytes]]:
-    """(place, stored bytes, data) of the records whose member starts in [start, end)."""
-    at = start
     while at < end:
-        file.seek(at)
-        window = file.read(CHUNK)
-        if not window:
-            return
-        found = window.find(MAGIC)
+        found = held.find(MAGIC, at - base)
         if found < 0:
-            at += max(1, len(window) - len(MAGIC) + 1)
+            at = max(at, base + len(held) - len(MAGIC) + 1)
+            del held[: at - base]
+            base = at
+            if not more():
+                return
             continue
-        at += found
+        at = base + found
         if at >= end:
             return
-        file.seek(at)
-        if not is_record(file.read(HEAD)):
-            at += 1
-            continue
-        try:
-            data, after = inflated(file, at)
-        except zlib.error:
+        if found > step:
+            del held[:found]
+            base = at
+        while len(held) - (at - base) < HEAD and more():
+            pass
+        after = None
+        if is_record(bytes(held[at - base : at - base + HEAD])):
+            z, out, to = zlib.decompressobj(31), [], at - base
+            try:
+                while not z.eof:
+                    part = bytes(held[to : to + FEED])
+                    if not part:
+                        if not more():
+                            break  # the member is cut off
+                        continue
+                    out.append(z.decompress(part))
+                    to += len(part)
+                if z.eof:
+                    after = base + to - len(z.unused_data)
+            except zlib.error:
+                pass
+        if after is None:
             at += 1
             continue
-        yield at, after - at, data
+        yield at, after - at, b"".join(out)
         at = after
 
 
