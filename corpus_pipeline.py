@@ -32,7 +32,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that three documents and more hold, but for the largest id."""
     index = line_dedup.LineIndex(spark, id_col=ID, text_col=TEXT)
-    index.insert(docs)
+    index.insert_all(docs)
     return _as_documents(index.rewrite(docs), docs)
 
 

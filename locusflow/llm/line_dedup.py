@@ -195,23 +195,30 @@ class LineIndex:
         fresh = self._count(new)
         if not old:
             fresh.write.parquet(f"{made}/counts")
-            self.generation, self.shards = 1, 0
             self._rename(f"{made}/new", f"{made}/postings")
+            self.generation = 1
             self._filters(made)
             return
-        marked = self._probe(fresh)
+        marked = shared.written(self._probe(fresh), "probed")
         known = self.counts
         sure = marked.where("not maybe").select("key", "refs", "max_doc")
         maybe = marked.where("maybe").select("key", F.col("refs").alias("r"), F.col("max_doc").alias("m"))
         merged = known.join(maybe, "key", "full").select("key", (F.coalesce("refs", F.lit(0)) + F.coalesce("r", F.lit(0))).alias("refs"), F.greatest("max_doc", "m").alias("max_doc"))
         merged.unionByName(sure).write.parquet(f"{made}/counts")
+        shared.dropped(marked)
         self.generation = old + 1
         self._filters(made)
 
+    def insert_all(self, docs: DataFrame, batches: int = 2) -> None:
+        """Add documents in batches of ascending ids: from the second on, filters tell which keys need their exact counts."""
+        for part in shared.id_batches(docs, self.id_col, batches):
+            self.insert(part)
+
     def _rename(self, a: str, b: str) -> None:
         jvm = self.spark.sparkContext._jvm
         where = jvm.org.apache.hadoop.fs.Path(a)
-        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(where, jvm.org.apache.hadoop.fs.Path(b))
+        if not where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).rename(where, jvm.org.apache.hadoop.fs.Path(b)):
+            raise OSError(f"{a} could not be renamed")
 
     def _filters(self, made: str) -> None:
         """Build the filter of each shard from the exact table."""
@@ -294,7 +301,7 @@ class LineIndex:
 def op4_line_dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The digest of line deduplication over all documents."""
     index = LineIndex(spark)
-    index.insert(docs.select("doc_id", "text"))
+    index.insert_all(docs.select("doc_id", "text"))
     out = index.rewrite(docs.select("doc_id", "text"))
     return out.select(F.col("__id").alias("doc_id"), "n_lines", "n_dropped", F.sha2(F.encode("__text", "UTF-8"), 256).alias("kept_sha256"))
 

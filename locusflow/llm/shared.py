@@ -59,6 +59,17 @@ def dropped(df: DataFrame) -> None:
             remove(spark, path)
 
 
+def id_batches(docs: DataFrame, id_col: str, batches: int) -> list[DataFrame]:
+    """docs in up to ``batches`` parts of ascending ids, of about as many rows each; null ids are in the first."""
+    own = F.col(f"`{id_col}`")
+    bounds = docs.select(F.percentile_approx(own, [i / batches for i in range(1, batches)]) if batches > 1 else F.lit(None)).first()[0] or []
+    out, rest = [], docs
+    for bound in sorted(set(bounds)):
+        out.append(rest.where((own <= bound) if out else own.isNull() | (own <= bound)))
+        rest = docs.where(own > bound)
+    return [*out, rest]
+
+
 def only(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
     """The rows of df whose column, a long, is in ids; few ids, by their count, go to the rows, else both are shuffled."""
     ids = written(ids.select(column).distinct(), "ids")

@@ -179,16 +179,13 @@ class WindowIndex:
 def op9_window_index(spark: SparkSession, docs: DataFrame, batches: int = 3) -> DataFrame:
     """The digest of window deduplication over all documents, inserted in ``batches`` of ascending ids (null first); the runs are compacted before the last."""
     narrow = docs.select("doc_id", "text")
-    bounds = narrow.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] or []
-    index, spans, after = WindowIndex(spark), None, None
-    for i, bound in enumerate([*sorted(set(bounds)), None]):
-        rows = narrow if after is None else narrow.where(F.col("doc_id") > after)
-        if bound is not None:
-            rows = rows.where(F.col("doc_id").isNull() | (F.col("doc_id") <= bound)) if after is None else rows.where(F.col("doc_id") <= bound)
-        elif i:
+    index, spans, parts = WindowIndex(spark), None, shared.id_batches(narrow, "doc_id", batches)
+    for i, rows in enumerate(parts):
+        last = i == len(parts) - 1
+        if last:
             index.compact()
-        found = index.repetitions(rows, keep_run=bound is not None)  # nothing is inserted after the last batch
-        spans, after = found if spans is None else spans.unionByName(found), bound
+        found = index.repetitions(rows, keep_run=not last)  # nothing is inserted after the last batch
+        spans = found if spans is None else spans.unionByName(found)
     out = index.strip(narrow, spans)
     return out.select(F.col("__id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("__text", "UTF-8"), 256).alias("kept_sha256"))
 
