@@ -118,5 +118,5 @@ WITH words AS (
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
        n_repeat_words::BIGINT AS n_repeat_words, base_failed, NOT base_failed AND NOT (rate - 3 * sqrt(rate * (1 - rate) / (total + 1)) > 0.5) AS kept
-FROM failed JOIN verdicts USING (source)
+FROM failed JOIN verdicts ON failed.source IS NOT DISTINCT FROM verdicts.source
 """

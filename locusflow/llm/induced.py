@@ -357,9 +357,10 @@ def _commons(word: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.nd
 def _ordered(text: np.ndarray, types: np.ndarray, starts: np.ndarray, most: int) -> np.ndarray:
     """Numbers of block starts in ascending order of their suffixes, as far as ``most`` symbols tell."""
     m, n = len(starts), len(text)
-    ends = np.append(starts[1:] + 1, n)
-    size = ends - starts
-    coded = np.concatenate((text.astype(np.uint64) * 2 + types + 2, np.zeros(8, np.uint64)))
+    ends = np.append(starts[1:] + 1, n + 1)  # the last block holds the end of the text, a symbol less than all
+    size = (ends - starts)[:m]
+    # Nine bits a symbol with its type, 0 past the end; the largest symbol is never S.
+    coded = np.concatenate((text.astype(np.uint64) * 2 + types + 1, np.zeros(8, np.uint64)))
     sevens = np.zeros(n + 1, np.uint64)
     for j in range(7):
         sevens = sevens << np.uint64(9) | coded[j : j + n + 1]

@@ -261,7 +261,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", de
                 logs, common, counts = token_logs(tokens, first, head, levels, total)
                 text = np.repeat(np.arange(n), np.diff(first))
                 known = np.bincount(text[common], minlength=n)
-                base = np.bincount(text[common], np.log10(counts[common] + 0.5), n)
+                base = np.bincount(text[common], np.log10(counts[common] + 0.5), n).astype(float)  # of nothing it gives integers
                 row = number + np.arange(n)
                 number += n
                 # A text's own row has a key of its own, so that these rows spread.

@@ -149,7 +149,7 @@ def repeated_windows(pieces: list[bytes], width: int, files: induced.Files, held
         if not len(keep):
             low = min(low, rest)
             continue
-        share = np.minimum.reduceat(prefix, np.append(0, keep[:-1] + 1))
+        share = np.minimum.reduceat(prefix[: keep[-1] + 1], np.append(0, keep[:-1] + 1))
         share[0] = min(share[0], low) if last >= 0 else 0
         own = position[keep]
         same = np.flatnonzero(share >= width)

@@ -11,7 +11,8 @@ the text alone, whole.
 
 Nulls: a null or empty text is scored by the bias alone; null labels are not
 used; a null id counts as held out.  Repeated rows are scored each; of repeated
-labels the largest counts.  Without labels every score is 0.5 at most.
+labels the largest counts, of training texts that share an id the one whose
+features come first.  Without labels every score is 0.5 at most.
 """
 
 from __future__ import annotations
@@ -95,7 +96,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], ["at", "weight"])
 
-    rows = texts.mapInArrow(featurise, "id long, label int, at array<int>").repartition(1).mapInArrow(learn, "at long, weight double").toPandas()
+    # One row an id, however many copies there are: what meets in one task is bounded by max_train.
+    made = texts.mapInArrow(featurise, "id long, label int, at array<int>").groupBy("id", "label").agg(F.min("at").alias("at"))
+    rows = made.repartition(1).mapInArrow(learn, "at long, weight double").toPandas()
     at, weight = rows["at"].to_numpy(np.int64), rows["weight"].to_numpy(float)
     bias = float(weight[at == size].sum())
     return at[at < size], weight[at < size], bias
