@@ -1,7 +1,8 @@
 """SAM text as a Spark data source: ``spark.dataSource.register(SamDataSource)``, then ``spark.read.format("sam")``.
 
-Byte ranges of the files are the partitions; a task owns the lines that start
-in its range and ``line_no`` is a line's byte offset, so order and identity
+Byte ranges of the files are the partitions, of block-gzipped files too; a task
+owns the lines that start in its range and ``line_no`` is a line's byte offset
+(of its block and in it, if blocked), so order and identity
 don't depend on the number of partitions.  Option ``split_bytes`` sets the
 range, ``min_mapq`` drops records of lower quality whose mate lies on the same
 reference, if the header names it.  Header lines are skipped; empty files give no rows.
@@ -9,6 +10,7 @@ reference, if the header names it.  Header lines are skipped; empty files give n
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..schema import RAW
+from . import blocks
 
 MANDATORY = 11
 KINDS = [pa.int64(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
@@ -32,7 +35,11 @@ def header(path: str) -> list[str]:
     """The lines before the first record."""
     where, at = located(path)
     out, rest = [], b""
-    with where.open_input_stream(at, compression=None) as file:
+    with where.open_input_file(at) as file:
+        if blocks.is_blocked(file):
+            found = itertools.takewhile(lambda x: x.startswith(b"@"), (line for _, line in blocks.lines(file, 0, file.size())))
+            return [x.decode().rstrip("\r") for x in found]
+        file.seek(0)
         while chunk := file.read(1 << 16):
             *lines, rest = (rest + chunk).split(b"\n")
             for line in lines:
@@ -100,9 +107,19 @@ class SamReader(DataSourceReader):
         where, at = located(partition.path)
         known = set(references(header(partition.path))) if self.min_mapq > 0 else set()
         with where.open_input_file(at) as file:
-            for rows in self._batches(file, partition.start, partition.end, known):
+            made = self._blocked(file, partition, known) if blocks.is_blocked(file) else self._batches(file, partition.start, partition.end, known)
+            for rows in made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
 
+    def _wanted(self, row: tuple, known: set[str]) -> bool:
+        return not (row[6] < self.min_mapq and row[4] in known and row[8] in ("=", row[4]))
+
+    def _blocked(self, file, partition: Range, known: set[str]) -> Iterator[list[tuple]]:
+        rows = (parsed(at, line.rstrip(b"\r").decode(errors="replace")) for at, line in blocks.lines(file, partition.start, partition.end) if line.strip() and not line.startswith(b"@"))
+        rows = (r for r in rows if self._wanted(r, known))
+        while some := list(itertools.islice(rows, 5000)):
+            yield some
+
     def _batches(self, file, start: int, end: int, known: set[str]) -> Iterator[list[tuple]]:
         # A range that does not begin with a line leaves the broken one to the range before.
         at = max(start - 1, 0)
@@ -117,7 +134,7 @@ class SamReader(DataSourceReader):
                     skipping = False
                 elif at < end and line.strip() and not line.startswith(b"@"):
                     row = parsed(at, line.rstrip(b"\r").decode(errors="replace"))
-                    if not (row[6] < self.min_mapq and row[4] in known and row[8] in ("=", row[4])):
+                    if self._wanted(row, known):
                         rows.append(row)
                 at += len(line) + 1
             if len(rows) >= 5000:

@@ -126,7 +126,7 @@ def db():
     return connection
 
 
-@pytest.mark.parametrize("name", ["marked_reads", "dup_metrics", "read_ends", "sorted_index", "optical_first_pass", "name_sort_key", "bucket_route"])
+@pytest.mark.parametrize("name", ["marked_reads", "dup_metrics", "read_ends", "sorted_index", "dest_offsets", "optical_first_pass", "optical_dups", "compare_outputs", "external_mates", "reads_max_total", "dup_keys", "cigar_reflen", "name_sort_key", "bucket_route"])
 def test_sql(spark, db, name):
     got = queries.QUERIES[name](spark, SF).toPandas()
     want = db.execute(queries.ORACLE_SQL[name]).df()[list(got.columns)]
@@ -146,3 +146,64 @@ def test_partitions_do_not_matter(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1] == results[2]
+
+
+def test_record_without_cigar_keeps_its_bucket_but_no_reference(spark, tmp_path):
+    path = tmp_path / "in.sam"
+    path.write_text("\n".join([*HEAD, record("a", 99, 100, cigar="*", pnext=150), record("a", 147, 150, pnext=100)]) + "\n")
+    rows = {r.flag: r for r in plan.marked_sam(spark, str(path)).collect()}
+    assert (rows[99].bucket, rows[99].ref_idx, rows[99].u) == ("chr1", -1, 0) and (rows[147].bucket, rows[147].ref_idx) == ("chr1", 1)
+
+
+def test_low_quality_on_an_unknown_reference_stays(spark, tmp_path):
+    path = tmp_path / "in.sam"
+    path.write_text("\n".join([*HEAD, record("a", 99, 100, rname="chrX", mapq=1), record("b", 99, 100, mapq=1)]) + "\n")
+    assert [(r.qname, r.bucket) for r in plan.marked_sam(spark, str(path), min_mapq=30).collect()] == [("a", "unmapped")]
+
+
+def test_scores_of_nulls_and_slices(spark):
+    rows = [(None,), ("",), ("I" * 3,), ("!" * 9 + "0",), ("~" * 400,)]
+    assert [r[0] for r in spark.createDataFrame(rows, "q string").coalesce(1).select(R.quality_score(F.col("q"))).collect()] == [None, 0, 120, 15, 16383]
+
+
+def test_second_optical_pass_over_many_clusters(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [("chr1", 0, 0, c, 2, 9, 0, rng.randrange(50), p, 100 * c + p, f"n:{rng.randrange(30)}:{rng.randrange(30)}" if rng.random() < 0.9 else "odd") for c in range(40) for p in range(rng.randint(1, 7))]
+    columns = ["bucket", "lb", "rep_ref", "rep_u", "orient", "mate_u", "mate_ref", "pair_score", "rep_pos", "rep_line", "qname"]
+    got = {r.rep_line for r in marking.optical_duplicates(spark.createDataFrame(rows, columns).repartition(5), 6).collect()}
+    want = set()
+    for c in range(40):
+        own = [r for r in rows if r[3] == c]
+        best = min(own, key=lambda r: (-r[7], r[8], r[9]))
+        spots = [(tuple(map(int, r[10].split(":")[1:])), r is best, r[9]) for r in own if r[10] != "odd"]
+        close = lambda a, b: all(abs(x - y) <= 6 for x, y in zip(a[0], b[0], strict=True))
+        near = {s[2] for s in spots for w in spots if len(own) > 1 and w[1] and not s[1] and close(s, w)}
+        for i, a in enumerate(spots):
+            for b in spots[i + 1 :]:
+                if not a[1] and not b[1] and close(a, b):
+                    near.add(b[2] if a[2] in near else a[2])
+        want |= near
+    assert got == want
+
+
+@pytest.mark.parametrize("split", [100, 700, 1 << 20])
+def test_blocked_output_is_read_in_ranges(spark, tmp_path, monkeypatch, split):
+    lines = [record(f"r{i}", 0, i, qual="I" * (i % 90)) for i in range(400)]
+    text = ("\n".join([*HEAD, *lines]) + "\n").encode()
+    path = tmp_path / "in.sam.gz"
+    monkeypatch.setattr(bgzf, "BLOCK", 997)
+    path.write_bytes(b"".join(bgzf.blocks(iter([text]))) + bgzf.END)
+    assert sam.header(str(path)) == HEAD
+    got = sam.read_sam(spark, str(path), split_bytes=split).orderBy("line_no").collect()
+    assert [r.line for r in got] == lines and len({r.line_no for r in got}) == 400
+
+
+def test_command_line(spark, tmp_path, capsys):
+    path = tmp_path / "in.sam"
+    path.write_text("\n".join([*HEAD, *pair("a", 100, 200), *pair("b", 100, 200, qual="5" * 10)]) + "\n")
+    plan.main(["-q", "0", "-d", "5", str(path), str(tmp_path / "out")])
+    assert "chr1" in capsys.readouterr().out
+    with gzip.open(tmp_path / "out" / "chr1.gz", "rt") as file:
+        assert [x.split("\t")[1] for x in file if not x.startswith("@")] == ["99", "1123", "147", "1171"]
