@@ -5,9 +5,11 @@ unigram distribution of the training words, discounted; what the discount
 takes is the probability of the one symbol for words not seen in training, as
 in the base score.  Contexts are up to ``depth`` preceding words of the text.
 A context, and a next word under it, takes part if it makes up ``least`` of all
-training tokens at least, the minimal probability of such trees, so there are
-1 / ``least`` of either at most for each length; sequences whose parts are
-rarer are never counted.  A context becomes a state if its next-symbol
+training tokens at least, the minimal probability of such trees.  That share
+falls with the cube root of the tokens, N: the tree grows with the corpus, to
+LEAST ** -1 * N ** (1 / 3) sequences of either kind for each length at most,
+while the counts that a state needs grow too, so that what it says gets surer.
+Sequences whose parts are rarer are never counted.  A context becomes a state if its next-symbol
 distribution, over its frequent next words and one class of all others, differs
 from that of its longest shorter state by more than ``penalty`` nats of
 likelihood gain for each of them; no state that passes is left out.  A state's
@@ -17,8 +19,11 @@ before it, and the probabilities of all symbols sum to one in every state.
 
 Counts come from all training texts, those whose crc32(id as text) mod 5 is
 not 1, and every word's count is exact: words of less than ``least`` are joined
-by shuffle, to base and root alike.  What is broadcast is bounded as above: 24
-bytes for each frequent sequence.
+by shuffle, to base and root alike.  Frequent sequences are tables in the
+shared folder.  About MOST_SENT of them, 24 bytes each, reach the driver and are broadcast
+at once, and the frequent words: of more, the tree is counted, built and used in as many rounds over
+the texts, each with the contexts that end in some of the words.  A state's
+shorter ones end in the same word, so each word is scored in one round.
 
 Nulls: a null or empty text is the end symbol alone; a null id counts as a
 training row.  Repeated rows train and are scored each.  Without training rows
@@ -32,7 +37,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,8 +46,12 @@ from . import textvec as tv
 U64 = np.uint64
 #: The word key of the end token: no word hash takes part in it.
 END_KEY = -1
-#: The least share of all training tokens of a context or a next word under it.
-LEAST = 1e-6
+#: The least share of all training tokens of a context or a next word under it, times the cube root of their number.
+LEAST = 1e-4
+#: Frequent sequences that one round takes, about.
+MOST_SENT = 8_000_000
+#: The bits of a sequence's key that are those of its last token.
+LAST = U64(0xFF)
 #: What the root takes from each word's count for words not seen.
 ROOT_DISCOUNT = 0.5
 
@@ -65,9 +73,9 @@ def streams(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, first + np.arange(n + 1)
 
 
-def longer(keys: np.ndarray) -> np.ndarray:
-    """Keys of sequences one token longer, from those of each sequence and the one that starts a token later."""
-    return tv.mix(keys[:-1] * U64(0x9E3779B97F4A7C15) + keys[1:])
+def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Keys of sequences, from those of the sequences without their last and without their first token."""
+    return tv.mix(context * U64(0x9E3779B97F4A7C15) + suffix) & ~LAST | suffix & LAST
 
 
 def sequences(keys: np.ndarray, first: np.ndarray, length: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -75,7 +83,7 @@ def sequences(keys: np.ndarray, first: np.ndarray, length: int) -> Iterator[tupl
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
     for n in range(1, length + 1):
         yield keys, text[: len(keys)] == text[n - 1 :]
-        keys = longer(keys)
+        keys = joined(keys[:-1], keys[1:])
 
 
 def found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,18 +142,19 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def sequence_counts(docs: DataFrame, frequent, length: int) -> DataFrame:
-    """(context, suffix, n): counts of ``length`` + 1 tokens, as the sequences without the last and without the first, where both are frequent (a broadcast sorted table)."""
+    """(context, suffix, n): counts of ``length`` + 1 tokens, as the sequences without the last and without the first, where both stand in their broadcast sorted table."""
     names = ["context", "suffix", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, held = frequent.value, Combiner()
+        (contexts, suffixes), held = frequent.value, Combiner()
         for batch in batches:
             for low, high in tv.slices(batch[0], 2 << 20):
                 tokens, first = streams(batch[0].slice(low, high - low))
                 own = list(sequences(tokens, first, length + 1))
                 keys, (whole, inside) = own[-2][0], own[-1]
-                known = found(table, keys)[1]
-                at = np.flatnonzero(inside & known[:-1] & known[1:])
+                known = found(contexts, keys)[1]
+                then = known if suffixes is contexts else found(suffixes, keys)[1]
+                at = np.flatnonzero(inside & known[:-1] & then[1:])
                 key, index, n = np.unique(whole[at], return_index=True, return_counts=True)
                 for done in held.add(key, keys[at[index]], keys[at[index] + 1], n):
                     yield from _blocks(done[1:], names)
@@ -171,7 +180,7 @@ def tree_level(context: np.ndarray, suffix: np.ndarray, n: np.ndarray, totals: t
     """
     order = np.argsort(context, kind="stable")
     context, suffix, n = context[order], suffix[order], n[order].astype(float)
-    keys = tv.mix(context * U64(0x9E3779B97F4A7C15) + suffix)
+    keys = joined(context, suffix)
     q = below[1][found(below[0], suffix)[0]]
     new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]]) if len(context) else np.zeros(0, np.int64)
     own = np.cumsum(np.bincount(new, minlength=len(context))) - 1 if len(context) else new
@@ -189,32 +198,73 @@ def tree_level(context: np.ndarray, suffix: np.ndarray, n: np.ndarray, totals: t
     return Level(states[state], np.log10(left[state]), keys[inner], np.log10(p[inner])), keys[by], p[by]
 
 
-def learn(docs: DataFrame, words: DataFrame, total: int, *, depth: int, least: float, penalty: float, discount: float) -> tuple[tuple[np.ndarray, np.ndarray], list[Level]]:
-    """The frequent words (sorted keys, counts), and the tree's levels, from the training rows (text) and their word counts."""
-    spark = shared.session(docs)
-    limit = frequent_count(total, least)
+def collected(rows: DataFrame) -> list[np.ndarray]:
+    """The columns of frequent rows: keys and counts."""
+    table = rows.toArrow()
+    return [table[c].to_numpy().view(U64) if c != "n" else table[c].to_numpy() for c in rows.columns]
 
-    def collected(rows: DataFrame) -> list[np.ndarray]:
-        """Frequent rows alone: 1 / least at most."""
-        table = rows.where(F.col("n") >= limit).toArrow()
-        return [table[c].to_numpy().view(U64) if c != "n" else table[c].to_numpy() for c in rows.columns]
 
-    keys, n = collected(words)
+def by_key(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
-    head = keys, counts = keys[order], n[order]
-    below, levels = (keys, (counts - ROOT_DISCOUNT) / (total + 1)), []
+    return keys[order], n[order]
+
+
+def rounds_of(sequences: int) -> int:
+    return min(int(LAST) + 1, max(1, -(-sequences // MOST_SENT)))
+
+
+def in_round(table: DataFrame, column: str, rounds: int, number: int) -> DataFrame:
+    """The sequences of a round, told by the last token of one of their parts."""
+    return table if rounds == 1 else table.where(F.col(column).bitwiseAND(int(LAST)) % rounds == number)
+
+
+def ending(table: DataFrame, rounds: int, number: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, counts) of the sequences of a table whose last token belongs to a round."""
+    if "key" in table.columns:
+        return by_key(*collected(in_round(table, "key", rounds, number)))
+    context, suffix, n = collected(in_round(table, "suffix", rounds, number))
+    return by_key(joined(context, suffix), n)
+
+
+def frequent_sequences(docs: DataFrame, words: DataFrame, total: int, *, depth: int, least: float) -> tuple[list[DataFrame], list[int]]:
+    """Tables of the frequent words (key, n) and of longer sequences (context, suffix, n), in the shared folder, and their sizes."""
+    spark, limit = shared.session(docs), frequent_count(total, least)
+    tables = [shared.written(words.where(F.col("n") >= limit), "sequences")]
+    sizes = [tables[0].count()]
     for length in range(1, depth + 1):
-        sent = spark.sparkContext.broadcast(keys)
-        context, suffix, n = collected(sequence_counts(docs, sent, length))
-        level, more, p = tree_level(context, suffix, n, (keys, counts), below, penalty, discount)
-        levels.append(level)
-        sent.unpersist()
-        shared.released(spark)
-        whole = tv.mix(context * U64(0x9E3779B97F4A7C15) + suffix)
-        order = np.argsort(whole)
-        keys, counts, below = whole[order], n[order], (more, p)
-        if not len(keys):
+        rounds, parts = rounds_of(sizes[-1]), []
+        for number in range(rounds):
+            contexts = suffixes = ending(tables[-1], rounds, number)[0]
+            if rounds > 1 and length == 1:
+                suffixes = ending(tables[0], 1, 0)[0]
+            elif rounds > 1:
+                context, suffix, _ = collected(in_round(tables[-1], "context", rounds, number))
+                suffixes = np.sort(joined(context, suffix))
+            sent = spark.sparkContext.broadcast((contexts, suffixes))
+            parts.append(shared.written(sequence_counts(docs, sent, length).where(F.col("n") >= limit), "sequences"))
+            sent.unpersist()
+            shared.released(spark)
+        table = parts[0]
+        for part in parts[1:]:
+            table = table.unionByName(part)
+        tables.append(table)
+        sizes.append(table.count())
+        if not sizes[-1]:
             break
+    return tables, sizes
+
+
+def learn(tables: list[DataFrame], total: int, rounds: int = 1, number: int = 0, *, penalty: float, discount: float) -> tuple[tuple[np.ndarray, np.ndarray], list[Level]]:
+    """The frequent words (sorted keys, counts), and the levels of a round's part of the tree."""
+    head = counts = ending(tables[0], 1, 0)
+    below, levels = (head[0], (head[1] - ROOT_DISCOUNT) / (total + 1)), []
+    for length, table in enumerate(tables[1:], 1):
+        if length > 1 and rounds > 1:
+            counts = ending(tables[length - 1], rounds, number)
+        context, suffix, n = collected(in_round(table, "context", rounds, number))
+        level, more, p = tree_level(context, suffix, n, counts, below, penalty, discount)
+        levels.append(level)
+        counts, below = by_key(joined(context, suffix), n), (more, p)
     return head, levels
 
 
@@ -238,7 +288,7 @@ def token_logs(tokens: np.ndarray, first: np.ndarray, head: tuple[np.ndarray, np
     return logs, common, counts
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: float = LEAST, penalty: float = 2.0, discount: float = 0.8) -> DataFrame:
+def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, least: float | None = None, penalty: float = 2.0, discount: float = 0.8) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every text, learnt from the training rows."""
     spark = shared.session(docs)
     key = F.col(f"`{id_col}`").cast("long")
@@ -247,36 +297,55 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", de
     words = shared.written(word_counts(training), "words")
     total, distinct = (int(x) for x in words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first())
     shared.released(spark)
-    model = spark.sparkContext.broadcast(learn(training, words, total, depth=depth, least=least, penalty=penalty, discount=discount))
+    least = LEAST / max(total, 1) ** (1 / 3) if least is None else least
+    tables, sizes = frequent_sequences(training, words, total, depth=depth, least=least)
+    rounds = rounds_of(sum(sizes))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text")
+    if rounds > 1:
+        rows = shared.written(rows, "numbered")
     names = ["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "word", "times"]
     schema = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, word long, times long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, levels = model.value
-        number = TaskContext.get().partitionId() << 33
-        for batch in batches:
-            for low, high in tv.slices(batch["text"], 2 << 20):
-                n = high - low
-                tokens, first = streams(batch["text"].slice(low, n))
-                logs, common, counts = token_logs(tokens, first, head, levels, total)
-                text = np.repeat(np.arange(n), np.diff(first))
-                known = np.bincount(text[common], minlength=n)
-                base = np.bincount(text[common], np.log10(counts[common] + 0.5), n).astype(float)  # of nothing it gives integers
-                row = number + np.arange(n)
-                number += n
-                # A text's own row has a key of its own, so that these rows spread.
-                spread = tv.mix(row.astype(U64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(row), batch["doc_id"].slice(low, n), batch["held_out"].slice(low, n), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(np.bincount(text, logs, n)), pa.array(spread), pa.nulls(n, pa.int64())], names)
-                # The rare words go to the shuffle, once a text.
-                rare = np.flatnonzero(~common)
-                order = rare[np.lexsort((tokens[rare], text[rare]))]
-                if len(order):
-                    new = np.flatnonzero(np.r_[True, (tokens[order][1:] != tokens[order][:-1]) | (text[order][1:] != text[order][:-1])])
-                    times, one = np.diff(np.append(new, len(order))), order[new]
-                    none = [pa.nulls(len(one), k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
-                    yield pa.RecordBatch.from_arrays([pa.array(row[text[one]]), *none, pa.array(tokens[one].view(np.int64)), pa.array(times)], names)
-
-    flat = rows.select("doc_id", "held_out", "text").mapInArrow(run, schema)
+    def scored(number: int, model) -> DataFrame:
+        """What a round adds to each text; the first also what does not depend on contexts."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            head, levels = model.value
+            for batch in batches:
+                for low, high in tv.slices(batch["text"], 2 << 20):
+                    n = high - low
+                    tokens, first = streams(batch["text"].slice(low, n))
+                    logs, common, counts = token_logs(tokens, first, head, levels, total)
+                    if rounds > 1:
+                        own = np.append(U64(0), tokens[:-1] & LAST) % U64(rounds) == number
+                        own[first[:-1]] = number == 0
+                        logs[~own] = 0
+                    text = np.repeat(np.arange(n), np.diff(first))
+                    known = np.bincount(text[common], minlength=n) * (number == 0)
+                    base = np.bincount(text[common], np.log10(counts[common] + 0.5), n).astype(float) * (number == 0)  # of nothing it gives integers
+                    row = batch["row"].slice(low, n).to_numpy()
+                    # A text's own row has a key of its own, so that these rows spread.
+                    spread = tv.mix(row.astype(U64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(row), batch["doc_id"].slice(low, n), batch["held_out"].slice(low, n), pa.array(np.diff(first)), pa.array(known), pa.array(base), pa.array(np.bincount(text, logs, n)), pa.array(spread), pa.nulls(n, pa.int64())], names)
+                    # The rare words go to the shuffle, once a text.
+                    rare = np.flatnonzero(~common) if number == 0 else np.zeros(0, np.int64)
+                    order = rare[np.lexsort((tokens[rare], text[rare]))]
+                    if len(order):
+                        new = np.flatnonzero(np.r_[True, (tokens[order][1:] != tokens[order][:-1]) | (text[order][1:] != text[order][:-1])])
+                        times, one = np.diff(np.append(new, len(order))), order[new]
+                        none = [pa.nulls(len(one), k) for k in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                        yield pa.RecordBatch.from_arrays([pa.array(row[text[one]]), *none, pa.array(tokens[one].view(np.int64)), pa.array(times)], names)
+
+        return rows.mapInArrow(run, schema)
+
+    flat = None
+    for number in range(rounds):
+        model = spark.sparkContext.broadcast(learn(tables, total, rounds, number, penalty=penalty, discount=discount))
+        part = scored(number, model)
+        if rounds > 1:
+            part = shared.written(part, "scored")
+            model.unpersist()
+        flat = part if flat is None else flat.unionByName(part)
     rare = words.where(F.col("n") < frequent_count(total, least)).select(F.col("key").alias("word"), F.col("n").alias("c"))
     c, unseen = F.col("c"), ROOT_DISCOUNT * distinct + 1
     part = flat.join(rare, "word", "left").select(

@@ -213,7 +213,9 @@ def model_logs(training, texts, depth, least, penalty, discount):
     return [sum(math.log10(p(tuple(t[max(0, i - depth) : i]), w)) for i, w in enumerate(t)) for t in texts], total, words, len(states)
 
 
-def test_suffix_tree_by_brute_force(spark):
+@pytest.mark.parametrize("most", [8_000_000, 90])
+def test_suffix_tree_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(pst, "MOST_SENT", most)
     rng = random.Random(8)
     follow = {w: [rng.choice("abcdefgh") for _ in range(2)] for w in "abcdefgh"}
     rows = []
@@ -237,6 +239,12 @@ def test_suffix_tree_by_brute_force(spark):
         assert r.base_score == pytest.approx(sum(math.log10(words.get(w, 0) + 0.5) - floor for w in t)) and r.score == pytest.approx(log)
 
 
+def test_suffix_tree_grows_with_the_corpus():
+    limits = [pst.frequent_count(n, pst.LEAST / n ** (1 / 3)) for n in (10**4, 10**8, 10**10, 10**13)]
+    assert limits == [2, 22, 465, 46416]
+    assert all(a / x < b / y for (a, x), (b, y) in zip(zip((10**4, 10**8, 10**10), limits), zip((10**8, 10**10, 10**13), limits[1:]), strict=False))
+
+
 def test_suffix_tree_without_training_rows(spark):
     only = next(i for i in range(99) if crc32(str(i).encode()) % 5 == 1)
     got = pst.op2_suffix_tree(spark, spark.createDataFrame([(only, "a b")], TEXTS)).first()
