@@ -94,6 +94,30 @@ def found(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
+class Finder:
+    """``found`` in one table for many keys: the leading bits, spread as keys are hashes, give the place to look at, and few steps are left."""
+
+    def __init__(self, table: np.ndarray):
+        self.table = table
+        bits = max(1, len(table).bit_length() + 1)
+        self.shift = U64(64 - bits)
+        self.first = np.searchsorted(table, np.arange(1 << bits, dtype=U64) << self.shift).astype(np.int32)
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.table):
+            return found(self.table, keys)
+        last = len(self.table) - 1
+        at = np.minimum(self.first[keys >> self.shift], last)
+        there = self.table[at]
+        below = np.flatnonzero(there < keys)
+        while len(below):
+            below = below[at[below] < last]
+            at[below] += 1
+            there[below] = self.table[at[below]]
+            below = below[there[below] < keys[below]]
+        return at, there == keys
+
+
 class Combiner:
     """Sums of counts by key (and what goes with the key), in bounded memory: flushed when more than ``most`` keys are held."""
 
@@ -146,14 +170,15 @@ def sequence_counts(docs: DataFrame, frequent, length: int) -> DataFrame:
     names = ["context", "suffix", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (contexts, suffixes), held = frequent.value, Combiner()
+        contexts, suffixes = frequent.value
+        before, after, held = Finder(contexts), None if suffixes is contexts else Finder(suffixes), Combiner()
         for batch in batches:
             for low, high in tv.slices(batch[0], 2 << 20):
                 tokens, first = streams(batch[0].slice(low, high - low))
                 own = list(sequences(tokens, first, length + 1))
                 keys, (whole, inside) = own[-2][0], own[-1]
-                known = found(contexts, keys)[1]
-                then = known if suffixes is contexts else found(suffixes, keys)[1]
+                known = before(keys)[1]
+                then = known if after is None else after(keys)[1]
                 at = np.flatnonzero(inside & known[:-1] & then[1:])
                 key, index, n = np.unique(whole[at], return_index=True, return_counts=True)
                 for done in held.add(key, keys[at[index]], keys[at[index] + 1], n):
@@ -272,18 +297,32 @@ def frequent_count(total: int, least: float) -> int:
     return max(2, int(np.ceil(total * least)))
 
 
-def token_logs(tokens: np.ndarray, first: np.ndarray, head: tuple[np.ndarray, np.ndarray], levels: list[Level], total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+@dataclass
+class Model:
+    """A tree, or a round's part of it, as workers use it: the frequent words and the levels, with what finds keys in them."""
+
+    counts: np.ndarray
+    levels: list[Level]
+    words: Finder
+    finders: list[tuple[Finder, Finder]]
+
+    @classmethod
+    def of(cls, head: tuple[np.ndarray, np.ndarray], levels: list[Level]) -> Model:
+        return cls(head[1], levels, Finder(head[0]), [(Finder(x.states), Finder(x.entries)) for x in levels])
+
+
+def token_logs(tokens: np.ndarray, first: np.ndarray, model: Model, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each token log10 of its probability, without that of the root for rare words; whether it is a frequent word; and its count then."""
-    at, common = found(head[0], tokens)
-    counts = np.where(common, head[1][at] if len(head[1]) else 0, 0)
+    at, common = model.words(tokens)
+    counts = np.where(common, model.counts[at] if len(model.counts) else 0, 0)
     logs = np.where(common, np.log10(np.maximum(counts - ROOT_DISCOUNT, 1e-300)) - np.log10(total + 1), 0.0)
-    own = list(sequences(tokens, first, len(levels) + 1))
-    for length, level in enumerate(levels, 1):
+    own = list(sequences(tokens, first, len(model.levels) + 1))
+    for length, (level, (states, entries)) in enumerate(zip(model.levels, model.finders, strict=True), 1):
         whole, inside = own[length]
         at = np.flatnonzero(inside)
-        where, state = found(level.states, own[length - 1][0][at])
+        where, state = states(own[length - 1][0][at])
         at, where = at[state], where[state]
-        entry, known = found(level.entries, whole[at])
+        entry, known = entries(whole[at])
         logs[at + length] = np.where(known, level.logs[entry] if len(level.logs) else 0.0, logs[at + length] + level.left[where] if len(where) else 0.0)
     return logs, common, counts
 
@@ -310,12 +349,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", de
         """What a round adds to each text; the first also what does not depend on contexts."""
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            head, levels = model.value
+            tree = Model.of(*model.value)
             for batch in batches:
                 for low, high in tv.slices(batch["text"], 2 << 20):
                     n = high - low
                     tokens, first = streams(batch["text"].slice(low, n))
-                    logs, common, counts = token_logs(tokens, first, head, levels, total)
+                    logs, common, counts = token_logs(tokens, first, tree, total)
                     if rounds > 1:
                         own = np.append(U64(0), tokens[:-1] & LAST) % U64(rounds) == number
                         own[first[:-1]] = number == 0
