@@ -13,7 +13,10 @@ candidates of one another, and depth adapts to the region:
    each component, as long as these find links.  A large group becomes a few
    components at the price of some candidates a class;
 3. what then lies outside a region's largest component is compared with the
-   whole region, in squares of CROWD by CROWD classes.
+   whole region, in squares of CROWD by CROWD classes.  Where regions are
+   crowded, samples of the squares come first, each some times the one before,
+   and what they link is one component in the next.  Links found between
+   components then grow with the classes, not with the squares.
 
 So every pair that shares ``least`` values of an order ends in one component or
 is compared, whatever the number of partitions.  Comparison is by all MinHash
@@ -218,11 +221,19 @@ def _shrunk(members: DataFrame, signed: DataFrame, texts: DataFrame, depth: int,
 
 #: Which side of a square a row stands on.
 LEFT, RIGHT, BOTH = 0, 1, 2
+#: A sample of the squares has so many times the squares of the one before.
+STEP = 8
 
 
-def _dealt(members: DataFrame, component: DataFrame) -> DataFrame:
-    """(region, i, j, kind, tree, node, component): the squares in which all rows outside a region's main component meet all of the region."""
-    own, regions = _mixed(members, component)
+def _dealt(members: DataFrame, component: DataFrame, trees: int, sample: int | None = None) -> DataFrame:
+    """(region, i, j, kind, tree, node, component): the squares in which all rows outside a region's main component meet all of the region.
+
+    Diagonals of crowded regions' squares have ranks, in each tree the first one, then the second ones and so on; a
+    sample has the ranks below ``sample`` only.  All rows outside the main component are in each diagonal.
+    """
+    own, regions = _mixed(members if sample is None else members.where(F.col("tree") < sample), component)
+    if sample is not None:
+        regions = regions.where(F.col("n") > CROWD)
     parts = lambda c: F.ceil(F.col(c) / CROWD).cast("int")
     rows = own.join(regions.select("region", "main", parts("rest").alias("down"), parts("n").alias("across")), "region")
     part = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
@@ -232,7 +243,9 @@ def _dealt(members: DataFrame, component: DataFrame) -> DataFrame:
     left, right = square(LEFT, F.array(part("down")), all_of("across")), square(RIGHT, all_of("down"), F.array(part("across")))
     one = F.when(outside, F.array(square(BOTH, F.array(F.lit(0)), F.array(F.lit(0))))).otherwise(F.array(square(RIGHT, F.array(F.lit(0)), F.array(F.lit(0)))))
     sides = F.when(F.col("across") == 1, one).otherwise(F.when(outside, F.array(left, right)).otherwise(F.array(right)))
-    rows = rows.select("region", "tree", "node", "component", F.explode(sides).alias("s")).select("region", "tree", "node", "component", "s.kind", F.explode("s.is").alias("i"), "s.js")
+    rows = rows.select("region", "tree", "node", "component", "across", F.explode(sides).alias("s")).select("region", "tree", "node", "component", "across", "s.kind", F.explode("s.is").alias("i"), "s.js")
+    if sample is not None:
+        rows = rows.withColumn("js", F.filter("js", lambda j: F.col("tree") + trees * F.pmod(j - F.col("i"), F.col("across")) < sample))
     return rows.select("region", "i", F.explode("js").alias("j"), "kind", "tree", "node", "component")
 
 
@@ -296,7 +309,8 @@ def _square_links(dealt: DataFrame, percent: int) -> DataFrame:
 
                 def top(c: int, root: dict[int, int] = root) -> int:
                     while root[c] != c:
-                        c = root[c] = root[root[c]]
+                        root[c] = root[root[c]]
+                        c = root[c]
                     return c
 
                 mark = np.zeros(len(ids), bool)
@@ -316,6 +330,17 @@ def _square_links(dealt: DataFrame, percent: int) -> DataFrame:
     return dealt.repartition("region", "i", "j").sortWithinPartitions("region", "i", "j").mapInArrow(run, "a long, b long")
 
 
+def _compared(dealt: DataFrame, signed: DataFrame, texts: DataFrame, component: DataFrame, trees: int, least: int, percent: int) -> DataFrame:
+    """component (node, component), written, after the links that full sets have in the squares."""
+    likely = shared.written(_likely(dealt.join(signed, "node"), trees, least, percent / 100 - SLACK), "likely")
+    shared.released(shared.session(texts))
+    own = _texts_of(texts, likely.select(F.col("node").alias("doc")))
+    joined = _joined(component, _square_links(likely.join(own.withColumnRenamed("doc", "node"), "node"), percent))
+    for table in (own, likely, component):
+        shared.dropped(table)
+    return joined
+
+
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, trees: int = 20, depth: int = 6, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """(doc, n_shingles) of every row and (doc, component) of every document with a set; no text is shuffled but of candidates.
 
@@ -340,11 +365,13 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", p
     # Rows that share an id but not their set: one node of several classes, linked already.
     shrunk = _shrunk(members, signed, texts, depth, percent)
     component = shared.written(_alone(classes.select("node")).join(shrunk.withColumnRenamed("component", "into"), "node", "left").select("node", F.coalesce("into", "component").alias("component")), "components")
-    likely = shared.written(_likely(_dealt(members, component).join(signed, "node"), trees, least, percent / 100 - SLACK), "likely")
-    shared.released(spark)
-    own = _texts_of(texts, likely.select(F.col("node").alias("doc")))
-    component = _joined(component, _square_links(likely.join(own.withColumnRenamed("doc", "node"), "node"), percent))
-    for table in (own, likely, members, signed):
+    widest = -(-(_mixed(members, component)[1].agg(F.max("n")).first()[0] or 0) // CROWD)
+    sample = 1
+    while widest > 1 and 2 * sample <= widest * trees:
+        component = _compared(_dealt(members, component, trees, sample), signed, texts, component, trees, least, percent)
+        sample *= STEP
+    component = _compared(_dealt(members, component, trees), signed, texts, component, trees, least, percent)
+    for table in (members, signed):
         shared.dropped(table)
     shared.released(spark)
     grouped = classes.select("a", "b", "node").join(component, "node").select(F.col("a").alias("ca"), F.col("b").alias("cb"), "component")

@@ -65,6 +65,42 @@ def test_groups_do_not_depend_on_partitions_or_crowds(spark, monkeypatch, partit
         spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
+def test_a_square_has_fewer_links_than_components(spark):
+    base = [f"b{i}" for i in range(200)]
+    nodes = list(range(60))
+    random.Random(3).shuffle(nodes)
+    rows = [(0, 0, 0, lsh_forest.BOTH, n, n, " ".join(base[:i] + [f"z{n}"] + base[i + 1 :])) for i, n in enumerate(nodes)]  # 191 of 201 and more
+    dealt = spark.createDataFrame(rows, "region long, i int, j int, kind int, node long, component long, __text string")
+    links = [(r.a, r.b) for r in lsh_forest._square_links(dealt, 85).collect()]
+    assert len(links) == 59
+    assert {r.component for r in shared.components(spark.createDataFrame(links, "a long, b long")).collect()} == {0}
+
+
+def test_links_of_a_crowd_grow_with_its_classes(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(200)]
+    texts = [" ".join(w if rng.random() > p else f"z{rng.randrange(9**9)}" for w in base) for p in [0.006] * 150 + [0.02] * 50]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(196)} for t in texts]
+    group = list(range(len(texts)))
+    links = [(a, b) for a, b in combinations(range(len(texts)), 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    for _ in texts:
+        for a, b in links:
+            group[a] = group[b] = min(group[a], group[b])
+    made, square_links = [], lsh_forest._square_links
+
+    def counted(*given):
+        found = shared.written(square_links(*given), "found")
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(lsh_forest, "CROWD", 16)
+    monkeypatch.setattr(lsh_forest, "_square_links", counted)
+    monkeypatch.setattr(lsh_forest, "_shrunk", lambda members, *rest: lsh_forest._alone(members))  # as if the rounds found nothing
+    _, got = lsh_forest.groups(spark.createDataFrame(list(enumerate(texts)), TEXTS).repartition(4))
+    assert {r.doc: r.component for r in got.collect()} == dict(enumerate(group))
+    assert sum(made) < 10 * len(texts)
+
+
 def repeats(batches, width):
     """Words that stay, by brute force, of batches of (id, words): earlier batches first, then ids."""
     seen, out = set(), {}
