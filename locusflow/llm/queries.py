@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import host_rules, line_dedup, lsh_forest, packing, pst, spaced_seeds, suffix_dedup, toxicity, warc, window_index
+from . import hard_negatives, host_rules, line_dedup, lsh_forest, packing, pst, spaced_seeds, suffix_dedup, toxicity, warc, window_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.op10_suffix_dedup(spark, table(spark, sf_dir, "documents"))
 
 
+def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.op11_dual_tree(spark, table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_suffix_tree": op2_suffix_tree,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_spaced_seeds": op8_spaced_seeds,
     "op9_window_index": op9_window_index,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_dual_tree": op11_dual_tree,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -73,4 +78,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_host_rules": host_rules.ORACLE_SQL,
     "op8_spaced_seeds": spaced_seeds.ORACLE_SQL,
     "op9_window_index": window_index.ORACLE_SQL,
+    "op11_dual_tree": hard_negatives.ORACLE_SQL,
 }
