@@ -8,9 +8,10 @@ first, ties by the smaller id.  An anchor's positives are its first
 the positive's.
 
 Both sides are trees.  Median splits, fitted on a bounded sample of ``SAMPLE``
-rows, make the cells of the top; every row is in one.  A cell's rows are dealt
-into blocks, and a block's into leaves by further splits, each with its centre
-and radius.  For two nodes with centres c, d and radii r, s all inner products
+rows, make the cells of the top; every row is in one, every anchor also in one of
+a coarser tree.  A cell's rows are dealt into blocks, a coarse cell's anchors into
+groups, and either's rows into leaves by further splits, each with its centre and
+radius.  For two nodes with centres c, d and radii r, s all inner products
 lie within |c| s + |d| r + r s of c.d, so
 
 1. groups of anchors skip whole cells, then blocks, then leaves of candidates,
@@ -369,7 +370,7 @@ def _with_floors(groups: DataFrame, shape, width: int, most: int) -> DataFrame:
     """groups with floor: for each anchor the score that ``most`` sampled rows of its label reach; also floor_min and most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, sample, labels, ids = shape.value
+        _, _, sample, labels, ids, _ = shape.value
         for batch in batches:
             floors = []
             for row in batch.to_pylist():
@@ -392,7 +393,7 @@ def _with_windows(groups: DataFrame, good: DataFrame, shape, width: int, count:
             yield pa.RecordBatch.from_arrays([pa.array(group), pa.array(np.concatenate([*ids, np.zeros(0, np.int64)]))], ["group", "anchor_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, _, sample, labels, _ = shape.value
+        _, _, sample, labels, _, _ = shape.value
         for batch in batches:
             floors, least, most = [], [], []
             for row in batch.to_pylist():
@@ -429,27 +430,30 @@ def mine(
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score); anchors are the rows whose id satisfies ``anchor``, a condition on column id."""
     spark = shared.session(vectors)
     rows = shared.written(quantised(vectors, id_col, label_col, vector_col, scale), "vectors")
-    n, width = rows.agg(F.count(F.lit(1)), F.max(F.octet_length("q"))).first()
+    n, width, k = rows.agg(F.count(F.lit(1)), F.max(F.octet_length("q")), F.sum(anchor.cast("long"))).first()
     width = max(1, (width or 0) // 4)
     # The trees' shape: rows of least hash, SAMPLE at most, whatever the table's size.
     few = rows.orderBy(F.xxhash64("id")).limit(SAMPLE).toArrow()
     sample = matrix(few["q"], width)
-    parts, splits = split(sample, 1, max(1, min(CELLS, -(-n // CELL_ROWS))))
-    centres = np.stack([sample[p].mean(0) if len(p) else np.zeros(width) for p in parts])
-    shape = spark.sparkContext.broadcast((splits, centres, sample, few["label"].to_numpy(), few["id"].to_numpy()))
+    cells, splits = split(sample, 1, max(1, min(CELLS, -(-n // CELL_ROWS))))
+    centres = np.stack([sample[c].mean(0) if len(c) else np.zeros(width) for c in cells])
+    _, coarse = split(sample, 1, max(1, min(CELLS, -(-(k or 0) // GROUP))))
+    shape = spark.sparkContext.broadcast((splits, centres, sample, few["label"].to_numpy(), few["id"].to_numpy(), coarse))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cell = cells_of(matrix(batch["q"], width), shape.value[0])
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], batch["q"], pa.array(cell.astype(np.int32))], ["id", "label", "q", "cell"])
-
-    dealt = shared.written(rows.mapInArrow(deal, "id long, label long, q binary, cell int"), "dealt")
-    # A row a cell: CELLS at most.
-    size = F.broadcast(dealt.groupBy("cell").agg(F.count(F.lit(1)).alias("m"), F.sum(anchor.cast("long")).alias("k")))
-    sized = dealt.join(size, "cell")
-    part = lambda c, most: F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.col(c) / most), F.lit(1))).cast("int")
-    blocks = shared.written(_packed(sized.withColumn("part", part("m", BLOCK)), width), "blocks")
-    groups = shared.written(_packed(sized.where(anchor).withColumn("part", part("k", GROUP)), width).withColumn("group", F.monotonically_increasing_id()), "groups")
+            cell, group = (cells_of(matrix(batch["q"], width), shape.value[i]).astype(np.int32) for i in (0, 5))
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], batch["q"], pa.array(cell), pa.array(group)], ["id", "label", "q", "cell", "group"])
+
+    def parts(own: DataFrame, most: int) -> DataFrame:
+        """own with part: a cell's rows dealt into parts of about ``most``."""
+        size = own.groupBy("cell").agg(F.count(F.lit(1)).alias("m"))  # a row a cell: CELLS at most
+        return own.join(F.broadcast(size), "cell").withColumn("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / most)).cast("int"))
+
+    dealt = shared.written(rows.mapInArrow(deal, "id long, label long, q binary, cell int, group int"), "dealt")
+    blocks = shared.written(_packed(parts(dealt, BLOCK), width), "blocks")
+    anchors = dealt.where(anchor).withColumn("cell", F.col("group"))
+    groups = shared.written(_packed(parts(anchors, GROUP), width).withColumn("group", F.monotonically_increasing_id()), "groups")
     search = Forest(spark, blocks, centres, width)
     found = search.run(_with_floors(groups, shape, width, positives), Positives(width, positives), "anchor_id long, positive_id long, positive_score long")
     good = shared.written(_first(found, ["anchor_id"], "positive_score", "positive_id", positives).drop("rank"), "positives")

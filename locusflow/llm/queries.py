@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import hard_negatives, host_rules, line_dedup, lsh_forest, packing, pst, spaced_seeds, suffix_dedup, toxicity, warc, window_index
+from . import collocations, hard_negatives, host_rules, line_dedup, lsh_forest, packing, pst, spaced_seeds, suffix_dedup, toxicity, warc, window_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op11_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.op11_dual_tree(spark, table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.op13_collocations(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_suffix_tree": op2_suffix_tree,
@@ -69,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_window_index": op9_window_index,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_dual_tree": op11_dual_tree,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -79,4 +84,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_spaced_seeds": spaced_seeds.ORACLE_SQL,
     "op9_window_index": window_index.ORACLE_SQL,
     "op11_dual_tree": hard_negatives.ORACLE_SQL,
+    "op13_collocations": collocations.ORACLE_SQL,
 }

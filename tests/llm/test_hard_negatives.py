@@ -65,7 +65,7 @@ def test_production_trees(spark):
 def test_whole_cells_and_blocks_are_skipped(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(h.Forest, "run", lambda self, groups, search, schema, run=h.Forest.run: (asked.append((self.pairs(groups).count(), groups.count() * self.blocks.count())), run(self, groups, search, schema))[1])
-    for name, value in (("BLOCK", 40), ("GROUP", 4), ("CELL_ROWS", 50)):
+    for name, value in (("BLOCK", 40), ("GROUP", 1), ("CELL_ROWS", 50)):
         monkeypatch.setattr(h, name, value)
     rows = rows_of(900)
     assert found(h.op11_dual_tree(spark, table(spark, rows))) == brute(rows)
