@@ -17,13 +17,23 @@ PART = "block int, mapper int, at binary, n binary"
 FAN = 32
 
 
+def _narrow(values: np.ndarray) -> bytes:
+    """Values that aren't negative, in as few bytes each as the greatest needs; a byte says how many."""
+    size = next(n for n in (1, 2, 4, 8) if not len(values) or int(values.max()) < 1 << (8 * n - 1))
+    return bytes([size]) + values.astype(f"<i{size}").tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<i{data[0]}", offset=1).astype(np.int64)
+
+
 def packed(block: int, mapper: int, at: np.ndarray, n: np.ndarray) -> tuple[int, int, bytes, bytes]:
     """A row of PART from ascending places and their counts."""
-    return block, mapper, np.diff(at, prepend=0).astype("<u4").tobytes(), n.astype("<i8").tobytes()
+    return block, mapper, _narrow(np.diff(at, prepend=0)), _narrow(n)
 
 
 def unpacked(at: bytes, n: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(np.frombuffer(at, "<u4"), dtype=np.int64), np.frombuffer(n, "<i8")
+    return np.cumsum(_wide(at)), _wide(n)
 
 
 def by_block(values: np.ndarray, block_bits: int, mapper: int) -> list[tuple[int, int, bytes, bytes]]:
