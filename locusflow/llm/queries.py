@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import collocations, hard_negatives, host_rules, line_dedup, lsh_forest, packing, pst, spaced_seeds, suffix_dedup, toxicity, warc, window_index
+from . import collocations, hard_negatives, host_rules, line_dedup, lsh_forest, packing, prefix_join, pst, spaced_seeds, suffix_dedup, toxicity, warc, window_index
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.op13_collocations(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_join.op12_prefix_join(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_suffix_tree": op2_suffix_tree,
@@ -74,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
     "op11_dual_tree": op11_dual_tree,
     "op13_collocations": op13_collocations,
+    "op12_prefix_join": op12_prefix_join,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -85,4 +90,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_window_index": window_index.ORACLE_SQL,
     "op11_dual_tree": hard_negatives.ORACLE_SQL,
     "op13_collocations": collocations.ORACLE_SQL,
+    "op12_prefix_join": prefix_join.ORACLE_SQL,
 }
