@@ -11,7 +11,7 @@ from .functions import records as R
 from .operators import marking, pairing
 from .operators.once import once
 from .operators.routing import route
-from .sources.reads_from_orders import LIBRARIES, REFERENCES, SQL, raw_reads
+from .sources.reads_from_orders import LIBRARIES, REFERENCES, raw_reads, with_tables
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,7 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "marked_reads": lambda s, d: _marked(s, d).select("line_no", "bucket", "is_dup"),
     "marked_by_chromosome": _by_bucket,
     "marked_flags": lambda s, d: marking.with_marked_flag(_marked(s, d)).select("line_no", "flag_out"),
-    "marked_lines": lambda s, d: _marked(s, d, "line").where("is_dup").select("line_no", F.substring_index(R.duplicate_line(F.col("line"), F.col("flag")), "\t", 4).alias("head")),
+    "marked_lines": lambda s, d: _marked(s, d, "line").where("is_dup").select("line_no", R.duplicate_line(F.col("line"), F.col("flag")).alias("line")),
     "dup_metrics": _metrics,
     "bucket_counts": lambda s, d: reads(s, d).groupBy("bucket").agg(F.count(F.lit(1)).alias("reads")),
     "bucket_route": _pick("bucket", "ref_idx", "mate_idx"),
@@ -148,7 +148,7 @@ _SELECTS = {
     "marked_reads": "line_no, bucket, is_dup FROM marked",
     "marked_by_chromosome": "bucket, count(*) AS reads, sum(is_dup::BIGINT)::BIGINT AS dups FROM marked GROUP BY bucket",
     "marked_flags": "line_no, (flag | CASE WHEN is_dup THEN 1024 ELSE 0 END)::INTEGER AS flag_out FROM marked",
-    "marked_lines": "line_no, concat_ws(chr(9), qname, flag + 1024, rname, pos) AS head FROM marked WHERE is_dup",
+    "marked_lines": "line_no, qname || chr(9) || (flag + 1024) || substring(line, length(qname) + length(flag::VARCHAR) + 2) AS line FROM marked WHERE is_dup",
     "dup_metrics": "bucket, count(*) AS reads, sum(is_dup::BIGINT)::BIGINT AS duplicates, any_value((SELECT count(*) FROM optical o WHERE o.bucket = marked.bucket))::BIGINT AS optical FROM marked GROUP BY bucket",
     "bucket_counts": "bucket, count(*) AS reads FROM reads GROUP BY bucket",
     "bucket_route": "line_no, bucket, ref_idx, mate_idx FROM reads",
@@ -166,8 +166,8 @@ _SELECTS = {
     "qname_xy": "line_no, split_part(qname, ':', 3)::INTEGER AS x, split_part(qname, ':', 4)::INTEGER AS y FROM reads",
     "name_sort_key": "line_no, ('0x' || left(replace(qname, ':', ''), 16))::BIGINT AS name_key FROM reads",
     "library_of_read": "line_no, lb FROM reads",
-    "mate_pairs": "bucket, qname, a.line_no AS line_a, b.line_no AS line_b FROM ab",
-    "mate_lookup": "a.line_no AS line_no, b.line_no AS mate_line FROM ab UNION ALL SELECT b.line_no, a.line_no FROM ab",
+    "mate_pairs": "bucket, qname, a_line AS line_a, b_line AS line_b FROM ab",
+    "mate_lookup": "a_line AS line_no, b_line AS mate_line FROM ab UNION ALL SELECT b_line, a_line FROM ab",
     "missing_mates": "bucket, qname, min(line_no) AS line_no FROM reads WHERE eligible AND paired GROUP BY bucket, qname HAVING count(*) = 1",
     "external_mates": "bucket, count(*) AS paired, sum(alone::BIGINT)::BIGINT AS external FROM (SELECT bucket, min(\"end\") OVER w = max(\"end\") OVER w AS alone FROM reads WHERE eligible AND paired WINDOW w AS (PARTITION BY bucket, qname)) GROUP BY bucket",
     "reads_max_total": "max(n) AS most, sum(n)::BIGINT AS total FROM (SELECT count(*) AS n FROM reads GROUP BY bucket)",
@@ -190,4 +190,4 @@ _SELECTS = {
     "optical_first_pass": f"x.bucket, x.rep_line FROM ranked x JOIN ranked w USING ({_KEY}) WHERE x.place > 1 AND w.place = 1"
     " AND abs(split_part(x.qname, ':', 3)::INTEGER - split_part(w.qname, ':', 3)::INTEGER) <= 20 AND abs(split_part(x.qname, ':', 4)::INTEGER - split_part(w.qname, ':', 4)::INTEGER) <= 20",
 }
-ORACLE_SQL = {name: f"{SQL} SELECT {select}" for name, select in _SELECTS.items()}
+ORACLE_SQL = {name: with_tables(select) for name, select in _SELECTS.items()}

@@ -1,12 +1,14 @@
 """Alignment records made from the lineitem table, for checks on tables without SAM files.
 
 The lines of an order are dealt into pairs; positions, strands, clips,
-qualities and libraries follow from the columns.  ``SQL`` defines the same
+qualities and libraries follow from the columns.  ``TABLES`` define the same
 records, already with their derived columns, as the common table ``reads``.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,23 +54,31 @@ def raw_reads(lineitem: DataFrame) -> DataFrame:
     return out.withColumn("line", F.concat_ws("\t", "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual", F.array_join("tags", "\t")))
 
 
-SQL = f"""
-WITH RECURSIVE o AS (
+#: The common tables of the SQL, each with those it reads; ``with_tables`` takes what a query needs.
+TABLES = {
+    "o": f"""
   SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY {", ".join(_ORDER)}) - 1 AS r, l_quantity::INTEGER AS q FROM lineitem
-), k AS (
+""",
+    "k": """
   SELECT *, (r // 2)::INTEGER AS k FROM o
-), n AS (
+""",
+    "n": """
   SELECT *, count(*) OVER (PARTITION BY l_orderkey, k) AS n FROM k
-), c AS (
+""",
+    "c": """
   SELECT *, CASE WHEN n = 1 AND l_orderkey % 2 = 0 THEN 5 WHEN q >= 48 THEN (l_orderkey + l_suppkey) % 5 ELSE l_orderkey % 5 END::INTEGER AS c FROM n
-), d AS (
+""",
+    "d": """
   SELECT *, min(c) OVER w <> max(c) OVER w AS apart, first_value(l_orderkey || ':' || k || ':' || l_partkey % 200 || ':' || l_suppkey % 50) OVER (PARTITION BY l_orderkey, k ORDER BY r) AS qname FROM c WINDOW w AS (PARTITION BY l_orderkey, k)
-), p AS MATERIALIZED (
+""",
+    "p": """
   SELECT *, (1000 + l_partkey % CASE WHEN apart THEN 5 ELSE 40 END)::BIGINT AS pos, (l_returnflag = 'R')::INTEGER AS rev, (l_linenumber % 3)::INTEGER AS clip FROM d
-), m AS (
+""",
+    "m": """
   SELECT a.*, b.c AS b_c, coalesce(b.pos, a.pos) AS pnext, coalesce(b.rev, a.rev) AS m_rev, coalesce(b.c, a.c) AS m_c
   FROM p a LEFT JOIN p b ON a.l_orderkey = b.l_orderkey AND a.k = b.k AND a.r <> b.r
-), reads AS MATERIALIZED (
+""",
+    "reads": """
   SELECT l_orderkey * 100 + r AS line_no, qname, n, apart, clip,
     (1 + CASE WHEN n = 1 THEN CASE WHEN l_orderkey % 10 = 5 THEN 12 ELSE 8 END ELSE m_rev * 32 END + rev * 16 + CASE WHEN r % 2 = 0 THEN 64 ELSE 128 END
       + CASE WHEN l_linenumber = 7 AND q > 45 THEN 256 ELSE 0 END)::INTEGER AS flag,
@@ -84,45 +94,75 @@ WITH RECURSIVE o AS (
       CASE WHEN c = m_c THEN '=' ELSE 'chr' || (m_c + 1) END, pnext, 0, '*', repeat(chr(33 + q), (10 + l_linenumber % 3)::INTEGER),
       'RG:Z:x', CASE WHEN l_orderkey % 7 <> 0 THEN 'LB:Z:lib' || l_orderkey % 2 END) AS line
   FROM m
-), ab AS (
-  SELECT a.bucket, a.qname, a AS a, b AS b FROM reads a JOIN reads b ON a.bucket = b.bucket AND a.qname = b.qname AND (a.pos, a.line_no) < (b.pos, b.line_no)
-  WHERE a.eligible AND a.paired AND b.eligible AND b.paired
-), ends AS MATERIALIZED (
-  SELECT bucket, qname, rep.lb AS lb, rep.ref_idx AS rep_ref, rep.u AS rep_u, orient, oth.u AS mate_u, rep.mate_idx AS mate_ref, (rep.score + oth.score)::INTEGER AS pair_score,
-    rep.pos AS rep_pos, rep.line_no AS rep_line, oth.line_no AS oth_line, rep.score AS rep_score
-  FROM (SELECT bucket, qname, CASE WHEN swap THEN b ELSE a END AS rep, CASE WHEN swap THEN a ELSE b END AS oth,
-      CASE WHEN a.u = b.u THEN 3 ELSE CASE (CASE WHEN swap THEN b.rev * 2 + a.rev ELSE a.rev * 2 + a.mrev END) WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 3 THEN 4 ELSE 5 END END::INTEGER AS orient
-    FROM (SELECT *, bucket <> 'discordant' AND b.u < a.u AS swap FROM ab))
-), ranked AS MATERIALIZED (
+""",
+    "named": """
+  SELECT bucket, qname, line_no, pos, u, rev, mrev, score, lb, ref_idx, mate_idx, row_number() OVER (PARTITION BY bucket, qname ORDER BY pos, line_no) AS place
+  FROM reads WHERE eligible AND paired
+""",
+    "ab": """
+  SELECT a.bucket, a.qname, a.line_no AS a_line, b.line_no AS b_line, a.pos AS a_pos, b.pos AS b_pos, a.u AS a_u, b.u AS b_u, a.rev AS a_rev, b.rev AS b_rev, a.mrev AS a_mrev,
+    a.score AS a_score, b.score AS b_score, a.lb AS a_lb, b.lb AS b_lb, a.ref_idx AS a_ref, b.ref_idx AS b_ref, a.mate_idx AS a_mate, b.mate_idx AS b_mate
+  FROM named a JOIN named b ON a.bucket = b.bucket AND a.qname = b.qname WHERE a.place = 1 AND b.place = 2
+""",
+    "ends": """
+  SELECT bucket, qname, CASE WHEN swap THEN b_lb ELSE a_lb END AS lb, CASE WHEN swap THEN b_ref ELSE a_ref END AS rep_ref, CASE WHEN swap THEN b_u ELSE a_u END AS rep_u,
+    CASE WHEN a_u = b_u THEN 3 ELSE CASE (CASE WHEN swap THEN b_rev * 2 + a_rev ELSE a_rev * 2 + a_mrev END) WHEN 0 THEN 2 WHEN 1 THEN 3 WHEN 3 THEN 4 ELSE 5 END END::INTEGER AS orient,
+    CASE WHEN swap THEN a_u ELSE b_u END AS mate_u, CASE WHEN swap THEN b_mate ELSE a_mate END AS mate_ref, (a_score + b_score)::INTEGER AS pair_score,
+    CASE WHEN swap THEN b_pos ELSE a_pos END AS rep_pos, CASE WHEN swap THEN b_line ELSE a_line END AS rep_line, CASE WHEN swap THEN a_line ELSE b_line END AS oth_line,
+    CASE WHEN swap THEN b_score ELSE a_score END AS rep_score
+  FROM (SELECT *, bucket <> 'discordant' AND b_u < a_u AS swap FROM ab)
+""",
+    "ranked": """
   SELECT *, row_number() OVER w AS place, count(*) OVER (PARTITION BY bucket, lb, rep_ref, rep_u, orient, mate_u, mate_ref) AS size FROM ends
   WINDOW w AS (PARTITION BY bucket, lb, rep_ref, rep_u, orient, mate_u, mate_ref ORDER BY pair_score DESC, rep_pos, rep_line)
-), frags AS (
+""",
+    "frags": """
   SELECT *, bool_or(paired) OVER (PARTITION BY bucket, lb, ref_idx, u, rev) AS has_paired,
     row_number() OVER (PARTITION BY bucket, lb, ref_idx, u, rev, paired ORDER BY score DESC, mate_idx, pnext, pos, line_no) AS place
   FROM reads WHERE eligible
-), lost AS (
+""",
+    "lost": """
   SELECT rep_line AS line_no FROM ranked WHERE place > 1 UNION SELECT oth_line FROM ranked WHERE place > 1
   UNION SELECT line_no FROM frags WHERE NOT paired AND (has_paired OR place > 1)
-), marked AS (
+""",
+    "marked": """
   SELECT reads.*, lost.line_no IS NOT NULL AS is_dup FROM reads LEFT JOIN lost ON reads.line_no = lost.line_no
-), apart AS (
+""",
+    "apart": """
   SELECT rep_line, oth_line, row_number() OVER (PARTITION BY bucket, lb, rep_ref, rep_u, orient, mate_u, mate_ref
     ORDER BY CASE WHEN bucket = 'discordant' THEN rep_score ELSE pair_score END DESC, rep_pos, rep_line) AS place FROM ends
-), lost_apart AS (
+""",
+    "lost_apart": """
   SELECT rep_line AS line_no FROM apart WHERE place > 1 UNION SELECT oth_line FROM apart WHERE place > 1
   UNION SELECT line_no FROM frags WHERE NOT paired AND (has_paired OR place > 1)
-), clusters AS (
+""",
+    "clusters": """
   SELECT bucket, list(rep_line ORDER BY rep_pos, rep_line) AS ls, list(place = 1 ORDER BY rep_pos, rep_line) AS bs, count(*) AS n,
     list(split_part(qname, ':', 3)::INTEGER ORDER BY rep_pos, rep_line) AS xs, list(split_part(qname, ':', 4)::INTEGER ORDER BY rep_pos, rep_line) AS ys
   FROM ranked WHERE size > 1 GROUP BY bucket, lb, rep_ref, rep_u, orient, mate_u, mate_ref
-), spots AS (
+""",
+    "spots": """
   SELECT *, list_position(bs, true) AS w FROM clusters
-), walk AS (
+""",
+    "walk": """
   SELECT *, 1::BIGINT AS i, list_transform(range(1, n + 1), lambda j: j <> w AND abs(xs[j] - xs[w]) <= 20 AND abs(ys[j] - ys[w]) <= 20) AS near FROM spots
   UNION ALL
   SELECT * EXCLUDE (i, near, later), i + 1, list_transform(range(1, n + 1), lambda j: near[j] OR (i <> w AND len(later) > 0 AND (j = i OR list_contains(CASE WHEN near[i] THEN later ELSE later[2:] END, j))))
   FROM (SELECT *, list_filter(range(i + 1, n + 1), lambda j: j <> w AND abs(xs[j] - xs[i]) <= 20 AND abs(ys[j] - ys[i]) <= 20) AS later FROM walk WHERE i <= n)
-), optical AS (
+""",
+    "optical": """
   SELECT bucket, ls[j] AS rep_line FROM (SELECT bucket, ls, near, unnest(range(1, n + 1)) AS j FROM walk WHERE i = n + 1) WHERE near[j]
-)
-"""
+""",
+}
+
+
+def with_tables(select: str) -> str:
+    """A SELECT over TABLES with the definitions of those it needs, in order."""
+    needed, asked = set(), [select]
+    while asked:
+        text = asked.pop()
+        new = {name for name in TABLES if name not in needed and re.search(rf"\b(?:FROM|JOIN) {name}\b", text)}
+        needed |= new
+        asked += [TABLES[name] for name in new]
+    tables = ", ".join(f"{name} AS ({body})" for name, body in TABLES.items() if name in needed)
+    return f"WITH {'RECURSIVE ' if 'walk' in needed else ''}{tables} SELECT {select}"
