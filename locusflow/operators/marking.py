@@ -8,10 +8,6 @@ the join's hot side is left to adaptive skew handling.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,7 +66,12 @@ def marked(reads: DataFrame, *, discordant_score: str = "both", narrow: DataFram
     (narrow: they are already); the records themselves are joined once.
     """
     narrow = once(reads.select(*NARROW)) if narrow is None else narrow
-    lines = losers(narrow, discordant_score=discordant_score).select(F.col("line_no").alias("__line"), F.lit(True).alias("is_dup"))
+    return with_marks(reads, losers(narrow, discordant_score=discordant_score))
+
+
+def with_marks(reads: DataFrame, lines: DataFrame) -> DataFrame:
+    """reads with is_dup: whether line_no is in lines (line_no, each once)."""
+    lines = lines.select(F.col("line_no").alias("__line"), F.lit(True).alias("is_dup"))
     out = reads.join(lines, F.col("line_no") == F.col("__line"), "left").drop("__line")
     return out.withColumn("is_dup", F.coalesce("is_dup", F.lit(False)))
 
@@ -80,69 +81,89 @@ def with_marked_flag(rows: DataFrame) -> DataFrame:
     return rows.withColumn("flag_out", F.when(F.col("is_dup"), R.with_bits(F.col("flag"), 0x400)).otherwise(F.col("flag")))
 
 
-_SPOT = "bucket string, cluster long, rep_pos long, rep_line long, x int, y int, best boolean, first_pass boolean"
+CELL = ("bucket", "cluster", "cx", "cy")
 
 
-def _second_pass(x: np.ndarray, y: np.ndarray, best: np.ndarray, near: np.ndarray, distance: int) -> None:
-    """Mark in ``near`` what the pairwise pass over a sorted cluster marks, in place."""
-    for i in np.flatnonzero(~best):
-        later = i + 1 + np.flatnonzero((np.abs(x[i + 1 :] - x[i]) <= distance) & (np.abs(y[i + 1 :] - y[i]) <= distance) & ~best[i + 1 :])
-        if not near[i] and len(later):
-            near[i] = True
-            later = later[1:]
-        near[later] = True
+def _close(a: str, b: str, distance: int):
+    return (F.abs(F.col(f"{a}.x") - F.col(f"{b}.x")) <= distance) & (F.abs(F.col(f"{a}.y") - F.col(f"{b}.y")) <= distance)
 
 
 def optical_duplicates(ends: DataFrame, distance: int) -> DataFrame:
     """(bucket, rep_line, first_pass) of losing pairs whose spot lies within ``distance`` in x and y of another of their cluster.
 
-    First all spots are compared with the winner's, in plain columns; then, in
-    the order of positions, each two others of which at most one is marked,
-    marking the earlier unless it is already.  That order matters, so a cluster
-    of two losers and more passes through one task; sorted partitions are
-    scanned by one Arrow function, which holds a cluster at a time.
+    First all spots are compared with the winner's; then, in the order of
+    positions, each two others of which at most one is marked, marking the
+    earlier unless it is already.  That second pass has the same outcome as these
+    rules, which no order of work binds.  Of the losers of a cluster, let next(i)
+    be the first one after i that is close to i.
+
+    * i is marked if next(i) is there;
+    * so it is if the first pass marked it, or if an h before it is close and
+      next(h) isn't i: its turn marks all that are close after next(h);
+    * else all h before it that are close have next(h) = i, and it is marked if
+      one of them was before its own turn: by these last two rules.
+
+    Spots lie in cells of distance + 1, within which all are close.  So the third
+    and later ones of a cell are marked by the second rule, and only the first two
+    have to be compared with the spots of the nine cells around: of each spot at
+    most 18 comparisons, however many share a cell.  The last rule follows chains
+    of next, by doubling their steps.
     """
-    schema = "bucket string, rep_line long, first_pass boolean"
     if distance <= 0:
-        return ends.sparkSession.createDataFrame([], schema)
+        return ends.sparkSession.createDataFrame([], "bucket string, rep_line long, first_pass boolean")
     spots = ends.join(pair_winners(ends), list(PAIR_KEY)).withColumn("xy", R.location(F.col("qname"))).withColumn("best_xy", R.location(F.col("best_name")))
-    best = F.col("rep_line") == F.col("best_line")
-    close = [F.abs(F.col(f"xy.{c}").cast("long") - F.col(f"best_xy.{c}")) <= distance for c in "xy"]
-    first = ~best & F.coalesce(close[0] & close[1], F.lit(False))
-    spots = spots.where("xy.x is not null and xy.y is not null")
-    spots = spots.select(*PAIR_KEY, "n", "rep_pos", "rep_line", F.col("xy.x").alias("x"), F.col("xy.y").alias("y"), best.alias("best"), first.alias("first_pass"))
-    near = spots.where("n = 2 and first_pass").select("bucket", "rep_line", "first_pass")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = batch if carry is None else pa.Table.from_batches([carry, batch]).combine_chunks().to_batches()[0]
-            cluster = rows["cluster"].to_numpy()
-            at = np.flatnonzero(np.r_[True, cluster[1:] != cluster[:-1]])
-            yield found(rows.slice(0, int(at[-1])), at)
-            carry = rows.slice(int(at[-1]))
-        if carry is not None:
-            yield found(carry, np.array([0, carry.num_rows]))
-
-    def found(rows: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
-        x, y = (rows[c].to_numpy().astype(np.int64) for c in "xy")
-        best, near = (rows[c].to_numpy(zero_copy_only=False).copy() for c in ("best", "first_pass"))
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            _second_pass(x[a:b], y[a:b], best[a:b], near[a:b], distance)
-        keep = pa.array(np.flatnonzero(near))
-        return rows.select(["bucket", "rep_line", "first_pass"]).take(keep)
-
-    several = spots.where("n > 2").withColumn("cluster", F.xxhash64(*PAIR_KEY)).select(*[c.split()[0] for c in _SPOT.split(", ")], *[c for c in PAIR_KEY if c != "bucket"])
-    order = ["cluster", *PAIR_KEY, "rep_pos", "rep_line"]
-    several = several.repartition("cluster").sortWithinPartitions(*order).select(*[c.split()[0] for c in _SPOT.split(", ")])
-    return near.unionByName(several.mapInArrow(run, schema))
+    near = [F.abs(F.col(f"xy.{c}").cast("long") - F.col(f"best_xy.{c}")) <= distance for c in "xy"]
+    losing = spots.where((F.col("rep_line") != F.col("best_line")) & F.col("xy.x").isNotNull() & F.col("xy.y").isNotNull())
+    cell = lambda c: F.floor(F.col(c) / (distance + 1)).alias(f"c{c}")
+    name = F.struct(*[c for c in PAIR_KEY if c != "bucket"]).alias("cluster")
+    losing = losing.select("bucket", name, F.struct("rep_pos", "rep_line").alias("id"), F.col("xy.x").cast("long").alias("x"), F.col("xy.y").cast("long").alias("y"), F.coalesce(near[0] & near[1], F.lit(False)).alias("first_pass"), "n")
+    losing = once(losing.select("*", cell("x"), cell("y")))
+    first = losing.where("first_pass").select("bucket", F.col("id.rep_line").alias("rep_line"), "first_pass")
+    second = _second_pass(losing.where("n > 2").drop("n"), distance)
+    return first.unionByName(second.join(first.select("bucket", "rep_line"), ["bucket", "rep_line"], "left_anti").withColumn("first_pass", F.lit(False)))
+
+
+def _second_pass(spots: DataFrame, distance: int) -> DataFrame:
+    """(bucket, rep_line) of the spots (bucket, cluster, id, x, y, first_pass, cx, cy) that the rules of ``optical_duplicates`` mark, but for those of the first pass."""
+    key = list(CELL)
+    # The first two of each cell, without sorting a cell: the least, and the least of the rest.
+    one = spots.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("one"))
+    two = spots.join(one.where("size > 1"), key).where("id > one").groupBy(*key).agg(F.min("id").alias("two"))
+    heads = one.join(two, key, "left")
+    ranked = once(spots.join(heads, key).withColumn("head", (F.col("id") == F.col("one")) | (F.col("id") == F.col("two"))).drop("one", "two"))
+    crowded = ranked.where("size > 2").select("bucket", F.col("id.rep_line").alias("rep_line"))
+    # Heads with all that is close to them, from the cells around.
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])).alias("s")
+    around = ranked.where("head").select("bucket", "cluster", "id", "x", "y", "cx", "cy", steps).withColumn("cx", F.col("cx") + F.col("s.i")).withColumn("cy", F.col("cy") + F.col("s.j")).drop("s")
+    pairs = around.alias("a").join(ranked.alias("b"), key).where((F.col("a.id") != F.col("b.id")) & _close("a", "b", distance))
+    pairs = once(pairs.select("bucket", "cluster", F.col("a.id").alias("id"), F.col("b.id").alias("other"), F.col("b.head").alias("head")))
+    own = ["bucket", "cluster"]
+    following = pairs.where("other > id").groupBy(*own, "id").agg(F.min("other").alias("next"))
+    followed = following.select("bucket", F.col("id.rep_line").alias("rep_line"))
+    # Earlier spots that are close: no head, or a head whose next is another, marks at once.
+    before = pairs.where("other < id").join(following.select(*own, F.col("id").alias("other"), F.col("next").alias("others_next")), [*own, "other"], "left")
+    at_once = before.where(~F.col("head") | (F.col("others_next") != F.col("id"))).select(*own, "id").distinct()
+    flagged = ranked.where("head").select(*own, "id", "first_pass").join(at_once.withColumn("hit", F.lit(True)), [*own, "id"], "left")
+    chain = flagged.join(following, [*own, "id"], "left").select(*own, "id", F.coalesce("next", "id").alias("next"), (F.col("first_pass") | F.coalesce("hit", F.lit(False))).alias("marked"))
+    chain = once(chain)
+    while True:
+        ahead = chain.select(*own, F.col("id").alias("next"), F.col("next").alias("after"))
+        longer = once(chain.join(ahead, [*own, "next"], "left").select(*own, "id", F.coalesce("after", "next").alias("next"), "marked", F.coalesce(F.col("after") != F.col("next"), F.lit(False)).alias("moved")))
+        if longer.where("moved").isEmpty():
+            break
+        chain = longer.drop("moved")
+    ended = chain.groupBy("bucket", "cluster", "next").agg(F.max("marked").alias("marked")).where("marked").select("bucket", F.col("next.rep_line").alias("rep_line"))
+    return crowded.union(followed).union(ended).distinct()
 
 
 def metrics(rows: DataFrame, optical: DataFrame | None = None) -> DataFrame:
     """(bucket, reads, duplicates, optical) of marked records."""
     out = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("reads"), F.sum(F.col("is_dup").cast("long")).alias("duplicates"))
+    return with_optical(out, optical)
+
+
+def with_optical(out: DataFrame, optical: DataFrame | None) -> DataFrame:
+    """Counts by bucket with those of optical duplicates."""
     if optical is None:
         return out.withColumn("optical", F.lit(0).cast("long"))
     found = optical.groupBy("bucket").agg(F.count(F.lit(1)).alias("optical"))

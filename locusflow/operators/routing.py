@@ -19,22 +19,33 @@ def index_of(value: Column, names: Sequence[str], missing: int) -> Column:
     return F.coalesce(F.try_element_at(lookup, value), F.lit(missing)).cast("int")
 
 
-def route(raw: DataFrame, references: Sequence[str], libraries: Sequence[str] = (), *, min_mapq: int = 0) -> DataFrame:
-    """raw with bucket, ref_idx, mate_idx, end, rev, mrev, u, score, lb, paired, eligible.
+def with_bucket(raw: DataFrame, references: Sequence[str], *, min_mapq: int = 0) -> DataFrame:
+    """raw with bucket, without records below min_mapq on one chromosome.
 
     Both ends mapped to one reference: its bucket, if MAPQ is min_mapq at
-    least; to two: discordant; all else: unmapped.  A missing or unknown
-    library is the first one.  A record without CIGAR follows its reference
-    into a bucket, but has no reference index and no 5' position.
+    least; to two: discordant; all else: unmapped.
     """
-    mate = F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext"))
-    own, other = index_of(F.col("rname"), references, -1), index_of(mate, references, -1)
+    own, other = _places(references)
     both = (own >= 0) & (other >= 0)
-    bucket = F.when(both & (own == other), F.col("rname")).when(both, F.lit(DISCORDANT)).otherwise(F.lit(UNMAPPED))
+    out = raw.withColumn("bucket", F.when(both & (own == other), F.col("rname")).when(both, F.lit(DISCORDANT)).otherwise(F.lit(UNMAPPED)))
+    return out.where((F.col("bucket").isin(DISCORDANT, UNMAPPED)) | (F.col("mapq") >= min_mapq)) if min_mapq > 0 else out
+
+
+def _places(references: Sequence[str]) -> tuple[Column, Column]:
+    mate = F.when(F.col("rnext") == "=", F.col("rname")).otherwise(F.col("rnext"))
+    return index_of(F.col("rname"), references, -1), index_of(mate, references, -1)
+
+
+def route(raw: DataFrame, references: Sequence[str], libraries: Sequence[str] = (), *, min_mapq: int = 0) -> DataFrame:
+    """raw with bucket (see with_bucket), ref_idx, mate_idx, end, rev, mrev, u, score, lb, paired, eligible.
+
+    A missing or unknown library is the first one.  A record without CIGAR
+    follows its reference into a bucket, but has no reference index and no 5'
+    position.
+    """
+    own, other = _places(references)
     flag = F.col("flag")
-    out = raw.withColumn("bucket", bucket).withColumn("ref_idx", F.when(F.col("cigar") == "*", F.lit(-1)).otherwise(own)).withColumn("mate_idx", other)
-    if min_mapq > 0:
-        out = out.where((F.col("bucket").isin(DISCORDANT, UNMAPPED)) | (F.col("mapq") >= min_mapq))
+    out = with_bucket(raw, references, min_mapq=min_mapq).withColumn("ref_idx", F.when(F.col("cigar") == "*", F.lit(-1)).otherwise(own)).withColumn("mate_idx", other)
     library = index_of(R.tag_value(F.col("tags"), "LB:Z:"), libraries, 0)
     return (
         out.withColumn("end", R.end_number(flag)).withColumn("rev", R.strand(flag)).withColumn("mrev", R.mate_strand(flag))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import records as R
-from .operators import marking, pairing
+from .operators import intervals, marking, pairing
 from .operators.once import once
+from .operators.prefix import running_sums
 from .operators.routing import route
 from .sources.reads_from_orders import LIBRARIES, REFERENCES, raw_reads, with_tables
 
@@ -47,23 +48,21 @@ def _pick(*columns) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def _sorted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place in the bucket's order: places within a (bucket, pos) group after the records at smaller positions."""
-    r = reads(spark, sf_dir).select("bucket", "pos", "line_no")
-    groups = r.groupBy("bucket", "pos").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    place = F.row_number().over(Window.partitionBy("bucket", "pos").orderBy("line_no"))
-    return r.withColumn("i", place).join(groups, ["bucket", "pos"]).select("line_no", "bucket", (F.col("base") + F.col("i") - 1).cast("long").alias("sorted_index"))
+    """Place in the bucket's order."""
+    r = reads(spark, sf_dir).select("bucket", "pos", "line_no", F.lit(1).cast("long").alias("n"))
+    return running_sums(r, "bucket", ["pos", "line_no"], ["n"]).select("line_no", "bucket", F.col("before_n").alias("sorted_index"))
 
 
 def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Byte offset of each record's line in its bucket's text, summed in two levels like the index."""
+    """Byte offset of each record's line in its bucket's text."""
     r = reads(spark, sf_dir).select("bucket", "pos", "line_no", (F.octet_length("line") + 1).cast("long").alias("size"))
-    groups = r.groupBy("bucket", "pos").agg(F.sum("size").alias("n"))
-    before = Window.partitionBy("bucket").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    groups = groups.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    own = F.coalesce(F.sum("size").over(Window.partitionBy("bucket", "pos").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return r.withColumn("i", own).join(groups, ["bucket", "pos"]).select("line_no", (F.col("base") + F.col("i")).cast("long").alias("dest_offset"))
+    return running_sums(r, "bucket", ["pos", "line_no"], ["size"]).select("line_no", F.col("before_size").alias("dest_offset"))
+
+
+def _mate_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What records without a mate lack, with intervals of the positions that records of even orders cover, in stretches of four."""
+    r = once(reads(spark, sf_dir).select(*marking.NARROW))
+    return intervals.mate_states(r, intervals.position_intervals(r.where("floor(line_no / 100) % 8 = 0"), 4))
 
 
 def _mate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "mate_pairs": lambda s, d: pairing.mates(reads(s, d)).select("bucket", "qname", F.col("a.line_no").alias("line_a"), F.col("b.line_no").alias("line_b")),
     "mate_lookup": _mate_lookup,
     "missing_mates": lambda s, d: pairing.missing_mates(reads(s, d)),
+    "mate_states": _mate_states,
     "external_mates": lambda s, d: pairing.external_mates(reads(s, d)),
     "reads_max_total": lambda s, d: reads(s, d).groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("most"), F.sum("n").alias("total")),
     "dup_keys": lambda s, d: pairing.repeated_ends(_with_repeats(reads(s, d).select("bucket", "qname", "end", "eligible", "paired", "line_no"))),
@@ -169,6 +169,8 @@ _SELECTS = {
     "mate_pairs": "bucket, qname, a_line AS line_a, b_line AS line_b FROM ab",
     "mate_lookup": "a_line AS line_no, b_line AS mate_line FROM ab UNION ALL SELECT b_line, a_line FROM ab",
     "missing_mates": "bucket, qname, min(line_no) AS line_no FROM reads WHERE eligible AND paired GROUP BY bucket, qname HAVING count(*) = 1",
+    "mate_states": "line_no, bucket, CASE WHEN NOT paired THEN 'single' WHEN EXISTS (SELECT 1 FROM covered i WHERE i.bucket = x.bucket AND pnext BETWEEN first_pos AND last_pos) THEN 'absent' ELSE 'outside' END AS state"
+    " FROM (SELECT *, min(\"end\") OVER w = max(\"end\") OVER w AS alone FROM reads WHERE eligible WINDOW w AS (PARTITION BY bucket, qname, paired)) x WHERE NOT paired OR alone",
     "external_mates": "bucket, count(*) AS paired, sum(alone::BIGINT)::BIGINT AS external FROM (SELECT bucket, min(\"end\") OVER w = max(\"end\") OVER w AS alone FROM reads WHERE eligible AND paired WINDOW w AS (PARTITION BY bucket, qname)) GROUP BY bucket",
     "reads_max_total": "max(n) AS most, sum(n)::BIGINT AS total FROM (SELECT count(*) AS n FROM reads GROUP BY bucket)",
     "dup_keys": 'bucket, qname, "end", count(*) AS n FROM (SELECT * FROM reads UNION ALL SELECT * FROM reads WHERE line_no % 10 = 1) WHERE eligible AND paired GROUP BY bucket, qname, "end" HAVING count(*) > 1',

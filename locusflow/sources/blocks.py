@@ -5,8 +5,12 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+
 #: How every block begins, with one extra field of six bytes, fixed by the format.
 MAGIC, FIELD = b"\x1f\x8b\x08\x04", b"BC\x02\x00"
+#: The empty block that ends a file, fixed by the format.
+END = bytes.fromhex("1f8b08040000000000ff0600424302001b0003000000000000000000")
 #: A block, and so the distance from any place to the next block's start, is at most this long.
 LONGEST = 1 << 16
 
@@ -60,30 +64,77 @@ def inflated(file, at: int, step: int = 1 << 20) -> Iterator[tuple[int, bytes]]:
         at, off = at + size, off + size
 
 
-def lines(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(place, line) of the lines of a range of the compressed file.
+def texts(file, start: int, end: int, step: int = 4 << 20, skip: int | None = None) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
+    """Whole lines of a range of the compressed file, with the places (see columns.Chunk) of their numbers.
 
-    A place is a block's place shifted by 16 bits, and the place in its text.
-    The line that the first newline of a range's blocks ends belongs to the
-    range before.
+    A line's number is its block's place shifted by 16 bits, and the place in
+    its text.  The line that the first newline of a range's blocks ends belongs
+    to the range before; with ``skip`` a block starts at start, and its lines do
+    after so many bytes of its text.
     """
-    at = first_block(file, start, end)
+    at = first_block(file, start, end) if skip is None else start
     if at is None:
         return
-    skipping, rest, begin = start > 0, b"", None
+    skipping, held, pieces, bases, size = start > 0 and skip is None, [], [], [], 0
+
+    def joined(parts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray]:
+        return b"".join(parts), np.array(pieces), np.array(bases)
+
     for place, text in inflated(file, at):
-        over = place >= end
-        *whole, last = text.split(b"\n")
-        off = 0
-        for part in whole:
-            if not skipping:
-                yield (place << 16 | off) if begin is None else begin, rest + part
-            skipping, rest, begin = False, b"", None
+        base, over = place << 16, place >= end
+        if skip:
+            text, base, skip = text[skip:], base + skip, 0
+        if skipping:
+            cut = text.find(b"\n") + 1
+            if not cut:
+                if over:
+                    return
+                continue
             if over:
                 return
-            off += len(part) + 1
-        if last and not skipping:
-            begin = (place << 16 | off) if begin is None else begin
-            rest += last
-    if rest and not skipping:
-        yield begin, rest
+            skipping, text, base = False, text[cut:], base + cut
+        if over:
+            cut = text.find(b"\n") + 1
+            text = text[: cut or len(text)]
+        if text:
+            held.append(text)
+            pieces.append(size)
+            bases.append(base)
+            size += len(text)
+        if over and cut:
+            break
+        if size >= step:
+            cut = text.rfind(b"\n") + 1
+            if cut:
+                yield joined([*held[:-1], text[:cut]])
+                held, pieces, bases, size = ([text[cut:]], [0], [base + cut], len(text) - cut) if cut < len(text) else ([], [], [], 0)
+    if size:
+        yield joined(held)
+
+
+def lines(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(number, line) of the lines of a range."""
+    for data, pieces, bases in texts(file, start, end):
+        at = 0
+        for line in data.split(b"\n"):
+            if at < len(data):
+                k = int(np.searchsorted(pieces, at, "right")) - 1
+                yield int(bases[k]) + at - int(pieces[k]), line
+            at += len(line) + 1
+
+
+def ended(file) -> bool:
+    """Whether a file's last block is the empty one that marks its end."""
+    size = file.size()
+    if size < len(END):
+        return False
+    file.seek(size - len(END))
+    return file.read(len(END)) == END
+
+
+def seek(file, place: int) -> Iterator[bytes]:
+    """The text from a line's number (block's place shifted by 16 bits, and the place in its text) on, block by block."""
+    skip = place & 0xFFFF
+    for _, text in inflated(file, place >> 16):
+        yield text[skip:]
+        skip = 0

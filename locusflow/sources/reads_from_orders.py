@@ -94,6 +94,9 @@ TABLES = {
       CASE WHEN c = m_c THEN '=' ELSE 'chr' || (m_c + 1) END, pnext, 0, '*', repeat(chr(33 + q), (10 + l_linenumber % 3)::INTEGER),
       'RG:Z:x', CASE WHEN l_orderkey % 7 <> 0 THEN 'LB:Z:lib' || l_orderkey % 2 END) AS line
   FROM m
+""",
+    "covered": """
+  SELECT bucket, min(pos) AS first_pos, max(pos) AS last_pos FROM reads WHERE (line_no // 100) % 8 = 0 GROUP BY bucket, pos // 4
 """,
     "named": """
   SELECT bucket, qname, line_no, pos, u, rev, mrev, score, lb, ref_idx, mate_idx, row_number() OVER (PARTITION BY bucket, qname ORDER BY pos, line_no) AS place
