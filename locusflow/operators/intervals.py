@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .once import once
+
 #: Intervals whose bounds go to the rows; of more, the rows go to the bounds.
 SENT = 1_000_000
 
@@ -57,7 +59,7 @@ def _merged(rows: DataFrame, intervals: DataFrame, position: str) -> DataFrame:
     cuts = intervals.select(F.percentile_approx("first_pos", [i / 1000 for i in range(1, 1000)], 10_000)).first()[0] or []
     ends = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))])
     stretch = lambda c: F.size(F.filter(ends, lambda x: x < c))
-    own = rows.withColumn("__row", F.monotonically_increasing_id())
+    own = once(rows.withColumn("__row", F.monotonically_increasing_id()))  # written, as numbers made again would differ
     spread = intervals.select(F.col("bucket").alias("__b"), "first_pos", "last_pos", F.explode(F.sequence(stretch(F.col("first_pos")), stretch(F.col("last_pos")))).alias("__s"))
     hit = (F.col("bucket") == F.col("__b")) & (F.col("__stretch") == F.col("__s")) & F.col(position).between(F.col("first_pos"), F.col("last_pos"))
     found = own.withColumn("__stretch", stretch(F.col(position))).join(spread, hit, "left_semi").select(F.col("__row").alias("__found"))

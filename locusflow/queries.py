@@ -60,9 +60,9 @@ def _offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mate_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What records without a mate lack, with intervals of the positions that records of even orders cover, in stretches of four."""
+    """What records without a mate lack, with intervals of the middle positions that are covered of each stretch of four."""
     r = once(reads(spark, sf_dir).select(*marking.NARROW))
-    return intervals.mate_states(r, intervals.position_intervals(r.where("floor(line_no / 100) % 8 = 0"), 4))
+    return intervals.mate_states(r, intervals.position_intervals(r.where("pos % 4 in (1, 2)"), 4))
 
 
 def _mate_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

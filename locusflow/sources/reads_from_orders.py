@@ -96,7 +96,7 @@ TABLES = {
   FROM m
 """,
     "covered": """
-  SELECT bucket, min(pos) AS first_pos, max(pos) AS last_pos FROM reads WHERE (line_no // 100) % 8 = 0 GROUP BY bucket, pos // 4
+  SELECT bucket, min(pos) AS first_pos, max(pos) AS last_pos FROM reads WHERE pos % 4 IN (1, 2) GROUP BY bucket, pos // 4
 """,
     "named": """
   SELECT bucket, qname, line_no, pos, u, rev, mrev, score, lb, ref_idx, mate_idx, row_number() OVER (PARTITION BY bucket, qname ORDER BY pos, line_no) AS place

@@ -1,0 +1,101 @@
+"""Prefix sums, intervals and the optical rules against plain loops; plans without a group in one task."""
+
+import random
+import time
+from collections import defaultdict
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from locusflow import queries
+from locusflow.operators import intervals, marking
+from locusflow.operators.prefix import running_sums
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_running_sums(spark):
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "b", "b", "b", None, ""]), rng.randrange(20), i, rng.choice([None, 1, 5, -3]), 1) for i in range(3000)]
+    table = spark.createDataFrame(rows, "k string, p long, i long, v long, n long").repartition(7)
+    want, seen = {}, defaultdict(lambda: [0, 0])
+    for k, _, i, v, n in sorted(rows, key=lambda r: (r[0] or "", r[0] is not None, r[1], r[2])):
+        want[i] = tuple(seen[k])
+        seen[k] = [seen[k][0] + (v or 0), seen[k][1] + n]
+    got = {r.i: (r.before_v, r.before_n) for r in running_sums(table, "k", ["p", "i"], ["v", "n"]).collect()}
+    assert got == want
+    assert running_sums(table.where("false"), "k", ["p", "i"], ["v"]).count() == 0
+
+
+def test_running_sums_have_no_window(spark):
+    for name in ("sorted_index", "dest_offsets"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan
+
+
+@pytest.mark.parametrize("sent", [1_000_000, 3])
+def test_positions_in_intervals(spark, monkeypatch, sent):
+    monkeypatch.setattr(intervals, "SENT", sent)
+    rng = random.Random(2)
+    bounds = [(b, p, p + rng.randrange(6)) for b in ("x", "y") for p in range(0, 400, 9)]
+    rows = [(i, rng.choice(["x", "y", "z", None]), rng.choice([None, *range(-5, 420)])) for i in range(2000)]
+    table, own = spark.createDataFrame(rows, "i long, bucket string, at long"), spark.createDataFrame(bounds, "bucket string, first_pos long, last_pos long")
+    got = {r.i: r.inside for r in intervals.located(table.repartition(3), own, "at").collect()}
+    assert got == {i: at is not None and any(b == c and lo <= at <= hi for c, lo, hi in bounds) for i, b, at in rows}
+    assert {r.inside for r in intervals.located(table, own.where("false"), "at").collect()} == {False}
+
+
+def test_mate_states(spark):
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{SF}/lineitem.parquet'")
+    want = sorted(db.execute(f"SELECT line_no, bucket, state FROM ({queries.ORACLE_SQL['mate_states']})").fetchall())
+    got = sorted(map(tuple, queries.QUERIES["mate_states"](spark, SF).select("line_no", "bucket", "state").collect()))
+    assert got == want and {r[2] for r in got} == {"single", "absent", "outside"}
+
+
+COLUMNS = ["bucket", "lb", "rep_ref", "rep_u", "orient", "mate_u", "mate_ref", "pair_score", "rep_pos", "rep_line", "qname"]
+
+
+def in_order(spots, distance):
+    """The rules as a walk in order over (place, x, y, best)."""
+    close = lambda a, b: abs(a[1] - b[1]) <= distance and abs(a[2] - b[2]) <= distance
+    near = {s[0] for s in spots for w in spots if w[3] and not s[3] and close(s, w)}
+    for i, a in enumerate(spots):
+        later = [b for b in spots[i + 1 :] if not a[3] and not b[3] and close(a, b)]
+        if later and a[0] not in near:
+            near.add(a[0])
+            later = later[1:]
+        near |= {b[0] for b in later}
+    return near
+
+
+@pytest.mark.parametrize(("seed", "width", "size", "distance"), [(1, 12, 9, 2), (2, 40, 30, 5), (3, 200, 60, 9), (4, 6, 40, 3), (5, 60, 12, 1)])
+def test_optical_rules(spark, seed, width, size, distance):
+    rng = random.Random(seed)
+    rows, want = [], set()
+    for c in range(60):
+        spots = []
+        for p in range(rng.randint(2, size)):
+            x, y = rng.randrange(-3, width), rng.randrange(width if seed % 2 else 2)
+            rows.append(("chr1", 0, 0, c, 2, 9, 0, 50 if p else 60, p // 2, 1000 * c + p, f"n:{x}:{y}"))
+            spots.append((1000 * c + p, x, y, p == 0))
+        want |= in_order(spots, distance)
+    found = marking.optical_duplicates(spark.createDataFrame(rows, COLUMNS).repartition(5), distance).collect()
+    assert {r.rep_line for r in found} == want and len(found) == len(want)
+
+
+def test_optical_chains_of_many_steps(spark):
+    rows = [("chr1", 0, 0, 1, 2, 9, 0, 5, 0, 0, "n:-900:0")] + [("chr1", 0, 0, 1, 2, 9, 0, 1, i, i, f"n:{i * 5}:0") for i in range(1, 70)]
+    found = {r.rep_line for r in marking.optical_duplicates(spark.createDataFrame(rows, COLUMNS), 5).collect()}
+    assert found == in_order([(i, -900 if not i else i * 5, 0, not i) for i in range(70)], 5)
+
+
+def test_a_cluster_of_a_hundred_thousand(spark):
+    spots = spark.range(100_000).select(
+        F.lit("chr1").alias("bucket"), *[F.lit(0).alias(c) for c in COLUMNS[1:7]], F.when(F.col("id") == 0, 9).otherwise(1).alias("pair_score"), F.lit(5).cast("long").alias("rep_pos"), F.col("id").alias("rep_line"),
+        F.concat(F.lit("n:"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * 7919 % 90_001), F.lit(":"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * 104_729 % 90_007)).alias("qname"),
+    )
+    start = time.perf_counter()
+    found = marking.optical_duplicates(spots, 10)
+    assert found.where("rep_line % 3 = 0").count() == 33_333 and time.perf_counter() - start < 120
