@@ -16,6 +16,7 @@ from ..operators.once import once
 from ..operators.pairing import missing_mates, read_ends, repeated_ends
 from ..operators.routing import route, with_bucket
 from ..sources import bgzf, sam
+from ..sources.single import single_file
 
 log = logging.getLogger(__name__)
 LEVELS = (logging.CRITICAL + 10, logging.CRITICAL, logging.ERROR, logging.WARNING, logging.INFO, logging.DEBUG, logging.DEBUG - 5)
@@ -40,8 +41,14 @@ MARKING = ("line_no", "qname", "flag", "rname", "pos", "mapq", "cigar", "rnext",
 WRITING = ("line_no", "line", "qname", "flag", "rname", "pos", "mapq", "rnext")
 
 
-def run(spark: SparkSession, path: str, folder: str, *, level: int = 3, min_mapq: int = 0, optical_distance: int = 0, by_name: bool = False, strict: bool = False, end_block: bool = False, index: bool = False) -> DataFrame:
-    """Mark, sort and write; returns metrics by bucket, counted by the pass that writes. by_name sorts by name key instead."""
+def run(spark: SparkSession, path: str, folder: str, *, level: int = 3, min_mapq: int = 0, optical_distance: int = 0, by_name: bool = False, strict: bool = False, end_block: bool = False, index: bool = False, single: str | None = None) -> DataFrame:
+    """Mark, sort and write; returns metrics by bucket, counted by the pass that writes.
+
+    by_name sorts by name key instead.  single names a file for all records in
+    coordinate order, merged from the buckets by their index.
+    """
+    if single and by_name:
+        raise ValueError("a single file is in the order of coordinates")
     head = sam.header(path)
     names = sam.references(head)
     narrow = route(sam.read_sam(spark, path, only=MARKING, min_mapq=min_mapq), names, sam.libraries(head), min_mapq=min_mapq)
@@ -52,7 +59,9 @@ def run(spark: SparkSession, path: str, folder: str, *, level: int = 3, min_mapq
     seen = Observation("written")
     rows = marking.with_marks(records, marking.losers(narrow)).observe(seen, F.count(F.lit(1)).alias("reads"), F.count_if("is_dup").alias("duplicates"))
     out = sam.sorted_header(head, "queryname" if by_name else "coordinate")
-    made = bgzf.write_buckets(rows, out, folder, level=level, by_name=by_name, end_block=end_block, index=index)
+    made = bgzf.write_buckets(rows, out, folder, level=level, by_name=by_name, end_block=end_block, index=index or bool(single))
+    if single:
+        single_file(spark, folder, out, single, level=level, end_block=end_block)
     log.info("records read for the sink, and duplicates: %s", seen.get)
     optical = marking.optical_duplicates(read_ends(narrow), optical_distance) if optical_distance > 0 else None
     lost = missing_mates(narrow).count()
@@ -69,12 +78,13 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("-n", "--by-name", action="store_true")
     p.add_argument("-q", "--min-mapq", type=int, default=0)
     p.add_argument("-d", "--optical-distance", type=int, default=0)
+    p.add_argument("-s", "--single", metavar="FILE")
     p.add_argument("-i", "--index", action="store_true")
     p.add_argument("-v", "--verbosity", type=int, default=3, choices=range(len(LEVELS)))
     a = p.parse_args(argv)
     logging.basicConfig(level=LEVELS[a.verbosity])
     spark = SparkSession.builder.getOrCreate()
-    run(spark, a.input, a.folder, level=a.compression, min_mapq=a.min_mapq, optical_distance=a.optical_distance, by_name=a.by_name, index=a.index).show(1000, False)
+    run(spark, a.input, a.folder, level=a.compression, min_mapq=a.min_mapq, optical_distance=a.optical_distance, by_name=a.by_name, index=a.index, single=a.single).show(1000, False)
 
 
 if __name__ == "__main__":

@@ -114,10 +114,10 @@ class Part:
         if self.held:
             self._block(bytes(self.held))
         self.out.close()
-        starts, at = np.concatenate(self.starts), np.concatenate(self.at)
+        starts, at = np.concatenate([*self.starts, np.zeros(0, np.int64)]).astype(np.int64), np.concatenate([*self.at, np.zeros(0, np.int64)]).astype(np.int64)
         own = starts // BLOCK
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        last = np.r_[first[1:], len(own)] - 1
+        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]][: len(own)])
+        last = np.r_[first[1:], len(own)][: len(first)] - 1
         places = np.concatenate(([0], np.cumsum(self.sizes)))
         columns = {"place": places[own[first]], "end": places[own[first] + 1], "first_line": starts[first] % BLOCK, "records": last - first + 1, "first_pos": at[first], "last_pos": at[last]}
         return pa.table({k: pa.array(v.astype(np.int64)) for k, v in columns.items()})
@@ -143,7 +143,10 @@ class PartsWriter(DataSourceArrowWriter):
 
         def close() -> None:
             table = part.close()
-            if self.index and bucket != UNMAPPED:
+            if self.index:
+                if bucket == UNMAPPED:  # any position may be in any block
+                    for name, bound in (("first_pos", -(1 << 63)), ("last_pos", (1 << 63) - 1)):
+                        table = table.set_column(table.column_names.index(name), name, pa.array(np.full(table.num_rows, bound)))
                 pq.write_table(table, f"{part.path}.index", filesystem=where)
             done.append((bucket, no, part.path, int(sum(part.sizes)), part.records, part.marked))
 
@@ -199,7 +202,7 @@ def placed(parts: Sequence[tuple], head: int) -> list[tuple[str, int, str, int]]
 STEP = 8 << 20
 
 
-def _copied(spark: SparkSession, placement: list[tuple], targets: dict[str, str], index: str | None) -> None:
+def copied(spark: SparkSession, placement: list[tuple], targets: dict[str, str], index: str | None) -> None:
     """Write each part at its place in its bucket's file, and its index with places in that file; a repeated task writes the same again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +213,7 @@ def _copied(spark: SparkSession, placement: list[tuple], targets: dict[str, str]
                     out.seek(row["place"])
                     while chunk := part.read(STEP):
                         out.write(chunk)
-                if index is not None and row["bucket"] != UNMAPPED:
+                if index is not None:
                     table = pq.read_table(f"{row['path']}.index", filesystem=where)
                     for i, name in enumerate(("place", "end")):
                         table = table.set_column(i, name, pa.array(table[name].to_numpy() + row["place"]))
@@ -276,7 +279,7 @@ def write_buckets(rows: DataFrame, header: Sequence[str], folder: str, *, level:
                 out.seek(size[bucket])
                 out.write(tail)
                 out.truncate()
-        _copied(spark, placement, targets, f"{base}/.index" if index else None)
+        copied(spark, placement, targets, f"{base}/.index" if index else None)
         for bucket, target in targets.items():
             os.replace(target, f"{base}/{bucket}.gz")
     else:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusflow.plans import mark_duplicates as plan
-from locusflow.sources import bgzf, blocks, columns, sam
+from locusflow.sources import bgzf, blocks, columns, sam, single
 
 HEAD = ["@HD\tVN:1.4", "@SQ\tSN:chr1\tLN:9999", "@SQ\tSN:chr2\tLN:9999", "@RG\tID:a\tLB:L1"]
 
@@ -189,3 +189,39 @@ def test_metrics_of_the_pass_that_writes(spark, tmp_path):
     from locusflow.operators import marking, pairing
 
     assert got == {tuple(r) for r in marking.metrics(rows, marking.optical_duplicates(pairing.read_ends(rows), 3)).select("bucket", "reads", "duplicates", "optical").collect()}
+
+
+def test_one_file_of_all_buckets(spark, tmp_path):
+    rng = random.Random(3)
+    lines = [record(f"u{i}", 77, 0, "*", rnext="*") for i in range(40)]
+    for i in range(1500):
+        p, q = rng.randrange(1, 3000), rng.randrange(1, 3000)
+        lines += pair(f"c{i}", p, q, rname=rng.choice(["chr1", "chr2"])) if rng.random() < 0.8 else [record(f"d{i}", 97, p, pnext=q, rnext="chr2"), record(f"d{i}", 145, q, "chr2", pnext=p, rnext="chr1")]
+    rng.shuffle(lines)
+    path = save(tmp_path / "in.sam", lines, [*HEAD, "@SQ\tSN:chr3\tLN:5"])
+    plan.run(spark, path, str(tmp_path / "out"), index=True)
+    target = tmp_path / "all.sam.gz"
+    head = sam.sorted_header(sam.header(path))
+    for size in (5000, 1 << 26):
+        n = single.single_file(spark, str(tmp_path / "out"), head, str(target), end_block=True, size=size)
+        assert n == target.stat().st_size
+        text = gzip.decompress(target.read_bytes()).decode().splitlines()
+        got = [x.split("\t") for x in text[len(head) :]]
+        assert text[: len(head)] == head and sorted((r[0], int(r[1]) & 1023) for r in got) == sorted((x.split("\t")[0], int(x.split("\t")[1])) for x in lines)
+        order = [(("chr1", "chr2", "*").index(r[2]), int(r[3])) for r in got]
+        assert order == sorted(order) and [r[0] for r in got if r[2] == "*"] == [x.split("\t")[0] for x in lines if x.startswith("u")]
+    bucket = {x for b in ("chr1", "chr2", "discordant", "unmapped") for x in text_of(tmp_path / "out" / f"{b}.gz")}
+    assert bucket == {"\t".join(r) for r in got}
+    assert not [p for p in tmp_path.iterdir() if "parts" in p.name or p.name.startswith("all.sam.gz.")]
+    plan.main(["-s", str(tmp_path / "again.gz"), path, str(tmp_path / "out2")])
+    assert gzip.decompress((tmp_path / "again.gz").read_bytes()).decode().splitlines() == text
+
+
+def test_merging_streams():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    for _ in range(50):
+        two = [sorted(rng.randrange(20) for _ in range(rng.randrange(30))) for _ in range(2)]
+        cut = lambda own: (pa.record_batch({"pos": own[i : i + 4], "line": [str(x) for x in own[i : i + 4]]}) for i in range(0, len(own), 4))
+        assert [p for b in single.merged_batches(*map(cut, two)) for p in b["pos"].to_pylist()] == sorted(two[0] + two[1])
