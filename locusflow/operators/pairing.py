@@ -47,7 +47,11 @@ def read_ends(reads: DataFrame, *, discordant_score: str = "both") -> DataFrame:
     pairs are always represented by the earlier end.  discordant_score "rep"
     ranks those by the representative's score alone.
     """
-    p = mates(reads)
+    return ends_of(mates(reads), discordant_score=discordant_score)
+
+
+def ends_of(p: DataFrame, *more: str, discordant_score: str = "both") -> DataFrame:
+    """The same for pairs (bucket, qname, a, b) that are known, with more of their columns."""
     apart = F.col("bucket") == DISCORDANT
     swap = ~apart & (F.col("b.u") < F.col("a.u"))
     p = p.withColumn("rep", F.when(swap, F.col("b")).otherwise(F.col("a"))).withColumn("oth", F.when(swap, F.col("a")).otherwise(F.col("b")))
@@ -58,5 +62,5 @@ def read_ends(reads: DataFrame, *, discordant_score: str = "both") -> DataFrame:
     return p.select(
         "bucket", "qname", F.col("rep.lb").alias("lb"), F.col("rep.ref_idx").alias("rep_ref"), F.col("rep.u").alias("rep_u"), turn.cast("int").alias("orient"),
         F.col("oth.u").alias("mate_u"), F.col("rep.mate_idx").alias("mate_ref"), score.cast("int").alias("pair_score"),
-        F.col("rep.pos").alias("rep_pos"), F.col("rep.line_no").alias("rep_line"), F.col("oth.line_no").alias("oth_line"),
+        F.col("rep.pos").alias("rep_pos"), F.col("rep.line_no").alias("rep_line"), F.col("oth.line_no").alias("oth_line"), *more,
     )
