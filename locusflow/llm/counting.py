@@ -92,6 +92,8 @@ class Slots:
         """The hash of keys (a, b), which must differ; the keys are stored in the order of slots."""
         left, sizes, taken, at = np.arange(len(a)), [], [], 0
         while len(left):
+            if len(sizes) == 200:  # different keys part long before
+                raise ValueError("keys must differ")
             size = -(-max(len(left) * cls.GAMMA, 64) // 64) * 64
             place = cls._place(a[left], b[left], len(sizes), size)
             alone = np.bincount(place, minlength=size)[place] == 1

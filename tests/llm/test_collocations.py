@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from locusflow.llm import collocations as c
 from locusflow.llm import counting
@@ -109,3 +110,19 @@ def test_tree_sum(spark):
     sums = counting.tree_sum(spark.createDataFrame(rows, counting.PART).repartition(4)).collect()
     got = {(r.block << 10) + at: n for r in sums for at, n in zip(*(x.tolist() for x in counting.unpacked(r.at, r.n)), strict=True)}
     assert got == want and len(sums) == len({r.block for r in sums}) and {r.mapper for r in sums} == {0}
+
+
+def test_equal_keys_are_refused():
+    with pytest.raises(ValueError, match="differ"):
+        counting.Slots.of(np.array([5, 5], np.uint64), np.array([7, 7], np.uint64))
+
+
+def test_word_keys_tell_words_apart():
+    words = {bytes(x) for n in range(1, 6) for x in np.ndindex(*[2] * n)}  # zero bytes and lengths
+    words |= {bytes([98 + d for d in range(7, -1, -1)][:8] + [97] * n) for n in range(12)} | {b"ab" * n for n in range(1, 30)} | {b"a" * n for n in range(1, 40)}
+    words |= {b"b" + bytes(range(n, n + 12)) for n in range(90)} | {bytes(range(100 + n, 100, -1)) for n in range(1, 20)}
+    words = sorted(words)
+    size = np.array([len(w) for w in words])
+    starts = np.concatenate(([0], np.cumsum(size)))[:-1]
+    a, b = c.word_keys(np.frombuffer(b"".join(words), np.uint8), starts, starts + size)
+    assert len(set(a.tolist())) == len(set(b.tolist())) == len(words)
