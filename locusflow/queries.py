@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import records as R
 from .operators import intervals, marking, pairing
-from .operators.once import once
+from .operators.once import fresh, once
 from .operators.prefix import running_sums
 from .operators.routing import route
+from .sources import bgzf, sam
 from .sources.reads_from_orders import LIBRARIES, REFERENCES, raw_reads, with_tables
 
 
@@ -78,6 +79,22 @@ def _compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marking.differences(one, two)
 
 
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records written as a folder of SAM text and read by the scan, which makes the comparisons."""
+    folder = fresh(spark)
+    raw(spark, sf_dir).select("line").write.text(folder)
+    rows = sam.read_sam(spark, folder, only=("qname", "flag", "rname", "pos", "mapq", "line")).where("mapq >= 30 and rname in ('chr1', 'chr3')")
+    return rows.select("qname", "flag", "rname", "pos", "mapq", "line")
+
+
+def _written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marked records, written to a file a bucket with its index, and the lines of some positions read from their blocks."""
+    folder = fresh(spark)
+    head = [f"@SQ\tSN:{name}\tLN:1000000" for name in REFERENCES]
+    bgzf.write_buckets(_marked(spark, sf_dir, "line"), head, folder, index=True)
+    return sam.read_sam(spark, folder, only=("pos", "line")).where("pos between 1005 and 1012").select("line")
+
+
 def _with_repeats(r: DataFrame) -> DataFrame:
     """Records, some of them twice, as only ill-formed input has them."""
     return r.unionByName(r.where("line_no % 10 = 1"))
@@ -100,6 +117,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "marked_by_chromosome": _by_bucket,
     "marked_flags": lambda s, d: marking.with_marked_flag(_marked(s, d)).select("line_no", "flag_out"),
     "marked_lines": lambda s, d: _marked(s, d, "line").where("is_dup").select("line_no", R.duplicate_line(F.col("line"), F.col("flag")).alias("line")),
+    "scanned_reads": _scanned,
+    "written_lines": _written,
     "dup_metrics": _metrics,
     "bucket_counts": lambda s, d: reads(s, d).groupBy("bucket").agg(F.count(F.lit(1)).alias("reads")),
     "bucket_route": _pick("bucket", "ref_idx", "mate_idx"),
@@ -144,11 +163,14 @@ _KEY = "bucket, lb, rep_ref, rep_u, orient, mate_u, mate_ref"
 #: Reference bases of the rich CIGAR: M, D, N, = and X.
 _COVERED = "mapq % 60 + line_no % 5 + pos % 7 + line_no % 3 + pos % 5 + 5"
 _END_LIST = ", ".join(_END_COLUMNS)
+_MARKED_LINE = "qname || chr(9) || (flag + 1024) || substring(line, length(qname) + length(flag::VARCHAR) + 2)"
 _SELECTS = {
     "marked_reads": "line_no, bucket, is_dup FROM marked",
     "marked_by_chromosome": "bucket, count(*) AS reads, sum(is_dup::BIGINT)::BIGINT AS dups FROM marked GROUP BY bucket",
     "marked_flags": "line_no, (flag | CASE WHEN is_dup THEN 1024 ELSE 0 END)::INTEGER AS flag_out FROM marked",
-    "marked_lines": "line_no, qname || chr(9) || (flag + 1024) || substring(line, length(qname) + length(flag::VARCHAR) + 2) AS line FROM marked WHERE is_dup",
+    "marked_lines": f"line_no, {_MARKED_LINE} AS line FROM marked WHERE is_dup",
+    "scanned_reads": "qname, flag, rname, pos, mapq, line FROM reads WHERE mapq >= 30 AND rname IN ('chr1', 'chr3')",
+    "written_lines": f"CASE WHEN is_dup THEN {_MARKED_LINE} ELSE line END AS line FROM marked WHERE pos BETWEEN 1005 AND 1012",
     "dup_metrics": "bucket, count(*) AS reads, sum(is_dup::BIGINT)::BIGINT AS duplicates, any_value((SELECT count(*) FROM optical o WHERE o.bucket = marked.bucket))::BIGINT AS optical FROM marked GROUP BY bucket",
     "bucket_counts": "bucket, count(*) AS reads FROM reads GROUP BY bucket",
     "bucket_route": "line_no, bucket, ref_idx, mate_idx FROM reads",

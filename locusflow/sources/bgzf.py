@@ -17,6 +17,7 @@ whose positions fit (see ``sam``).
 from __future__ import annotations
 
 import json
+import logging
 import os
 import struct
 import uuid
@@ -39,6 +40,7 @@ from ..schema import UNMAPPED
 from .blocks import END
 from .sam import located
 
+log = logging.getLogger(__name__)
 #: Text bytes of a block: less than 64 KiB also if it cannot be compressed.
 BLOCK = 0xFF00
 
@@ -265,6 +267,8 @@ def write_buckets(rows: DataFrame, header: Sequence[str], folder: str, *, level:
     _, at = located(staged)
     with where.open_input_stream(f"{at}/manifest.json", compression=None) as file:
         parts = json.loads(file.read())
+    for bucket, no, _, size, records, marked in sorted(parts, key=lambda p: p[1]):
+        log.debug("task %d: %d records of %s, %d duplicates, %d bytes", no, records, bucket, marked, size)
     head, tail = b"".join(blocks(iter(["".join(x + "\n" for x in header).encode()]), level)), END if end_block else b""
     placement = placed(parts, len(head))
     made = defaultdict(lambda: [0, 0])

@@ -225,3 +225,24 @@ def test_merging_streams():
         two = [sorted(rng.randrange(20) for _ in range(rng.randrange(30))) for _ in range(2)]
         cut = lambda own: (pa.record_batch({"pos": own[i : i + 4], "line": [str(x) for x in own[i : i + 4]]}) for i in range(0, len(own), 4))
         assert [p for b in single.merged_batches(*map(cut, two)) for p in b["pos"].to_pylist()] == sorted(two[0] + two[1])
+
+
+def test_queries_through_files(spark):
+    import duckdb
+
+    from locusflow import queries
+
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{folder}/lineitem.parquet'")
+    for name in ("scanned_reads", "written_lines", "marked_lines", "marked_flags"):
+        got = queries.QUERIES[name](spark, folder)
+        columns_ = ", ".join(f'"{c}"' for c in got.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(db.execute(f"SELECT {columns_} FROM ({queries.ORACLE_SQL[name]})").fetchall()) != []
+
+
+def test_tasks_are_logged_in_order(spark, tmp_path, caplog):
+    with caplog.at_level("DEBUG", logger="locusflow.sources.bgzf"):
+        bgzf.write_buckets(marked_rows(spark, 900), HEAD, str(tmp_path / "out"))
+    tasks = [int(m.split()[1].rstrip(":")) for m in caplog.messages if m.startswith("task ")]
+    assert tasks == sorted(tasks) and len(tasks) >= 3
