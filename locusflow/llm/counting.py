@@ -71,6 +71,8 @@ def tree_sum(parts: DataFrame) -> DataFrame:
 class Slots:
     """A minimal perfect hash: n different 128-bit keys have the slots 0 to n - 1; another key's slot is refused, as the key stored there is a different one.
 
+    What is stored of a key is 64 bits that all of its 128 are mixed into.
+
     At each level a key whose place no other key has takes it, the rest go on
     to the next level; a key's slot is the number of taken places before its own.
     """
@@ -78,8 +80,8 @@ class Slots:
     #: Places for each key that is left at a level.
     GAMMA = 2
 
-    def __init__(self, sizes: np.ndarray, bits: np.ndarray, a: np.ndarray, b: np.ndarray):
-        self.sizes, self.bits, self.a, self.b = sizes, bits, a, b
+    def __init__(self, sizes: np.ndarray, bits: np.ndarray, stored: np.ndarray):
+        self.sizes, self.bits, self.stored = sizes, bits, stored
         self.starts = np.concatenate(([0], np.cumsum(sizes)))
         self.before = np.concatenate(([0], np.cumsum(np.bitwise_count(bits), dtype=np.int64)))
 
@@ -87,6 +89,10 @@ class Slots:
     def _place(a: np.ndarray, b: np.ndarray, level: int, size: int) -> np.ndarray:
         return (tv.mix(a ^ tv.mix(b + U64(level))) % U64(size)).astype(np.int64)
 
+    @staticmethod
+    def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return tv.mix(a + tv.mix(b * U64(3) + U64(1)))
+
     @classmethod
     def of(cls, a: np.ndarray, b: np.ndarray) -> Slots:
         """The hash of keys (a, b), which must differ; the keys are stored in the order of slots."""
@@ -103,12 +109,9 @@ class Slots:
         places = np.sort(np.concatenate(taken)) if taken else np.zeros(0, np.int64)
         bits = np.zeros(at >> 6, U64)
         np.bitwise_or.at(bits, places >> 6, U64(1) << (places & 63).astype(U64))
-        empty = np.zeros(0, U64)
-        bare = cls(np.array(sizes, np.int64), bits, empty, empty)
-        slot = bare.candidates(a, b)
-        keys = np.empty((2, len(a)), U64)
-        keys[0, slot], keys[1, slot] = a, b
-        return cls(bare.sizes, bits, keys[0], keys[1])
+        made = cls(np.array(sizes, np.int64), bits, np.zeros(len(a), U64))
+        made.stored[made.candidates(a, b)] = cls._mixed(a, b)
+        return made
 
     def candidates(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The only slot that each key can have, -1 for none."""
@@ -130,12 +133,11 @@ class Slots:
         """The slot of each key, -1 where it isn't one of the n: its own stored key decides."""
         slot = self.candidates(a, b)
         at = np.flatnonzero(slot >= 0)
-        wrong = (self.a[slot[at]] != a[at]) | (self.b[slot[at]] != b[at])
-        slot[at[wrong]] = -1
+        slot[at[self.stored[slot[at]] != self._mixed(a[at], b[at])]] = -1
         return slot
 
 
-SLOTS = "part int, sizes binary, bits binary, a binary, b binary, known binary"
+SLOTS = "part int, sizes binary, bits binary, stored binary, known binary"
 
 
 def slot_tables(keys: DataFrame, parts: int) -> DataFrame:
@@ -146,7 +148,7 @@ def slot_tables(keys: DataFrame, parts: int) -> DataFrame:
         slots = Slots.of(a, b)
         known = np.zeros(len(a), np.int64)
         known[slots(a, b)] = table["known"].to_numpy()
-        row = [key[0].as_py(), *(x.tobytes() for x in (slots.sizes, slots.bits, slots.a, slots.b, known))]
+        row = [key[0].as_py(), *(x.tobytes() for x in (slots.sizes, slots.bits, slots.stored)), _narrow(known)]
         return pa.Table.from_arrays([pa.array([v], pa.int32() if i == 0 else pa.binary()) for i, v in enumerate(row)], [c.split()[0] for c in SLOTS.split(", ")])
 
     return keys.select(F.pmod("a", F.lit(parts)).cast("int").alias("part"), "a", "b", "known").groupBy("part").applyInArrow(build, SLOTS)
@@ -154,7 +156,7 @@ def slot_tables(keys: DataFrame, parts: int) -> DataFrame:
 
 def loaded(row) -> tuple[Slots, np.ndarray]:
     """The hash and known counts of a row of SLOTS."""
-    return Slots(np.frombuffer(row.sizes, np.int64), np.frombuffer(row.bits, U64), np.frombuffer(row.a, U64), np.frombuffer(row.b, U64)), np.frombuffer(row.known, np.int64)
+    return Slots(np.frombuffer(row.sizes, np.int64), np.frombuffer(row.bits, U64), np.frombuffer(row.stored, U64)), _wide(row.known)
 
 
 class Bits:
