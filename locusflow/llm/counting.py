@@ -194,7 +194,10 @@ def reached(sums: DataFrame, bits: int, block_bits: int, least: int) -> Bits:
 
 def bits_for(docs: DataFrame, column: str, bytes_each: int, least: int, most: int) -> int:
     """The power of two next above a text's bytes over ``bytes_each``, between two bounds."""
-    total = docs.select(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0
+    return bits_of(docs.select(F.sum(F.octet_length(F.col(column)).cast("long"))).first()[0] or 0, bytes_each, least, most)
+
+
+def bits_of(total: int, bytes_each: int, least: int, most: int) -> int:
     return int(np.clip(int(total // bytes_each).bit_length(), least, most))
 
 

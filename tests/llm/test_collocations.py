@@ -126,3 +126,21 @@ def test_word_keys_tell_words_apart():
     starts = np.concatenate(([0], np.cumsum(size)))[:-1]
     a, b = c.word_keys(np.frombuffer(b"".join(words), np.uint8), starts, starts + size)
     assert len(set(a.tolist())) == len(set(b.tolist())) == len(words)
+
+
+def test_texts_are_read_three_times_however_many_tables(spark, monkeypatch):
+    reads = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            reads.add(len(batch))
+            yield batch
+
+    monkeypatch.setattr(c, "LISTED", 40)
+    monkeypatch.setattr(c, "PART_BYTES", 500)
+    monkeypatch.setattr(c, "SLOTS", 20)
+    monkeypatch.setattr(c, "ROUND", 1)
+    rows = rows_of(200, 5)
+    docs = table(spark, rows, 7).select("text", "lang").mapInArrow(passed, "text string, lang string")
+    assert found(c.collocations(docs)) == brute(rows)
+    assert 0 < reads.value <= 4 * len(rows)  # the lengths, and three passes
