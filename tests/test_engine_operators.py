@@ -99,3 +99,26 @@ def test_a_cluster_of_a_hundred_thousand(spark):
     start = time.perf_counter()
     found = marking.optical_duplicates(spots, 10)
     assert found.where("rep_line % 3 = 0").count() == 33_333 and time.perf_counter() - start < 120
+
+
+def test_reads_take_one_window_and_one_sort(spark):
+    plan = queries.reads(spark, SF)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Window [") == 1
+
+
+def test_dense_cells_are_not_walked(spark, monkeypatch):
+    walked, walk = [], marking._walk
+    monkeypatch.setattr(marking, "_walk", lambda spots, distance: (walked.append(spots.count()), walk(spots, distance))[1])
+    spots = [(1000 * c + p, p % 4 * 30, 0, p == 0) for c in range(20) for p in range(20)]
+    rows = [("chr1", 0, 0, s[0] // 1000, 2, 9, 0, 60 if s[3] else 50, 5, s[0], f"n:{s[1]}:{s[2]}") for s in spots]
+    found = marking.optical_duplicates(spark.createDataFrame(rows, COLUMNS), 10).collect()
+    assert {r.rep_line for r in found} == {x for c in range(20) for x in in_order(spots[20 * c : 20 * c + 20], 10)} and walked == [0]
+
+
+def test_metrics_of_clusters_are_those_of_marked_records(spark):
+    narrow = marking.once(queries.reads(spark, SF).select(*marking.NARROW))
+    ends = marking.read_ends(narrow)
+    optical = marking.optical_duplicates(ends, 20)
+    got, want = marking.metrics_of_clusters(narrow, ends, optical), marking.metrics(marking.marked(narrow, narrow=narrow), optical)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.dtypes == want.dtypes
+    assert "SortMergeJoin [line_no" not in got._jdf.queryExecution().sparkPlan().toString()
