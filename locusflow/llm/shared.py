@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,18 @@ def dropped(df: DataFrame) -> None:
             remove(spark, path)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of about ``size`` bytes at most for what is run inside; the session's own setting comes back after."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def id_batches(docs: DataFrame, id_col: str, batches: int) -> list[DataFrame]:
     """docs in up to ``batches`` parts of ascending ids, of about as many rows each; null ids are in the first."""
     own = F.col(f"`{id_col}`")

@@ -2,13 +2,15 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from locusflow.llm import collocations as c
-from locusflow.llm import counting
+from locusflow.llm import counting, shared
 
 COLUMNS = "doc_id long, text string, lang string, phrase string, a long, f long, block int, n string"
 
@@ -144,3 +146,31 @@ def test_texts_are_read_three_times_however_many_tables(spark, monkeypatch):
     docs = table(spark, rows, 7).select("text", "lang").mapInArrow(passed, "text string, lang string")
     assert found(c.collocations(docs)) == brute(rows)
     assert 0 < reads.value <= 4 * len(rows)  # the lengths, and three passes
+
+
+def test_noted_places_are_sent_a_block_at_a_time(monkeypatch):
+    monkeypatch.setattr(c, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    places = np.random.default_rng(4).integers(0, 1 << 25, 1 << 20)
+    noted = c.Noted(25)
+    assert not list(noted.add(places))
+    tracemalloc.start()
+    got, most = Counter(), 0
+    for batch in noted.sent():
+        (row,) = batch.to_pylist()
+        at, n = counting.unpacked(row["at"], row["n"])
+        got.update(dict(zip(((row["block"] << c.BLOCK_BITS) + at).tolist(), n.tolist(), strict=True)) if row["block"] == 7 else {})
+        most = max(most, row["block"])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == Counter(places[places >> c.BLOCK_BITS == 7].tolist()) and most == 31
+    assert peak < 4 * 4 * len(places)  # the places are held in 4 bytes each
+
+
+def test_batches_are_small_inside_alone(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(key), []
+    docs = table(spark, [("word " * 2000, "en")] * 1000, 1)
+    rows = lambda: docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [len(b)]}) for b in batches), "n long")
+    with shared.batches_of(spark, c.BATCH):
+        seen = [r.n for r in rows().collect()]
+    assert sum(seen) == 1000 and max(seen) < 1000 and spark.conf.get(key) == before
