@@ -258,8 +258,9 @@ def write_buckets(rows: DataFrame, header: Sequence[str], folder: str, *, level:
     spark.dataSource.register(PartsDataSource)
     text = F.when(F.col("is_dup"), R.duplicate_line(F.col("line"), F.col("flag"))).otherwise(F.col("line"))
     key = F.when(F.col("bucket") == UNMAPPED, F.lit(0).cast("long")).otherwise(R.name_key(F.col("qname")) if by_name else F.col("pos"))
-    lines = rows.select("bucket", key.alias("at"), "line_no", text.alias("text"), "is_dup")
-    ordered = lines.repartitionByRange("bucket", "at", "line_no").sortWithinPartitions("bucket", "at", "line_no").drop("line_no")
+    # Texts are made after the shuffle: what comes before it is run twice, as bounds are sampled.
+    lines = rows.select("bucket", key.alias("at"), "line_no", "line", "flag", "is_dup")
+    ordered = lines.repartitionByRange("bucket", "at", "line_no").sortWithinPartitions("bucket", "at", "line_no").select("bucket", "at", text.alias("text"), "is_dup")
     staged = f"{folder.rstrip('/')}/.parts-{uuid.uuid4().hex}"
     where, base = located(folder)
     where.create_dir(base, recursive=True)

@@ -246,3 +246,16 @@ def test_tasks_are_logged_in_order(spark, tmp_path, caplog):
         bgzf.write_buckets(marked_rows(spark, 900), HEAD, str(tmp_path / "out"))
     tasks = [int(m.split()[1].rstrip(":")) for m in caplog.messages if m.startswith("task ")]
     assert tasks == sorted(tasks) and len(tasks) >= 3
+
+
+def test_texts_of_the_sink_are_made_once(spark, tmp_path, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def text(line, flag):
+        made.add(1)
+        return line
+
+    monkeypatch.setattr(bgzf.R, "duplicate_line", F.udf(text, "string"))
+    rows = marked_rows(spark, 900)
+    assert bgzf.write_buckets(rows, HEAD, str(tmp_path / "out")).groupBy().sum("records").first()[0] == 900
+    assert made.value <= 900  # not again as bounds are sampled
