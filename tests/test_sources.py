@@ -259,3 +259,11 @@ def test_texts_of_the_sink_are_made_once(spark, tmp_path, monkeypatch):
     rows = marked_rows(spark, 900)
     assert bgzf.write_buckets(rows, HEAD, str(tmp_path / "out")).groupBy().sum("records").first()[0] == 900
     assert made.value <= 900  # not again as bounds are sampled
+
+
+def test_duplicate_lines_need_no_pattern(spark):
+    lines = ["q\t1\tchr1\tx", "q\t1", "q", "", "\t\t", "é\t16\tü\t\n\tz", "a\nb\t5\n", None]
+    text = bgzf.R.duplicate_line(F.col("line"), F.lit(3))
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "i int, line string").select("i", text.alias("t")).orderBy("i")
+    assert [r.t for r in got.collect()] == ["q\t1027\tchr1\tx", "q\t1027", "q\t1027", "\t1027", "\t1027\t", "é\t1027\tü\t\n\tz", "a\nb\t1027", None]
+    assert "regexp" not in got._jdf.queryExecution().optimizedPlan().toString()
