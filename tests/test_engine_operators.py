@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from locusflow import queries
 from locusflow.operators import intervals, marking
+from locusflow.operators.once import once
 from locusflow.operators.prefix import running_sums
 
 SF = "/root/testdata/sf0.001"
@@ -122,3 +123,13 @@ def test_metrics_of_clusters_are_those_of_marked_records(spark):
     got, want = marking.metrics_of_clusters(narrow, ends, optical), marking.metrics(marking.marked(narrow, narrow=narrow), optical)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.dtypes == want.dtypes
     assert "SortMergeJoin [line_no" not in got._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_score_differences_join_records_once(spark):
+    r = queries.reads(spark, "/root/testdata/sf0.001").select(*marking.NARROW)
+    r = once(r)
+    one, two = (marking.with_marked_flag(marking.marked(r, discordant_score=s, narrow=r)) for s in ("both", "rep"))
+    want, found = marking.differences(one, two), queries.QUERIES["compare_outputs"](spark, "/root/testdata/sf0.001")
+    assert found.dtypes == want.dtypes and sorted(found.collect()) == sorted(want.collect()) and found.count() > 0
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
