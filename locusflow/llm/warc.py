@@ -39,6 +39,8 @@ HEAD = 512
 CHUNK = 1 << 20
 #: Bytes given to the decompressor at a time.
 FEED = 1 << 14
+#: Writing tasks whose rows of the manifest share a file.
+LISTED = 64
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, path string, at long, stored_bytes long, intact boolean"
@@ -134,7 +136,9 @@ def write(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", ht
                     count += 1
         yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([size]), pa.array([count])], ["path", "bytes", "records"])
 
-    return shared.written(rows.select("page_id", "url", "body", "last", "revisit").mapInArrow(run, "path string, bytes long, records long"), "manifest")
+    made = rows.select("page_id", "url", "body", "last", "revisit").mapInArrow(run, "path string, bytes long, records long")
+    # A row a task: of one row, the task's number alone decides where it goes, so a task run again replaces its own.
+    return shared.written(made.repartition(-(-int(spark.conf.get("spark.sql.shuffle.partitions")) // LISTED)), "manifest")
 
 
 def _headers(block: bytes) -> dict[str, str]:
@@ -215,14 +219,16 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes, bool]:
 def read(files: DataFrame, *, split_bytes: int = 32 << 20, with_payload: bool = False) -> DataFrame:
     """The records of WARC files (rows path, bytes), read by byte ranges of about split_bytes each.
 
+    A task gets about split_bytes, in several ranges where files are small.
     ``intact`` is false where a length or digest does not hold.  with_payload
     adds the payload as binary.  Empty files give nothing; damaged members are
     skipped up to the next one that is whole.
     """
     spark = shared.session(files)
     ranges = files.where("bytes > 0").select("path", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    n = ranges.count()
-    ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end")).repartition(max(1, min(n, 100_000)))
+    ranges = ranges.select("path", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"))
+    total = ranges.agg(F.sum(F.col("end") - F.col("start"))).first()[0] or 0
+    ranges = ranges.repartition(max(1, min(-(-total // split_bytes), 100_000)))
     schema = RECORD + ", payload binary" * with_payload
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -218,6 +218,16 @@ def test_archives_of_odd_pages(spark):
     assert warc.op1_warc(spark, pages.limit(0)).count() == 0
 
 
+def test_small_archives_share_tasks_and_files(spark):
+    pages = spark.range(300).selectExpr("id as page_id", "'u' as url", "repeat(string(id % 200), 50) as html").repartition(12)
+    files = warc.write(pages)
+    assert files.where("bytes > 0").count() == 12 and len(files.inputFiles()) == 1
+    found = warc.read(files, split_bytes=1 << 20)
+    assert found.rdd.getNumPartitions() == 1
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in found.collect()) == [(i, "revisit", i + 200) if i < 100 else (i, "response", None) for i in range(300)]
+    assert warc.read(files, split_bytes=100).rdd.getNumPartitions() > 12
+
+
 def model_logs(training, texts, depth, least, penalty, discount):
     """The tree's log10 probabilities of token lists, in plain Python."""
     count = Counter(tuple(t[i : i + n]) for t in training for n in range(1, depth + 2) for i in range(len(t) - n + 1))
