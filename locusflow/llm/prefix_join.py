@@ -49,6 +49,8 @@ U64 = np.uint64
 FEW = 16
 #: Bits of a set's bitmap, and of the buckets' blocks.
 MAP, BLOCK_BITS = 512, 20
+#: Bytes of the Arrow batches in which texts come to Python: each task has one in the JVM and one in its worker.
+BATCH = 4 << 20
 #: Costs: of a row of a prefix, of an entry of a list, of a verification and of each element of it.
 ROW, ENTRY, VERIFY, ELEMENT = 4.0, 1.0, 8.0, 0.1
 
@@ -240,7 +242,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Da
     ids = pairs.select(F.col("x").alias("doc")).union(pairs.select(F.col("y").alias("doc")))
     own = shared.written(shared.only(texts, ids, "doc"), "texts")
     both = pairs.join(own.select(F.col("doc").alias("x"), F.col("__text").alias("text_x")), "x").join(own.select(F.col("doc").alias("y"), F.col("__text").alias("text_y")), "y")
-    true = shared.written(both.mapInArrow(run, "x long, y long").distinct(), "links")
+    with shared.batches_of(shared.session(texts), BATCH):
+        true = shared.written(both.mapInArrow(run, "x long, y long").distinct(), "links")
     shared.dropped(own)
     return true
 
@@ -279,7 +282,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     spark = shared.session(docs)
     wide = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("doc"), F.col(f"`{text_col}`").alias("__text"))
     bits = counting.bits_for(wide, "__text", 256, 12, 24)
-    made = shared.written(wide.mapInArrow(_described(width, bits), MADE), "sets")
+    with shared.batches_of(spark, BATCH):
+        made = shared.written(wide.mapInArrow(_described(width, bits), MADE), "sets")
     codes = spark.sparkContext.broadcast(frequencies(made.where("block is not null").select("block", "mapper", "at", "n"), bits))
     made = made.where("block is null").select("doc", "n_shingles", "a", "b", "bits")
     own = made.where((F.col("n_shingles") > 0) & (F.col("doc") != NO_ID))
@@ -289,7 +293,8 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", w
     placed = own.select("doc", "a", "b").distinct().join(classes.select("a", "b", "node"), ["a", "b"]).select("doc", "node").distinct()
     placed = shared.written(placed, "placed")
     texts = wide.where(F.col("doc") != NO_ID)
-    rows = shared.written(prefixes(texts, codes, bits, width, percent), "prefixes")
+    with shared.batches_of(spark, BATCH):
+        rows = shared.written(prefixes(texts, codes, bits, width, percent), "prefixes")
     several = rows.groupBy("region").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo <> hi").select("region")
     listed = rows.join(several, "region").join(placed, "doc").groupBy("region", "node").agg(F.min("k").alias("k"))
     listed = shared.written(listed, "lists")

@@ -8,6 +8,7 @@ import pytest
 
 from locusflow.llm import lsh_forest
 from locusflow.llm import prefix_join as p
+from locusflow.llm import shared
 
 COLUMNS = "doc_id long, text string, doc long, node long, k int, component long, at string"
 
@@ -89,6 +90,27 @@ def test_null_and_repeated_ids_and_empty_tables(spark):
     assert p.op12_prefix_join(spark, table(spark, [])).count() == 0
 
 
+def test_texts_come_in_small_batches(spark, monkeypatch):
+    key, seen, write = "spark.sql.execution.arrow.maxBytesPerBatch", {}, shared.written
+    before = spark.conf.get(key)
+
+    def noted(df, label):
+        seen.setdefault(label, set()).add(spark.conf.get(key))
+        return write(df, label)
+
+    def counted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    monkeypatch.setattr(shared, "written", noted)
+    rows = rows_of(1, 4)
+    assert found(p.op12_prefix_join(spark, table(spark, rows))) == brute(rows)
+    assert all(seen[label] == {str(4 << 20)} for label in ("sets", "prefixes", "links")) and spark.conf.get(key) == before
+    with shared.batches_of(spark, 4 << 20):
+        sizes = spark.range(0, 9000, 1, 1).selectExpr("repeat('x', 2000) as t").mapInArrow(counted, "n long").collect()
+    assert sum(r.n for r in sizes) == 9000 and max(r.n for r in sizes) < 2500
+
+
 def test_frequent_elements_lengthen_the_prefix():
     assert p.chosen(200, np.zeros(200), 90) == 1 and p.chosen(1, np.full(1, 9.0), 90) == 1
     few, many = (p.chosen(200, np.full(200, float(n)), 90) for n in (0.01, 1000))
