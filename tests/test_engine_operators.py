@@ -133,3 +133,16 @@ def test_score_differences_join_records_once(spark):
     assert found.dtypes == want.dtypes and sorted(found.collect()) == sorted(want.collect()) and found.count() > 0
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 1
+
+
+def planned(monkeypatch):
+    """Spark's plans of the tables that marking writes from now on."""
+    plans, write = [], marking.once
+    monkeypatch.setattr(marking, "once", lambda df: (plans.append(df._jdf.queryExecution().sparkPlan().toString()), write(df))[1])
+    return plans
+
+
+def test_metrics_send_no_spots_through_the_driver(spark, monkeypatch):
+    plans = planned(monkeypatch)
+    assert queries.QUERIES["dup_metrics"](spark, SF).count() == 8
+    assert sum("SortMergeJoin" in p for p in plans) > 4 and not [p for p in plans if "Broadcast" in p]
