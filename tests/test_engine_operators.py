@@ -146,3 +146,11 @@ def test_metrics_send_no_spots_through_the_driver(spark, monkeypatch):
     plans = planned(monkeypatch)
     assert queries.QUERIES["dup_metrics"](spark, SF).count() == 8
     assert sum("SortMergeJoin" in p for p in plans) > 4 and not [p for p in plans if "Broadcast" in p]
+
+
+def test_optical_walk_sends_no_chains_through_the_driver(spark, monkeypatch):
+    plans = planned(monkeypatch)
+    rows = [("chr1", 0, 0, 1, 2, 9, 0, 5, 0, 0, "n:-900:0")] + [("chr1", 0, 0, 1, 2, 9, 0, 1, i, i, f"n:{i * 5}:0") for i in range(1, 70)]
+    ends = once(spark.createDataFrame(rows, COLUMNS))
+    plans.append(marking.optical_duplicates(ends, 5)._jdf.queryExecution().sparkPlan().toString())
+    assert len(plans) > 10 and "SortMergeJoin" in plans[-1] and not [p for p in plans if "Broadcast" in p]
