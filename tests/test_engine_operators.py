@@ -154,3 +154,12 @@ def test_optical_walk_sends_no_chains_through_the_driver(spark, monkeypatch):
     ends = once(spark.createDataFrame(rows, COLUMNS))
     plans.append(marking.optical_duplicates(ends, 5)._jdf.queryExecution().sparkPlan().toString())
     assert len(plans) > 10 and "SortMergeJoin" in plans[-1] and not [p for p in plans if "Broadcast" in p]
+
+
+def test_first_optical_pass_alone(spark, monkeypatch):
+    want = sorted(map(tuple, queries._optical(spark, SF).where("first_pass").select("bucket", "rep_line").collect()))
+    monkeypatch.setattr(marking, "_second_pass", None)
+    found = queries.QUERIES["optical_first_pass"](spark, SF)
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 10
+    assert "Broadcast" not in found._jdf.queryExecution().sparkPlan().toString()
+    assert marking.first_optical_duplicates(queries._ends(spark, SF), 0).isEmpty()
